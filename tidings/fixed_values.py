@@ -84,6 +84,8 @@ GUIDANCE = (
     r"(?i)\b(?:guidance|outlook|reaffirm|raise[sd]?|lower[sd]?|update[sd]? guidance)\b"
     r"[^\n\r]{0,200}"
 )
+# One of these stands in every text the pattern matches.
+GUIDANCE_WORDS = ("guidance", "outlook", "reaffirm", "raise", "lower")
 GUIDANCE_TAIL = 160
 MAX_GUIDANCE = 2
 MAX_HIGHLIGHTS = 6

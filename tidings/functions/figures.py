@@ -1,7 +1,7 @@
 """Headline figures in announcement text: amounts and year-on-year change.
 
-A *hit* runs from a metric's label to its amount. It is searched once over the
-whole text; amount, position and neighbourhood are then taken from the hit.
+A *hit* runs from a metric's label to its amount. Its position is searched once
+over the whole text; amount and neighbourhood are then taken from there.
 Texts that do not hold a metric's words skip its patterns altogether.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidings.fixed_values import (
     CURRENCY, METRICS, NUMBER, UNIT, YOY_PHRASE, YOY_REACH, YOY_VERB,
 )
-from tidings.functions.text import blank_to_null, squash
+from tidings.functions.text import TO_END, squash
 
 FIGURE = "struct<current:string,yoy:string>"
 
@@ -50,58 +50,75 @@ def _has_words(text: Column, metric: str) -> Column:
 
 
 def with_figures(df: DataFrame, text: str = "text", metrics=tuple(METRICS)) -> DataFrame:
-    """Add one ``struct<current, yoy>`` per metric, null where nothing is found.
+    """Add one ``struct<current, yoy>`` per metric, null where nothing is found (TX5, TX6).
 
-    Narrow: no shuffle, every expression built in.
+    Narrow: no shuffle, every expression built in. The steps are separate
+    projections, so that each search over the text runs once: first where a hit
+    starts, then what it says, then what stands near it.
     """
     keep = [F.col(c) for c in df.columns]
     body = F.col(text)
 
-    def hits(metric):
-        marked = F.when(_has_words(body, metric), blank_to_null(F.regexp_extract(body, marked_pattern(metric), 1)))
-        return marked.alias(f"_{metric}_marked")
-
-    def bare_hits(metric):
-        marked = F.col(f"_{metric}_marked")
-        return F.when(
-            marked.isNull() & _has_words(body, metric),
-            blank_to_null(F.regexp_extract(body, bare_pattern(metric), 1)),
-        ).alias(f"_{metric}_bare")
-
-    def reading(metric):
-        marked, bare = F.col(f"_{metric}_marked"), F.col(f"_{metric}_bare")
-        amount = (
-            F.when(marked.isNotNull(), F.regexp_extract(marked, marked_pattern(metric), 2))
-            .when(bare.isNotNull(), F.regexp_extract(bare, bare_pattern(metric), 2))
-        )
-        start = (
-            F.when(marked.isNotNull(), F.regexp_instr(body, F.lit(marked_pattern(metric))))
-            .when(bare.isNotNull(), F.regexp_instr(body, F.lit(bare_pattern(metric))))
+    def named(part, metric):
+        return F.col(f"_{part}_{metric}")
+
+    def step(rows, *parts):
+        """Next projection: the parts named last are added per metric."""
+        return rows.select("*", *[make(m).alias(f"_{part}_{m}") for m in metrics for part, make in parts])
+
+    def marked_at(m):
+        return F.when(_has_words(body, m), F.regexp_instr(body, F.lit(marked_pattern(m))))
+
+    def bare_at(m):
+        return F.when(named("marked", m) == 0, F.regexp_instr(body, F.lit(bare_pattern(m))))
+
+    def start(m):
+        return F.greatest(named("marked", m), named("bare", m))
+
+    def hit(m):
+        from_label = F.substring(body, start(m), F.lit(TO_END))
+        return (
+            F.when(named("marked", m) > 0, F.regexp_extract(from_label, marked_pattern(m), 1))
+            .when(named("bare", m) > 0, F.regexp_extract(from_label, bare_pattern(m), 1))
         )
-        first = F.greatest(F.lit(1), start - YOY_REACH)
-        length = start + F.length(F.coalesce(marked, bare)) + YOY_REACH - first
-        return [squash(amount).alias(f"_{metric}"), F.substring(body, first, length).alias(f"_{metric}_near")]
-
-    def figure(metric):
-        current, near = F.col(f"_{metric}"), F.col(f"_{metric}_near")
-        return F.when(
-            current.isNotNull(),
-            F.struct(current.alias("current"), year_on_year(near).alias("yoy")),
-        ).alias(metric)
-
-    marked = df.select(*keep, *[hits(m) for m in metrics])
-    found = marked.select("*", *[bare_hits(m) for m in metrics])
-    read = found.select(*keep, *[c for m in metrics for c in reading(m)])
-    return read.select(*keep, *[figure(m) for m in metrics])
-
-
-def year_on_year(near: Column) -> Column:
-    """Change named close to a hit: a stated comparison, else verb and percentage (TX6)."""
-    phrase = blank_to_null(F.regexp_extract(near, YOY_PHRASE, 2))
-    phrase_verb = blank_to_null(F.regexp_extract(near, YOY_PHRASE, 1))
-    change = blank_to_null(F.regexp_extract(near, YOY_VERB, 2))
-    change_verb = F.regexp_extract(near, YOY_VERB, 1)
-    return squash(
-        F.when(phrase.isNotNull(), F.concat_ws(" ", phrase_verb, phrase))
-        .when(change.isNotNull(), F.concat_ws(" ", change_verb, change))
-    )
+
+    def current(m):
+        return squash(
+            F.when(named("marked", m) > 0, F.regexp_extract(named("hit", m), marked_pattern(m), 2))
+            .when(named("bare", m) > 0, F.regexp_extract(named("hit", m), bare_pattern(m), 2)))
+
+    def near(m):
+        first = F.greatest(F.lit(1), start(m) - YOY_REACH)
+        reach = start(m) + F.length(named("hit", m)) + YOY_REACH - first
+        return F.when(named("hit", m).isNotNull(), F.substring(body, first, reach))
+
+    rows = step(df, ("marked", marked_at))
+    rows = step(rows, ("bare", bare_at))
+    rows = step(rows, ("hit", hit))
+    rows = step(rows, ("current", current), ("near", near))
+    rows = step(rows, ("phrase", lambda m: _phrase_in(named("near", m))))
+    rows = step(rows, ("verb", lambda m: _verb_in(named("near", m), named("phrase", m))))
+    return rows.select(*keep, *[
+        F.when(named("hit", m).isNotNull(), F.struct(
+            named("current", m).alias("current"),
+            year_on_year(named("phrase", m), named("verb", m)).alias("yoy"),
+        )).alias(m)
+        for m in metrics
+    ])
+
+
+def _phrase_in(near: Column) -> Column:
+    """A stated comparison with the year before, from its wording to the figure; empty if none."""
+    lowered = F.lower(near)
+    may = near.contains("%") & (lowered.contains("yoy") | lowered.contains("year"))
+    return F.when(may, F.regexp_extract(near, YOY_PHRASE, 0)).otherwise("")
+
+
+def _verb_in(near: Column, phrase: Column) -> Column:
+    """Without such a comparison: a verb of change and its percentage; empty if none."""
+    return F.when((phrase == "") & near.contains("%"), F.regexp_extract(near, YOY_VERB, 0)).otherwise("")
+
+
+def year_on_year(phrase: Column, verb: Column) -> Column:
+    """``up 12.2%`` or ``12.2%`` (TX6)."""
+    return squash(F.when(phrase != "", F.regexp_replace(phrase, YOY_PHRASE, "$1 $2")).when(verb != "", verb))

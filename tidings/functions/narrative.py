@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import (
-    GUIDANCE, GUIDANCE_TAIL, MAX_GUIDANCE, ORDINAL_QUARTERS, PERIOD_HEAD, PERIODS,
+    GUIDANCE, GUIDANCE_TAIL, GUIDANCE_WORDS, MAX_GUIDANCE, ORDINAL_QUARTERS, PERIOD_HEAD, PERIODS,
 )
-from tidings.functions.text import squash
+from tidings.functions.text import TO_END, first_match, squash
+
 
+# Any of the periods; matches of different kinds cannot overlap.
+_ANY_PERIOD = "(?i)(?:" + "|".join(p.removeprefix("(?i)") for p in PERIODS) + ")"
 
-def report_period(title: Column, text: Column) -> Column:
-    """``Q3 2024``, ``H1 2024``, ``FULL-YEAR 2024``: title first, then the top of the text (TX7)."""
-    blobs = (title, F.substring(text, 1, PERIOD_HEAD))
-    return F.coalesce(*[_period_in(blob, pattern) for blob in blobs for pattern in PERIODS])
 
+def with_period(df: DataFrame, title: str = "title", text: str = "text", name: str = "period") -> DataFrame:
+    """Add ``Q3 2024``, ``H1 2024`` or ``FULL-YEAR 2024``: title first, then the top of the text (TX7, LM5).
+
+    Each blob is searched once for periods of any kind; which kind takes
+    precedence is settled on the short list of what was found.
+    """
+    def mentions(blob):
+        found = F.array_join(F.regexp_extract_all(blob, F.lit(_ANY_PERIOD), F.lit(0)), "\n")
+        return F.when(blob.contains("20"), found).otherwise("")
 
-def _period_in(blob: Column, pattern: str) -> Column:
-    name = F.upper(F.regexp_extract(blob, pattern, 1))
-    shown = name
+    listed = df.select(
+        "*", mentions(F.col(title)).alias("_title_periods"),
+        mentions(F.substring(text, 1, PERIOD_HEAD)).alias("_text_periods"))
+    found = F.coalesce(*[
+        F.when(F.col(blob) != "", first_match(F.col(blob), pattern))
+        for blob in ("_title_periods", "_text_periods") for pattern in PERIODS])
+    shown = F.regexp_replace(F.upper(found), r"\s*(20\d{2})$", " $1")
     for word, quarter in ORDINAL_QUARTERS.items():
-        shown = F.when(name == word.upper(), quarter).otherwise(shown)
-    return F.when(name != "", F.concat_ws(" ", shown, F.regexp_extract(blob, pattern, 2)))
+        shown = F.regexp_replace(shown, rf"^{word.upper()}\s+QUARTER\b", quarter)
+    return listed.select(*df.columns, shown.alias(name))
 
 
 def guidance_sentences(text: Column, limit: int = MAX_GUIDANCE) -> Column:
@@ -39,7 +54,7 @@ def guidance_sentences(text: Column, limit: int = MAX_GUIDANCE) -> Column:
         at = F.call_function("locate", match, text, state["next"])
         after = at + F.length(match)
         left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
-        rest = F.substring(text, after, F.length(text))
+        rest = F.substring(text, after, F.lit(TO_END))
         right = F.when(rest.contains("."), F.concat(F.substring_index(rest, ".", 1), F.lit("."))).otherwise(
             F.substring(rest, 1, GUIDANCE_TAIL))
         snippet = squash(F.concat(left, match, right))
@@ -47,4 +62,6 @@ def guidance_sentences(text: Column, limit: int = MAX_GUIDANCE) -> Column:
 
     folded = F.aggregate(matches, start, widen, lambda state: state["out"])
     distinct = F.array_distinct(F.filter(folded, lambda s: s != ""))
-    return F.when(text.rlike(GUIDANCE), F.slice(distinct, 1, limit)).otherwise(F.array().cast("array<string>"))
+    lowered = F.lower(text)
+    may = reduce(or_, [lowered.contains(word) for word in GUIDANCE_WORDS])
+    return F.when(may, F.slice(distinct, 1, limit)).otherwise(F.array().cast("array<string>"))

@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Length argument of a substring that runs to the end.
+TO_END = 2_147_483_647
+
 # Entities decoded inside the JVM; "&amp;" last, so that "&amp;lt;" stays "&lt;".
 PLAIN_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -21,6 +24,15 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def first_match(c: Column, pattern: str) -> Column:
+    """First match of a pattern, null if none; the search runs once (LM4).
+
+    Comparing an extract with the empty text would put the search into the plan
+    twice.
+    """
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(1))
+
+
 def squash(c: Column) -> Column:
     """Whitespace runs, Unicode ones included, to one space; ends trimmed (TX3)."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import ARCHIVE_ROOT, RNS_HOST
+from tidings.functions.text import TO_END
 
 
 def pad_cik(c: Column) -> Column:
@@ -71,7 +72,7 @@ def _without_dots(url: Column) -> Column:
     origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rest = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
-    steps = F.split(F.substring(path, 2, 2_147_483_647), "/")
+    steps = F.split(F.substring(path, 2, TO_END), "/")
     # A trailing dot segment leaves an empty last step, hence a trailing slash.
     ends_open = F.element_at(steps, -1).isin(".", "..")
     kept = F.aggregate(

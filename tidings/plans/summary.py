@@ -12,7 +12,7 @@ from tidings.fixed_values import (
     BLANK_HEADLINE, MAX_HIGHLIGHTS, METRICS, NO_FIGURES_NOTE, SUBJECT_PREFIX,
 )
 from tidings.functions.figures import with_figures
-from tidings.functions.narrative import guidance_sentences, report_period
+from tidings.functions.narrative import guidance_sentences, with_period
 from tidings.functions.text import blank_to_null
 from tidings.operators.pages import headline
 
@@ -20,7 +20,10 @@ from tidings.operators.pages import headline
 def _shown(metric: str) -> Column:
     """``current (yoy)`` of a metric; null where it has neither."""
     current, yoy = F.col(metric)["current"], F.col(metric)["yoy"]
-    return blank_to_null(F.concat_ws(" ", blank_to_null(current), F.concat(F.lit("("), blank_to_null(yoy), F.lit(")"))))
+    return (
+        F.when(current.isNotNull(), F.concat_ws(" ", current, F.concat(F.lit("("), yoy, F.lit(")"))))
+        .when(yoy.isNotNull(), F.concat(F.lit("("), yoy, F.lit(")")))
+    )
 
 
 def payloads(documents: DataFrame, max_highlights: int = MAX_HIGHLIGHTS) -> DataFrame:
@@ -31,25 +34,26 @@ def payloads(documents: DataFrame, max_highlights: int = MAX_HIGHLIGHTS) -> Data
     """
     keep = [c for c in documents.columns if c not in ("text", "title_html", "title", "final_url")]
     base = documents.select(
-        *keep, "final_url", "text",
+        *keep, "final_url", "title", "text",
         headline(F.col("title"), F.col("title_html"), F.col("url")).alias("headline"),
-        report_period(blank_to_null(F.col("title")), F.col("text")).alias("_period"),
         guidance_sentences(F.col("text")).alias("_guidance"),
     )
-    read = with_figures(base).drop("text")
+    read = with_figures(with_period(base, name="_period").drop("title")).drop("text")
+    labels = {m: label for m, (label, _, _) in METRICS.items()}
+    shown = read.select("*", *[_shown(m).alias(f"_{m}") for m in METRICS])
+    nothing = F.coalesce(*[F.col(f"_{m}") for m in METRICS]).isNull()
     parts = F.concat_ws(
         " ",
         F.concat(F.col("_period"), F.lit(" results:")),
-        *[F.concat(F.lit(label + " "), _shown(m)) for m, (label, _, _) in METRICS.items()],
+        *[F.concat(F.lit(labels[m] + " "), F.col(f"_{m}")) for m in METRICS],
     )
-    bullets = F.array_compact(F.array(
-        *[F.concat(F.lit(label + ": "), _shown(m)) for m, (label, _, _) in METRICS.items()]))
-    highlights = F.array_distinct(F.concat(bullets, F.col("_guidance")))
-    nothing = F.coalesce(*[F.col(m)["current"] for m in METRICS], *[F.col(m)["yoy"] for m in METRICS]).isNull()
-    return read.select(
+    bullets = F.array(*[F.concat(F.lit(labels[m] + ": "), F.col(f"_{m}")) for m in METRICS])
+    # Distinct, in order of first occurrence, and without the missing ones.
+    highlights = F.array_except(F.concat(bullets, "_guidance"), F.array(F.lit(None).cast("string")))
+    return shown.select(
         *keep, "headline", "final_url",
-        F.coalesce(blank_to_null(parts), F.col("headline")).alias("short_summary"),
-        F.slice(F.filter(highlights, lambda b: b != ""), 1, max_highlights).alias("key_highlights"),
+        F.when(nothing & F.col("_period").isNull(), F.col("headline")).otherwise(parts).alias("short_summary"),
+        F.slice(highlights, 1, max_highlights).alias("key_highlights"),
         *METRICS,
         F.when(nothing, F.lit(NO_FIGURES_NOTE)).alias("final_thoughts"),
     )
@@ -61,36 +65,33 @@ def subject(prefix: str = SUBJECT_PREFIX) -> Column:
 
 
 def metric_lines() -> Column:
-    """``Label: current (yoy)`` per metric found (TX12)."""
-    return F.array_compact(F.array(
-        *[F.concat(F.lit(label + ": "), _shown(m)) for m, (label, _, _) in METRICS.items()]))
-
-
-def body() -> Column:
-    """Plain-text body; sections without content are left out (TX13)."""
-    none = F.array().cast("array<string>")
-
-    def line(label, c, gap):
-        value = blank_to_null(F.trim(c))
-        lines = [F.lit("")] if gap else []
-        return F.when(value.isNotNull(), F.array(*lines, F.concat(F.lit(label), value))).otherwise(none)
-
-    def section(label, entries):
-        kept = F.filter(F.transform(entries, F.trim), lambda x: x != "")
-        listed = F.transform(kept, lambda x: F.concat(F.lit(" - "), x))
-        return F.when(F.size(kept) > 0, F.concat(F.array(F.lit(""), F.lit(label)), listed)).otherwise(none)
-
-    lines = F.concat(
-        line("Headline: ", "headline", False),
-        line("URL: ", "final_url", False),
-        line("Summary: ", "short_summary", True),
-        section("Key Highlights:", F.col("key_highlights")),
-        section("Metrics:", metric_lines()),
-        line("Notes: ", "final_thoughts", True),
-    )
-    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+    """``Label: current (yoy)`` per metric found, listed (TX12); empty if none."""
+    return F.concat_ws("\n - ", *[F.concat(F.lit(label + ": "), _shown(m)) for m, (label, _, _) in METRICS.items()])
 
 
 def alerts(payload: DataFrame, prefix: str = SUBJECT_PREFIX) -> DataFrame:
-    """Payloads with ``subject`` and ``body`` added (TX11-TX13)."""
-    return payload.select("*", subject(prefix).alias("subject"), body().alias("body"))
+    """Payloads with ``subject`` and plain-text ``body`` (TX11, TX13).
+
+    Sections without content are left out of the body.
+    """
+    bullets = F.filter(F.transform("key_highlights", F.trim), lambda b: b != "")
+    listed = payload.select(
+        "*",
+        *[F.trim(c).alias(f"_{c}") for c in ("headline", "final_url", "short_summary", "final_thoughts")],
+        F.array_join(bullets, "\n - ").alias("_bullets"),
+        metric_lines().alias("_metrics"),
+    )
+
+    def part(before, name):
+        return F.when(F.col(name) != "", F.concat(F.lit(before), F.col(name)))
+
+    body = F.concat(F.concat_ws(
+        "\n",
+        part("Headline: ", "_headline"),
+        part("URL: ", "_final_url"),
+        part("\nSummary: ", "_short_summary"),
+        part("\nKey Highlights:\n - ", "_bullets"),
+        part("\nMetrics:\n - ", "_metrics"),
+        part("\nNotes: ", "_final_thoughts"),
+    ), F.lit("\n"))
+    return listed.select(*payload.columns, subject(prefix).alias("subject"), body.alias("body"))

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # All of these are runtime settings, so they also apply to a session that a
 # cluster has already started.
@@ -19,6 +19,9 @@ RUNTIME = {
     # and sort-merge, and oversized partitions of a hot key are split.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods beyond this size; larger generated ones
+    # (the figure patterns give such) are then split up instead of fused.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # HTML bodies are wide, so fewer of them go into one Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
@@ -31,6 +34,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out evenly; any other as it is.
+
+    For narrow work that costs far more than reading, such as pattern search
+    over a few small files. Large inputs have splits enough and are never
+    shuffled by this. ``scan`` has to be a plain scan, so that counting its
+    splits runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidings.fixed_values import METRICS
 from tidings.functions.dates import listed_date
 from tidings.functions.figures import with_figures
-from tidings.functions.narrative import guidance_sentences, report_period
+from tidings.functions.narrative import guidance_sentences, with_period
 from tidings.functions.urls import index_url, primary_url
 from tidings.operators import filings as filing_ops
 from tidings.operators import items as item_ops
 from tidings.operators import pages as page_ops
 from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
-from tidings.session import work_folder
+from tidings.session import spread, work_folder
 from tidings.sources import feeds, filings as filing_sources, ledger
 from tidings.sources.listings import list_page_captures
 from tidings.streaming.incremental import ITEMS, Store, run_incremental
@@ -179,8 +179,7 @@ def kpi_yoy(spark, sf):
 
 
 def period_query(spark, sf):
-    return table(spark, sf, "announcements").select(
-        "doc_id", report_period(F.col("title"), F.col("text")).alias("period"))
+    return with_period(table(spark, sf, "announcements").select("doc_id", "title", "text")).select("doc_id", "period")
 
 
 def guidance_query(spark, sf):
@@ -207,8 +206,8 @@ def alert_text(spark, sf):
 
 
 def corpus_kpi_scan(spark, sf):
-    docs = raw(spark, sf, "documents").select("doc_id", "text")
-    read = with_figures(docs.select("doc_id", "text", report_period(F.lit(None).cast("string"), F.col("text")).alias("period")))
+    docs = spread(raw(spark, sf, "documents")).select("doc_id", F.lit(None).cast("string").alias("title"), "text")
+    read = with_figures(with_period(docs))
     return read.select("doc_id", "period", *[F.col(m)["current"].alias(m) for m in METRICS])
 
 

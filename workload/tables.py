@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidings.session import spread
+
 _NEWS_URL = "concat('https://ir.example.com/', CAST(user_id AS STRING), '/', CAST(event_id % 37 AS STRING))"
 _CIK = "CAST(o_custkey + 320000 AS STRING)"
 _ACCESSION = (
@@ -94,10 +96,16 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Tables whose rows are searched or parsed at length.
+_HEAVY = ("announcements", "captures")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
     source, columns, where = TABLES[name]
     rows = raw(spark, sf_dir, source)
+    if name in _HEAVY:
+        rows = spread(rows)
     if where:
         rows = rows.where(where)
     return rows.selectExpr(*[f"{sql} AS {column}" for column, sql in columns.items()])
