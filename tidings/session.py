@@ -19,6 +19,9 @@ RUNTIME = {
     # and sort-merge, and oversized partitions of a hot key are split.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Work after a shuffle is parsing and pattern search, so even small shuffles
+    # keep all cores busy.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # The JVM does not compile methods beyond this size; larger generated ones
     # (the figure patterns give such) are then split up instead of fused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
