@@ -10,6 +10,7 @@ from tidings.functions.dates import cutoff, filing_date
 from tidings.functions.text import blank_to_null
 from tidings.functions.urls import archive_folder, folder_of, index_url, join_url, pad_cik, primary_url
 from tidings.operators.items import first_per_key
+from tidings.operators.joins import salted_join
 
 
 # -- issuers ---------------------------------------------------------------
@@ -44,8 +45,12 @@ def resolved_issuers(issuers: DataFrame, ticker_map: DataFrame) -> DataFrame:
 
 
 def with_issuer(filings: DataFrame, issuers: DataFrame) -> DataFrame:
-    """Filings joined to their issuer on the normalised number (JN6)."""
-    return filings.join(issuers.select("cik10", "name", "ticker"), "cik10")
+    """Filings joined to their issuer on the normalised number (JN6).
+
+    One issuer may have a large share of all filings; ``accession`` tells its
+    rows apart.
+    """
+    return salted_join(filings, issuers.select("cik10", "name", "ticker"), ["cik10"], "inner", by=["accession"])
 
 
 # -- filters ---------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_KEYWORDS, MAX_PAGES, RNS_KEYWORDS, SOURCE_RANK
 from tidings.functions.dates import cutoff
+from tidings.operators.joins import salted_join
 from tidings.operators.pages import detail_dates
 
 
@@ -82,8 +83,11 @@ def first_source_wins(items: DataFrame) -> DataFrame:
 
 
 def unseen(items: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Items whose address is not in the ledger (JN4, ST4)."""
-    return items.join(ledger.select("url"), "url", "left_anti")
+    """Items whose address is not in the ledger (JN4, ST4).
+
+    Repeated keys of the ledger are collapsed in its scan, before the shuffle.
+    """
+    return items.join(ledger.select("url").distinct(), "url", "left_anti")
 
 
 # -- paging ----------------------------------------------------------------
@@ -116,7 +120,8 @@ def read_pages(list_pages: DataFrame, items: DataFrame, as_of, days: int, max_pa
 def paged_items(list_pages: DataFrame, items: DataFrame, as_of, days: int, max_pages: int = MAX_PAGES) -> DataFrame:
     """Items of the list pages that paging reaches."""
     reached = read_pages(list_pages, items, as_of, days, max_pages)
-    return items.filter(F.col("page_no") <= max_pages).join(reached, ["epic", "page_no"], "left_semi")
+    return salted_join(
+        items.filter(F.col("page_no") <= max_pages), reached, ["epic", "page_no"], "left_semi", by=["item_idx"])
 
 
 # -- dates from article pages ------------------------------------------------
@@ -130,6 +135,6 @@ def with_detail_dates(items: DataFrame, captures: DataFrame, keywords: str = RNS
     undated = items.filter(needs)
     wanted = undated.select("url").distinct()
     dates = detail_dates(captures.join(wanted, "url", "left_semi"))
-    filled = undated.join(dates, "url", "left").select(
+    filled = salted_join(undated, dates, ["url"], "left", by=["item_idx"]).select(
         *[F.col("detail_at").alias("published_at") if c == "published_at" else F.col(c) for c in items.columns])
     return items.filter(~needs).unionByName(filled)

@@ -40,7 +40,9 @@ def alerts_for(candidate_items: DataFrame, captures: DataFrame) -> DataFrame:
 
     The join comes before cleaning, so only documents that are needed are parsed.
     """
-    return alerts(payloads(documents(candidate_items.join(html_captures(captures), "url"))))
+    landed = html_captures(captures).select("url", "final_url", "content_type", "status", "body")
+    read = documents(candidate_items.join(landed, "url")).drop("content_type", "status")
+    return alerts(payloads(read))
 
 
 def pending_for(candidate_items: DataFrame, captures: DataFrame) -> DataFrame:
