@@ -128,3 +128,12 @@ def test_ir_items_feed_then_page(spark):
 def test_expected_list_pages(spark):
     pages = expected_list_pages(spark.createDataFrame([("ABC",)], "epic string"), 2, "https://h").orderBy("page_no").collect()
     assert [r.url for r in pages] == ["https://h/stock/ABC/company-news?page=1", "https://h/stock/ABC/company-news?page=2"]
+
+
+def test_table_function(spark):
+    from tidings.sources.table_functions import register
+
+    register(spark)
+    spark.createDataFrame([("https://h/ir/", "<li><a href='n'>N</a></li>")], "url string, body string").createOrReplaceTempView("landed")
+    got = spark.sql("SELECT l.item_url, l.title FROM landed c, LATERAL ir_links(c.body, c.url) l").collect()
+    assert [tuple(r) for r in got] == [("https://h/ir/n", "N")]

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import GUIDANCE, GUIDANCE_TAIL
-from tidings.functions.dates import filing_date, free_date, listed_date
+from tidings.functions.dates import date_text, filing_date, free_date, listed_date
 from tidings.functions.figures import with_figures
 from tidings.functions.narrative import guidance_sentences, with_period
 from tidings.functions.text import comma_list, decode_entities, squash
@@ -57,7 +57,7 @@ def test_free_dates(spark):
         "yesterday": None,
         None: None,
     }
-    assert column(spark, cases, free_date) == list(cases.values())
+    assert column(spark, cases, lambda c: free_date(date_text(c))) == list(cases.values())
 
 
 def test_filing_dates(spark):

@@ -57,16 +57,20 @@ def listed_date(c: Column) -> Column:
     )
 
 
+def date_text(c: Column) -> Column:
+    """Free text made ready for :func:`free_date`: spaces squashed, no commas, short month names."""
+    c = F.regexp_replace(squash(c), ",", "")
+    return F.regexp_replace(c, r"(?i)\b(" + _MONTH[3:-1] + r")[a-z]*\.?(?![a-z])", "$1")
+
+
 def free_date(c: Column) -> Column:
     """A date inside free text (DT2): the first shape below that occurs.
 
-    Weekdays and other words around it are passed over, month names may be
-    long or short, text without a zone is UTC, and nothing is filled in from
+    ``c`` is a column or lambda variable that holds :func:`date_text`, kept
+    apart because it is looked at once per shape. Weekdays and other words are
+    passed over, text without a zone is UTC, and nothing is filled in from
     today.
     """
-    c = F.regexp_replace(squash(c), ",", "")
-    c = F.regexp_replace(c, r"(?i)\b(" + _MONTH[3:-1] + r")[a-z]*\.?(?![a-z])", "$1")
-
     iso = r"\b\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)? ?(?:Z|[+-]\d{2}:?\d{2})?"
     clock = r"(?: (\d{1,2}:\d{2})(?::(\d{2}))?)?"
     zone = r"(?: ([+-]\d{4}|" + "|".join(sorted(ZONE_OFFSETS, key=len, reverse=True)) + r")\b)?"

@@ -24,13 +24,13 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def first_match(c: Column, pattern: str) -> Column:
-    """First match of a pattern, null if none; the search runs once (LM4).
+def first_match(c: Column, pattern: str, group: int = 0) -> Column:
+    """First match of a pattern or of its group, null if none; the search runs once (LM4).
 
     Comparing an extract with the empty text would put the search into the plan
     twice.
     """
-    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(1))
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def squash(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidings.fixed_values import EXHIBIT_LINK, FORMS, ITEM_202
 from tidings.functions.dates import cutoff, filing_date
-from tidings.functions.text import blank_to_null
+from tidings.functions.text import blank_to_null, first_match
 from tidings.functions.urls import archive_folder, folder_of, index_url, join_url, pad_cik, primary_url
 from tidings.operators.items import first_per_key
 from tidings.operators.joins import salted_join
@@ -96,7 +96,7 @@ def with_document(filings: DataFrame, captures: DataFrame) -> DataFrame:
         folder_of(F.col("url")).alias("_folder"),
         F.col("url").alias("_url"),
         F.col("body").rlike(ITEM_202).alias("_earnings"),
-        blank_to_null(F.regexp_extract("body", EXHIBIT_LINK, 1)).alias("_exhibit"),
+        first_match(F.col("body"), EXHIBIT_LINK, 1).alias("_exhibit"),
     )
     is_primary, is_index = F.col("_url") == F.col("_primary"), F.col("_url") == F.col("_index")
     facts = (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_DATE_CLASS, IR_ITEM_SELECTORS, JUNK_SELECTORS, RNS_HOST
 from tidings.functions import markup
-from tidings.functions.dates import first_readable, free_date, listed_date
+from tidings.functions.dates import date_text, first_readable, free_date, listed_date
 from tidings.functions.text import blank_to_null, decode_entities, strip
 from tidings.functions.urls import host_url
 
@@ -42,10 +42,15 @@ def pdf_captures(captures: DataFrame) -> DataFrame:
     return fetched(captures).filter(is_pdf())
 
 
-def page_title(body: Column) -> Column:
-    """Text of the first ``<title>``, read without parsing the page (TX2)."""
+def with_page_title(captures: DataFrame, body: str = "body") -> DataFrame:
+    """Replace the body by ``title_html``: the first ``<title>``, read without parsing the page (TX2)."""
+    keep = [c for c in captures.columns if c != body]
     inner = F.regexp_extract(body, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return blank_to_null(strip(decode_entities(blank_to_null(inner))))
+    return (
+        captures.select(*keep, inner.alias("_title"))
+        .select(*keep, strip(decode_entities(F.col("_title"))).alias("_title"))
+        .select(*keep, blank_to_null(F.col("_title")).alias("title_html"))
+    )
 
 
 def headline(title_hint: Column, title_html: Column, url: Column) -> Column:
@@ -129,7 +134,7 @@ def ir_listing(captures: DataFrame, item_selector: str | None = None, date_selec
         .select(
             *keep, "pos", "_item.selector_rank",
             F.col("_item.url").alias("item_url"), F.col("_item.title").alias("title"),
-            first_readable(F.col("_item.date_texts"), free_date).alias("published_at"),
+            first_readable(F.transform("_item.date_texts", date_text), free_date).alias("published_at"),
         )
     )
 

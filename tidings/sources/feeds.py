@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.dates import free_date
-from tidings.functions.text import blank_to_null, strip
+from tidings.functions.dates import date_text, free_date
+from tidings.functions.text import strip
 
 _TIMES = "pubDate:string,published:string,updated:string,date:string"
 _RSS_ITEM = f"struct<title:string,link:string,{_TIMES},`dc:date`:string>"
@@ -48,12 +48,15 @@ def feed_items(captures: DataFrame, body: str = "body") -> DataFrame:
         F.coalesce(_rss(F.col("_feed.item")), none),
         F.coalesce(_atom(F.col("_feed.entry")), none),
     )
-    at = F.coalesce(free_date(F.col("_entry.published")), free_date(F.col("_entry.updated")))
     return (
         parsed.select(*keep, F.posexplode(entries).alias("pos", "_entry"))
         .select(
-            *keep, "pos", strip(F.col("_entry.title")).alias("title"), blank_to_null(F.col("_entry.link")).alias("item_url"),
-            F.date_trunc("day", at).alias("published_at"),
+            *keep, "pos", strip(F.col("_entry.title")).alias("title"), F.col("_entry.link").alias("item_url"),
+            date_text(F.col("_entry.published")).alias("_published"), date_text(F.col("_entry.updated")).alias("_updated"),
+        )
+        .filter((F.col("title") != "") & (F.col("item_url") != ""))
+        .select(
+            *keep, "pos", "title", "item_url",
+            F.date_trunc("day", F.coalesce(free_date(F.col("_published")), free_date(F.col("_updated")))).alias("published_at"),
         )
-        .filter((F.col("title") != "") & F.col("item_url").isNotNull())
     )

@@ -138,8 +138,7 @@ def ledger_formats(spark, sf):
 
 
 def page_titles(spark, sf):
-    shown = page_ops.html_captures(table(spark, sf, "captures")).select(
-        "page_id", "url", page_ops.page_title(F.col("body")).alias("title_html"))
+    shown = page_ops.with_page_title(page_ops.html_captures(table(spark, sf, "captures")))
     none = F.lit(None).cast("string")
     return shown.select("page_id", "title_html", page_ops.headline(none, F.col("title_html"), F.col("url")).alias("headline"))
 

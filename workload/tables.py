@@ -97,7 +97,7 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 # Tables whose rows are searched or parsed at length.
-_HEAVY = ("announcements", "captures")
+_HEAVY = ("announcements", "captures", "primary_captures", "index_captures")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
