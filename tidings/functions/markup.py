@@ -100,9 +100,14 @@ class Page(HTMLParser):
 
     def visible_text(self, junk: list[Selector]) -> str:
         """Text outside junk elements, spaces squashed."""
+        # Most elements have no attributes, so most selectors need no test.
+        by_tag = {s.steps[0][0] for s in junk if s.is_tag}
+        by_attrs = [s for s in junk if s.steps[-1][1]]
+        others = [s for s in junk if not s.is_tag and not s.steps[-1][1]]
         kept, at, i = [], 0, 0
         while i < len(self.tags):
-            if any(s.matches(self, i) for s in junk):
+            tests = by_attrs + others if self.attrs[i] else others
+            if self.tags[i] in by_tag or any(s.matches(self, i) for s in tests):
                 kept += range(at, self.text_from[i])
                 at, i = self.text_to[i], self.ends[i]
             else:
@@ -153,6 +158,7 @@ class Selector:
         if not 1 <= len(steps) <= 2:
             raise ValueError(f"unsupported selector: {text!r}")
         self.steps = [self._read(s) for s in steps]
+        self.is_tag = len(steps) == 1 and not self.steps[0][1] and self.steps[0][0] != "*"
 
     @classmethod
     def _read(cls, step):

@@ -14,12 +14,15 @@ def pad_cik(c: Column) -> Column:
     return F.lpad(c.try_cast("bigint").cast("string"), 10, "0")
 
 
+def archive_key(cik: Column, accession: Column) -> Column:
+    """``number/accession`` of one filing, as its archive folder has it."""
+    return F.concat(
+        cik.try_cast("bigint").cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")))
+
+
 def archive_folder(cik: Column, accession: Column) -> Column:
     """Folder of one filing, with a trailing slash (PJ1)."""
-    return F.concat(
-        F.lit(ARCHIVE_ROOT), cik.try_cast("bigint").cast("string"), F.lit("/"),
-        F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"),
-    )
+    return F.concat(F.lit(ARCHIVE_ROOT), archive_key(cik, accession), F.lit("/"))
 
 
 def primary_url(cik: Column, accession: Column, document: Column) -> Column:

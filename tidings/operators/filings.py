@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.fixed_values import EXHIBIT_LINK, FORMS, ITEM_202
+from tidings.fixed_values import ARCHIVE_ROOT, EXHIBIT_LINK, FORMS, ITEM_202
 from tidings.functions.dates import cutoff, filing_date
 from tidings.functions.text import blank_to_null, first_match
-from tidings.functions.urls import archive_folder, folder_of, index_url, join_url, pad_cik, primary_url
+from tidings.functions.urls import archive_folder, archive_key, index_url, join_url, pad_cik, primary_url
 from tidings.operators.items import first_per_key
 from tidings.operators.joins import salted_join
 
@@ -83,37 +83,37 @@ def with_document(filings: DataFrame, captures: DataFrame) -> DataFrame:
     filing. Captures are cut down to three small columns in their scan, then
     filings and captures meet once, on the folder, and one aggregation per
     filing reads both answers: bodies are scanned once and never shuffled, and
-    the aggregation keeps the partitioning of the join.
+    the aggregation keeps the partitioning of the join. Filings that are equal
+    in all columns become one.
     """
     cik, accession = F.col("cik10"), F.col("accession")
-    wanted = filings.select(
-        "*",
-        archive_folder(cik, accession).alias("_folder"),
-        primary_url(cik, accession, F.col("primary_doc")).alias("_primary"),
-        index_url(cik, accession).alias("_index"),
-    )
-    seen = captures.filter(F.col("status") < 400).select(
-        folder_of(F.col("url")).alias("_folder"),
-        F.col("url").alias("_url"),
+    inside = "^" + ARCHIVE_ROOT.replace(".", r"\.") + r"(\d+/\d+)/(.+)$"
+    wanted = filings.withColumn("_key", archive_key(cik, accession))
+    seen = captures.filter((F.col("status") < 400) & F.col("url").rlike(inside)).select(
+        F.regexp_extract("url", inside, 1).alias("_key"),
+        F.regexp_extract("url", inside, 2).alias("_name"),
         F.col("body").rlike(ITEM_202).alias("_earnings"),
         first_match(F.col("body"), EXHIBIT_LINK, 1).alias("_exhibit"),
     )
-    is_primary, is_index = F.col("_url") == F.col("_primary"), F.col("_url") == F.col("_index")
+    is_primary = F.col("_name") == F.col("primary_doc")
+    is_index = F.col("_name") == F.concat("accession", F.lit("-index.html"))
+    none = F.lit(False)
     facts = (
-        wanted.join(seen, "_folder", "left")
-        .groupBy("_folder", *filings.columns, "_primary", "_index")
+        wanted.join(seen, "_key", "left")
+        .groupBy("_key", *filings.columns)
         .agg(
-            F.coalesce(F.bool_or(is_primary), F.lit(False)).alias("_has_primary"),
-            F.coalesce(F.bool_or(is_primary & F.coalesce("_earnings", F.lit(False))), F.lit(False)).alias("_is_earnings"),
-            F.coalesce(F.bool_or(is_index), F.lit(False)).alias("_has_index"),
+            F.coalesce(F.bool_or(is_primary), none).alias("_has_primary"),
+            F.coalesce(F.bool_or(is_primary & F.col("_earnings")), none).alias("_is_earnings"),
+            F.coalesce(F.bool_or(is_index), none).alias("_has_index"),
             F.max(F.when(is_index, F.col("_exhibit"))).alias("_exhibit"),
         )
     )
     asks_index = (F.col("form") == "8-K") & ~F.col("_is_earnings")
-    exhibit = join_url(F.col("_folder"), F.col("_exhibit"))
+    primary = primary_url(cik, accession, F.col("primary_doc"))
+    exhibit = join_url(archive_folder(cik, accession), F.col("_exhibit"))
     url = (
-        F.when(F.col("_has_primary") & ~asks_index, F.col("_primary"))
-        .when(F.col("_has_primary") & F.col("_has_index"), F.coalesce(exhibit, F.col("_primary")))
-        .when(~F.col("_has_primary") & F.col("_has_index"), F.col("_index"))
+        F.when(F.col("_has_primary") & ~asks_index, primary)
+        .when(F.col("_has_primary") & F.col("_has_index"), F.coalesce(exhibit, primary))
+        .when(~F.col("_has_primary") & F.col("_has_index"), index_url(cik, accession))
     )
     return facts.withColumn("url", url).filter(F.col("url").isNotNull()).select(*filings.columns, "url")
