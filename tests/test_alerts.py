@@ -103,6 +103,14 @@ def test_pending_items_are_tried_again_and_handled_ones_never(spark, tmp_path):
     assert store.pending_after(1).count() == 0
 
 
+def test_pending_items_are_given_up_outside_the_lookback(spark, tmp_path):
+    store = Store(spark, str(tmp_path)).create()
+    none = spark.createDataFrame([], CAPTURE)
+    process_batch(store, spark.createDataFrame([item(1, "a", at=datetime(2024, 1, 20)), item(2, "b")], ITEMS), 0, none, AS_OF, 14)
+    process_batch(store, spark.createDataFrame([], ITEMS), 1, none, "2024-03-01", 14)
+    assert [r.url for r in store.pending_after(1).collect()] == ["b"]
+
+
 def test_replay_of_a_batch_replaces_its_own_rows(spark, tmp_path):
     store = Store(spark, str(tmp_path)).create()
     have = spark.createDataFrame([capture("a"), capture("b")], CAPTURE)

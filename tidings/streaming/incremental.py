@@ -91,11 +91,12 @@ def process_batch(store: Store, items: DataFrame, batch_id: int, captures: DataF
 
     A batch is small beside the ledger and the captures. Where its measured
     size allows, it is broadcast and those two are streamed past it, so neither
-    is shuffled; beyond that size, all joins shuffle by address.
+    is shuffled; beyond that size, all joins shuffle by address. Carried-over
+    items are screened again, so they are given up once they leave the lookback.
     """
     columns = [c.strip().split(" ")[0] for c in ITEMS.split(",")]
     carried = store.pending_after(batch_id - 1).select(*columns)
-    fresh = store.intake(first_source_wins(screened(items.select(*columns), as_of, days).unionByName(carried)))
+    fresh = store.intake(first_source_wins(screened(items.select(*columns).unionByName(carried), as_of, days)))
     send = F.broadcast if small(fresh) else (lambda rows: rows)
 
     ledger = store.handled_before(batch_id)

@@ -298,9 +298,8 @@ SELECT url, source, item_idx, subject, short_summary,
     'Key Highlights:', chr(10), ' - Revenue: ', revenue, ' (', yoy, ')', chr(10), ' - The outlook is stable.', chr(10), chr(10),
     'Metrics:', chr(10), ' - Revenue: ', revenue, ' (', yoy, ')', chr(10)) AS body FROM told""",
 
-    "incremental_alerts": cte("news_items", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
-sliced AS (SELECT n.*, least((day(e.ts) - 1) // 10, 2) AS batch_id
-  FROM news_items n JOIN event_times e ON n.item_idx = e.event_id),
+    "incremental_alerts": cte("news_items", "news_slices", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
+sliced AS (SELECT n.*, s.slice AS batch_id FROM news_items n JOIN news_slices s ON n.item_idx = s.item_idx),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY batch_id, {_RANK}, item_idx) AS nth
   FROM sliced WHERE url <> '' AND {_WANTED}) WHERE nth = 1)
 SELECT o.url, source, item_idx, batch_id, {_ALERT_COLUMNS}

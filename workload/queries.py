@@ -20,7 +20,7 @@ from tidings.sources import feeds, filings as filing_sources, ledger
 from tidings.sources.listings import list_page_captures
 from tidings.streaming.incremental import ITEMS, Store, run_incremental
 from workload import rendered
-from workload.tables import filing_captures, raw, seen, table
+from workload.tables import filing_captures, raw, seen, sliced_news, table
 
 FILINGS_AS_OF = "2001-08-01 12:00:00"
 NEWS_AS_OF = "2024-01-31"
@@ -224,13 +224,11 @@ def incremental_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """News replayed in three slices of days, each landed and taken up in turn."""
     base = work_folder(spark, "incremental")
     landing = f"{base}/landing"
-    items = item_ops.with_rank(table(spark, sf, "news_items").join(
-        table(spark, sf, "event_times").select(F.col("event_id").alias("item_idx"), "ts"), "item_idx"))
+    items = item_ops.with_rank(sliced_news(spark, sf))
     columns = [c.strip().split(" ")[0] for c in ITEMS.split(",")]
-    slice_no = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
     store = Store(spark, f"{base}/tables", "news")
     for k in range(3):
-        items.filter(slice_no == k).select(*columns).write.mode("append").parquet(landing)
+        items.filter(F.col("slice") == k).select(*columns).write.mode("append").parquet(landing)
         run_incremental(
             store, landing, lambda: rendered.article_captures(spark, sf), NEWS_AS_OF, imported=seen(spark, sf),
         ).awaitTermination()

@@ -62,6 +62,10 @@ TABLES = {
                  " WHEN 4 THEN 'Directorate notice' ELSE '' END",
         "published_at": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) END",
     }, None),
+    "news_slices": ("events", {
+        "item_idx": "event_id",
+        "slice": "CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END",
+    }, None),
     "event_times": ("events", {
         "event_id": "event_id", "user_id": "user_id", "event_type": "event_type",
         "ts": "CAST(ts AS TIMESTAMP)", "url": _NEWS_URL,
@@ -111,6 +115,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.selectExpr(*[f"{sql} AS {column}" for column, sql in columns.items()])
 
 
+def sliced_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News items with the slice of days they land in."""
+    source, columns, _ = TABLES["news_items"]
+    named = {**columns, **TABLES["news_slices"][1]}
+    return raw(spark, sf_dir, source).selectExpr(*[f"{sql} AS {column}" for column, sql in named.items()])
+
+
 def cte(*names: str) -> str:
     """The same tables as leading common table expressions of an SQL text."""
     def one(name):
