@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidings.operators import filings as ops
 from tidings.sources import feeds, filings as sources

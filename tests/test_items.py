@@ -2,8 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import Observation, Row
-from pyspark.sql import functions as F
+from pyspark.sql import Observation
 
 from tidings.operators import items as ops
 from tidings.sources import ledger
