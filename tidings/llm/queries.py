@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import boosted
+from tidings.llm import boosted, mixing, simhash, surrogates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,70 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", boosted.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its entities, and how many they are."""
+    done = surrogates.replace_checked(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, record=True)
+    return done.select("doc_id", "text", F.size("replaced").alias("n_entities"), F.array_sort(F.array_distinct("replaced.type")).alias("types"))
+
+
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS queue,
+         coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS size,
+         md5(concat_ws('-', 'mix', CAST(doc_id AS VARCHAR))) AS place
+  FROM documents),
+totals AS (
+  SELECT queue, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY queue) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM sized GROUP BY queue),
+levels AS (
+  SELECT *, CAST(2 * source_size AS DOUBLE) AS lim,
+         (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5
+          - coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / weight, queue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)::DOUBLE
+         / sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, queue ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+  FROM totals),
+settled AS (
+  SELECT arg_min(level, (source_size::DOUBLE / weight, queue)) AS settled FROM levels WHERE level * weight < lim),
+targets AS (
+  SELECT queue, source_size, CASE WHEN level * weight < lim THEN least(settled * weight, lim) ELSE lim END AS target
+  FROM levels LEFT JOIN settled ON true),
+queued AS (
+  SELECT doc_id, queue, size, place, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY queue ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER () AS r
+  FROM sized JOIN targets USING (queue)),
+copies AS (
+  SELECT r, size, sum(size) OVER (
+           ORDER BY CAST((copy - 1) * source_size + before + size AS DOUBLE) / target, queue, place, doc_id NULLS FIRST, size, copy
+           ROWS UNBOUNDED PRECEDING) AS until
+  FROM queued, (VALUES (1), (2)) c(copy) WHERE size > 0),
+chosen AS (
+  SELECT r, sum(size) AS taken FROM copies WHERE until <= (SELECT sum(size) * 1.5::DOUBLE FROM sized) GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM queued LEFT JOIN chosen USING (r)
+"""
+
+
+#: A test key; a real one comes from the caller.
+SURROGATE_KEY = b"surrogates of the test tables"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
