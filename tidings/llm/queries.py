@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import boosted, mixing, simhash, surrogates
+from tidings.llm import bitpack, boosted, feistel, hnsw, mixing, simhash, surrogates, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,30 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("replaced").alias("n_entities"), F.array_sort(F.array_distinct("replaced.type")).alias("types"))
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wfst.encode(documents, tokenizer_path("piece_bpe_32k.model"), check=True).select(
+        "doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "restored")
+
+
+def op6_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from the files written."""
+    files = bitpack.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return bitpack.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by the law that counts differ by one row at most."""
+    return feistel.shard(_table(spark, sf_dir, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS queue,
@@ -82,8 +107,12 @@ FROM queued LEFT JOIN chosen USING (r)
 SURROGATE_KEY = b"surrogates of the test tables"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw": op1_hnsw,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
     "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_bit_packing": op6_bit_packing,
+    "op7_feistel_shards": op7_feistel_shards,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_simhash": op10_simhash,
 }
