@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROUNDS = 8
 RING = 256
@@ -316,6 +317,11 @@ def pseudonymised(text: str, permutation: Permutation) -> tuple[str, list[tuple[
     return "".join(out) + text[at:], replaced
 
 
+_FIELDS = ("type", "original", "surrogate")
+REPLACED = pa.list_(pa.struct([(name, pa.string()) for name in _FIELDS]))
+REPLACED_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in _FIELDS]))
+
+
 def replace(documents: DataFrame, key: bytes, record: bool = False) -> DataFrame:
     """The documents with surrogates in ``text``; with ``record``, also a column ``replaced``."""
     permutation = Permutation(key)
@@ -333,18 +339,15 @@ def replace(documents: DataFrame, key: bytes, record: bool = False) -> DataFrame
             columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
             names = list(batch.schema.names)
             if record:
-                columns.append(pa.array([[dict(zip(("type", "original", "surrogate"), r)) for r in found] for _, found in done], REPLACED))
+                columns.append(pa.array([[dict(zip(_FIELDS, r)) for r in found] for _, found in done], REPLACED))
                 names.append("replaced")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     documents = documents.drop("replaced") if record else documents
-    schema = documents.schema.add("replaced", "array<struct<type:string,original:string,surrogate:string>>") if record else documents.schema
+    schema = T.StructType([*documents.schema, T.StructField("replaced", REPLACED_TYPE)]) if record else documents.schema
     return documents.mapInArrow(run, schema)
 
 
-REPLACED = pa.list_(pa.struct([("type", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
-
-
 def replace_checked(documents: DataFrame, key: bytes, record: bool = False) -> DataFrame:
     """``replace`` after a check of all entities of ``documents``; an error if two originals would meet."""
     found = collisions(replace(documents.select("text"), key, record=True))

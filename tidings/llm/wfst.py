@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -213,7 +214,7 @@ def encode(documents: DataFrame, model: str, check: bool = False) -> DataFrame:
                 columns.append(pa.array([t is None or compiled.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids)]))
             yield pa.RecordBatch.from_arrays(columns, [*others, *added])
 
-    schema = documents.select(*others).schema.add("ids", "array<int>")
+    schema = documents.select(*others).schema.add("ids", T.ArrayType(T.IntegerType()))
     return documents.select(*others, "text").mapInArrow(run, schema.add("restored", "boolean") if check else schema)
 
 
