@@ -16,7 +16,7 @@ of text. An empty table gives no file. Only id and text are read.
 
 from __future__ import annotations
 
-import itertools
+import os
 import re
 import struct
 import zlib
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,15 +44,23 @@ def width(vocabulary: int) -> int:
 
 
 def packed(ids: np.ndarray, bits: int) -> bytes:
-    """The ids in ``bits`` bits each, zero bits up to a whole byte."""
-    digits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.packbits(digits[:, 32 - bits:]).tobytes()
+    """The ids in ``bits`` bits each, most significant first, with zero bits up to a whole byte."""
+    by_byte = ids.astype(">u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:
+        return by_byte[:, 4 - bits // 8:].tobytes()
+    return np.packbits(np.unpackbits(by_byte, axis=1)[:, 32 - bits:]).tobytes()
 
 
 def unpacked(data: bytes, count: int, bits: int) -> np.ndarray:
-    digits = np.zeros((count, 32), np.uint8)
-    digits[:, 32 - bits:] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits).reshape(count, bits)
-    return np.packbits(digits, axis=1).view(">u4").ravel().astype(np.uint32)
+    found = np.frombuffer(data, np.uint8)
+    out = np.zeros((count, 4), np.uint8)
+    if bits % 8 == 0:
+        out[:, 4 - bits // 8:] = found[:count * bits // 8].reshape(count, bits // 8)
+    else:
+        digits = np.zeros((count, 32), np.uint8)
+        digits[:, 32 - bits:] = np.unpackbits(found, count=count * bits).reshape(count, bits)
+        out = np.packbits(digits, axis=1)
+    return out.view(">u4").ravel().astype(np.uint32)
 
 
 def file_of(documents: list[int | None], ends: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
@@ -92,7 +99,7 @@ class Reader:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts by a byte-level tokenizer file, with a bounded memory of pieces.
 
     The tokenizer splits a text by a pattern and encodes each piece by itself, so
@@ -101,27 +108,38 @@ class Encoder(dict):
     with a special token, are encoded whole.
     """
 
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    # The tokenizer's split, with its classes spelt out up to U+024F.
+    LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+    PIECE = re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{LETTER}{NUMBER}{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     OTHER = re.compile("[^\x00-ɏ]")
-    REMEMBERED = 400_000
+    REMEMBERED = 600_000
 
     def __init__(self, path: str):
+        # Spark runs a task on each core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(self) < self.REMEMBERED:
-            self[piece] = ids
-        return ids
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.OTHER.search(text) or self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, self.PIECE.findall(text))), np.uint32)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        whole = [t for t in texts if self.OTHER.search(t) or self.special.search(t)]
+        apart = dict(zip(whole, self._encoded(whole)))
+        pieces = {i: self.PIECE.findall(t) for i, t in enumerate(texts) if t not in apart}
+        fresh = list(set().union(*pieces.values()).difference(self.known))
+        known = self.known
+        if len(known) + len(fresh) > self.REMEMBERED:
+            # Full: what is new serves these texts only.
+            known = dict(known)
+        known.update(zip(fresh, self._encoded(fresh)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces[i])) if i in pieces else apart[t], np.uint32) for i, t in enumerate(texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -155,9 +173,10 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, purpose: str = "pac
                 ["part", "file", "n_ids", "data"])
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            found = encode.ids([t or "" for t in batch.column("text").to_pylist()])
+            for name, ids in zip(batch.column("doc_id").to_pylist(), found):
                 names.append(name)
-                texts.append(np.append(encode.ids(text or ""), np.uint32(end_id)))
+                texts.append(np.append(ids, np.uint32(end_id)))
                 held += len(texts[-1])
                 if held >= FILE_IDS:
                     yield close()
@@ -178,7 +197,8 @@ def read(files: DataFrame, ids: bool = False) -> DataFrame:
             for part, file, data in zip(*(batch.column(c).to_pylist() for c in ("part", "file", "data"))):
                 reader = Reader(data)
                 starts = np.concatenate(([0], reader.ends[:-1]))
-                found = [reader.document(i) for i in range(len(starts))]
+                whole = reader.ids(0, reader.count)
+                found = [whole[a:b] for a, b in zip(starts, reader.ends)]
                 sums = [zlib.crc32(d.astype("<u4").tobytes()) for d in found]
                 columns = [
                     pa.array(reader.documents, mask=reader.documents == NO_ID),

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import bitpack, boosted, feistel, hnsw, mixing, simhash, surrogates, wfst
+from tidings.llm import bitpack, boosted, feistel, hnsw, mixing, multiindex, recurrent, simhash, surrogates, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,27 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every whole document, with a unigram model's beside it."""
+    return recurrent.score(_table(spark, sf_dir, "documents"), boosted.held_out(folds=5, fold=1))
+
+
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors by sign bits for every fiftieth id."""
+    return multiindex.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=10)
+
+
+NEAREST_SQL = """
+WITH coded AS (
+  SELECT vec_id, CAST(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding], '') AS BIT) AS code
+  FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(q.code, v.code)) AS INTEGER) AS distance
+  FROM coded q JOIN coded v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS queue,
@@ -110,11 +131,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": op1_hnsw,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
+    "op4_recurrent_lm": op4_recurrent_lm,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_bit_packing": op6_bit_packing,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_multi_index": op9_multi_index,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_multi_index": NEAREST_SQL}
