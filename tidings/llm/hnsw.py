@@ -342,7 +342,8 @@ def _linked(classes: DataFrame, count: int, threshold: float, shard_rows: int, l
                     if content is not None:
                         loaded[k].append(content)
                 part = part.filter(pa.array(kinds == 2))
-                if not len(part):
+                # A shard may hold no vector of this length.
+                if not len(part) or not loaded[0]:
                     continue
                 queries, names = unit(part.column("embedding")), part.column("first").to_numpy()
                 if graph is None:

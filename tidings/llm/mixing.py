@@ -119,8 +119,9 @@ def mix(documents: DataFrame, *carried: Column, seed: str = "mix", weights: tupl
 
 def mixed(documents: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
-    names = documents.columns
     taken = mix(documents, *row_key(documents), **how).groupBy("key_a", "key_b").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    # Rows equal in all columns share a key; the first stands for all their copies.
-    keyed = documents.select("*", *row_key(documents)).join(taken, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
-    return keyed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    # Whole rows as one column, so that no name of theirs can clash. Rows equal in
+    # all columns share a key; the first stands for all their copies.
+    keyed = documents.select(*row_key(documents), F.struct("*").alias("row"))
+    keyed = keyed.join(taken, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    return keyed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -136,6 +136,6 @@ def first_of_group(documents: DataFrame, shingle: int = 3, bits: int = 3) -> Dat
     marked = written(fingerprints(documents.select(*row_key(documents), "doc_id", "text"), shingle), "marked")
     order = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "key_a", "key_b")
     stay = classes(marked, bits, order).select("first.key_a", "first.key_b").distinct()
-    names = documents.columns
-    keyed = documents.select("*", *row_key(documents))
-    return keyed.join(stay, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(*names)
+    # Whole rows as one column, so that no name of theirs can clash.
+    keyed = documents.select(*row_key(documents), F.struct("*").alias("row"))
+    return keyed.join(stay, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select("row.*")

@@ -247,7 +247,7 @@ KINDS = [
     Kind("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn_valid, _digits, _ssn),
     Kind("card", r"(?<![\w\-.])[3-6]\d{3}(?:\d{9,12}|(?:[ \-]\d{4}){3}|[ \-]\d{6}[ \-]\d{5})(?![\w\-])", lambda v: luhn(_digits(v)), _digits, _card),
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip_valid, str, _ip),
-    Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\w)", lambda v: 9 <= len(_digits(v)) <= 15, lambda v: "-".join(_dialled(v)), _phone),
+    Kind("phone", r"(?<![\w+])(?<!\d[ .\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\w|[ .\-]\d)", lambda v: 9 <= len(_digits(v)) <= 15, lambda v: "-".join(_dialled(v)), _phone),
     # Last, and searched for apart from the others.
     Kind("name", rf"\b(?:(?:{_TITLE})\.?\s+(?:{_WORD}+\s+)??(?-i:[A-ZÀ-ÞЀ-ЯΑ-Ω]){_WORD}+|(?:{_GIVEN})\s+(?-i:[A-ZÀ-ÞЀ-ЯΑ-Ω]){_WORD}+)\b", lambda v: True, lambda v: " ".join(v.lower().split()), _name),
 ]
