@@ -4,11 +4,12 @@ from datetime import datetime
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tidings.operators.pages import documents, pdf_captures
 from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
-from tidings.streaming.incremental import ITEMS, OUTBOX, Store, process_batch, run_incremental, small
+from tidings.streaming.incremental import ITEMS, OUTBOX, Store, process_batch, run_incremental, run_pass
 
 AS_OF = "2024-01-31"
 CAPTURE = "url string, final_url string, content_type string, status int, body string"
@@ -92,7 +93,7 @@ def test_outbox_schema_matches_alerts(spark):
 
 
 def test_pending_items_are_tried_again_and_handled_ones_never(spark, tmp_path):
-    store = Store(spark, str(tmp_path)).create()
+    store = Store(spark, str(tmp_path))
     have = spark.createDataFrame([capture("a")], CAPTURE)
     process_batch(store, spark.createDataFrame([item(1, "a"), item(2, "b")], ITEMS), 0, have, AS_OF)
     assert outbox(store) == [("a", 1, 0)]
@@ -104,7 +105,7 @@ def test_pending_items_are_tried_again_and_handled_ones_never(spark, tmp_path):
 
 
 def test_pending_items_are_given_up_outside_the_lookback(spark, tmp_path):
-    store = Store(spark, str(tmp_path)).create()
+    store = Store(spark, str(tmp_path))
     none = spark.createDataFrame([], CAPTURE)
     process_batch(store, spark.createDataFrame([item(1, "a", at=datetime(2024, 1, 20)), item(2, "b")], ITEMS), 0, none, AS_OF, 14)
     process_batch(store, spark.createDataFrame([], ITEMS), 1, none, "2024-03-01", 14)
@@ -112,7 +113,7 @@ def test_pending_items_are_given_up_outside_the_lookback(spark, tmp_path):
 
 
 def test_replay_of_a_batch_replaces_its_own_rows(spark, tmp_path):
-    store = Store(spark, str(tmp_path)).create()
+    store = Store(spark, str(tmp_path))
     have = spark.createDataFrame([capture("a"), capture("b")], CAPTURE)
     rows = spark.createDataFrame([item(1, "a"), item(2, "b")], ITEMS)
     process_batch(store, rows, 0, have, AS_OF)
@@ -122,20 +123,39 @@ def test_replay_of_a_batch_replaces_its_own_rows(spark, tmp_path):
 
 def test_imported_ledger_and_other_streams_count_as_seen(spark, tmp_path):
     have = spark.createDataFrame([capture(u) for u in "abc"], CAPTURE)
-    one, two = (Store(spark, str(tmp_path), name).create() for name in ("one", "two"))
+    one, two = (Store(spark, str(tmp_path), name) for name in ("one", "two"))
     process_batch(one, spark.createDataFrame([item(1, "a")], ITEMS), 0, have, AS_OF)
     process_batch(two, spark.createDataFrame([item(1, "a"), item(2, "b"), item(3, "c")], ITEMS), 0, have, AS_OF,
                   imported=spark.createDataFrame([("b",)], "url string"))
     assert outbox(two) == [("a", 1, 0), ("c", 3, 0)]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_broadcast_and_shuffle_give_the_same(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr("tidings.streaming.incremental.small", lambda rows: small(rows, limit))
-    store = Store(spark, str(tmp_path)).create()
-    rows = spark.createDataFrame([item(i, u) for i, u in enumerate("aabbc")], ITEMS)
-    process_batch(store, rows, 0, spark.createDataFrame([capture("a"), capture("c")], CAPTURE), AS_OF)
-    assert outbox(store) == [("a", 0, 0), ("c", 4, 0)]
+def test_a_capture_that_comes_late_needs_no_new_item(spark, tmp_path):
+    landing, store = f"{tmp_path}/landing", Store(spark, f"{tmp_path}/tables")
+    have = [capture("a")]
+    captures = lambda: spark.createDataFrame(have, CAPTURE)
+    spark.createDataFrame([item(1, "a"), item(2, "b"), item(3, "c")], ITEMS).write.parquet(landing)
+    run_pass(store, landing, captures, AS_OF)
+    assert [u for u, _, _ in outbox(store)] == ["a"]
+    have.append(capture("b"))
+    run_pass(store, landing, captures, AS_OF)
+    assert [u for u, _, _ in outbox(store)] == ["a", "b"]
+    have.append(capture("c"))
+    run_pass(store, landing, captures, AS_OF)
+    run_pass(store, landing, captures, AS_OF)
+    assert [u for u, _, _ in outbox(store)] == ["a", "b", "c"]
+
+
+def test_repeated_captures_and_pdfs_give_one_alert_each(spark):
+    items = spark.createDataFrame([item(1, "a"), item(2, "b.pdf", "\tResults\u00a0")], ITEMS)
+    captures = spark.createDataFrame([capture("a"), capture("a"), capture("b.pdf"), capture("b.pdf", kind="application/pdf")], CAPTURE)
+    times = captures.withColumn("captured_at", F.lit("2024-01-01").cast("timestamp"))
+    newer = spark.createDataFrame([capture("a")], CAPTURE).withColumn("body", F.lit("<p>Revenue of $9 m.")).withColumn("captured_at", F.lit("2024-01-02").cast("timestamp"))
+    seen = spark.createDataFrame([], "url string")
+    rows = {r.url: r for r in cycle.run_once(items, times.unionByName(newer), seen, AS_OF).collect()}
+    assert len(rows) == 2 == cycle.run_once(items, captures, seen, AS_OF).count()
+    assert "9" in rows["a"].revenue.current
+    assert rows["b.pdf"].subject == "[Earnings Watch] Results" and rows["b.pdf"].final_thoughts and not rows["b.pdf"].key_highlights
 
 
 def test_stream_follows_a_folder(spark, tmp_path):
@@ -153,7 +173,7 @@ def test_stream_follows_a_folder(spark, tmp_path):
 def test_any_split_alerts_the_same_addresses_as_one_batch(spark, tmp_path_factory, rows):
     have = spark.createDataFrame([capture(u) for u in "abde"], CAPTURE)
     items = [item(i, u) for i, (u, _) in enumerate(rows)]
-    store = Store(spark, str(tmp_path_factory.mktemp("split"))).create()
+    store = Store(spark, str(tmp_path_factory.mktemp("split")))
     for batch in range(3):
         part = [it for it, (_, k) in zip(items, rows) if k == batch]
         process_batch(store, spark.createDataFrame(part, ITEMS), batch, have, AS_OF)

@@ -134,5 +134,5 @@ def test_table_function(spark):
 
     register(spark)
     spark.createDataFrame([("https://h/ir/", "<li><a href='n'>N</a></li>")], "url string, body string").createOrReplaceTempView("landed")
-    got = spark.sql("SELECT l.item_url, l.title FROM landed c, LATERAL ir_links(c.body, c.url) l").collect()
+    got = spark.sql("SELECT l.item_url, l.title FROM landed c LATERAL VIEW inline(ir_links(c.body, c.url)) l").collect()
     assert [tuple(r) for r in got] == [("https://h/ir/n", "N")]

@@ -80,7 +80,7 @@ def test_comma_list(spark):
 
 def test_host_and_cik(spark):
     assert column(spark, ["/a", "a", "http://x/y"], lambda c: host_url(c, "https://h")) == ["https://h/a", "https://h/a", "http://x/y"]
-    assert column(spark, ["320193", "0000000007", "x", None], pad_cik) == ["0000320193", "0000000007", None, None]
+    assert column(spark, ["320193", "0000000007", "x", None, "12345678901"], pad_cik) == ["0000320193", "0000000007", None, None, "12345678901"]
 
 
 HREFS = ["x.htm", "/x/y", "//other.org/z", "https://a.b/c", "../up", "./same", "a/../../b/./c", "../../../../top",

@@ -65,7 +65,8 @@ def test_rns_items_near_dates():
 
 
 def ir(html, item=None, date=None):
-    return markup.ir_items(html, "https://h.com/ir/", ((item,) if item else ()) + IR_ITEM_SELECTORS, date, IR_DATE_CLASS, urljoin)
+    page = markup.ir_items(html, "https://h.com/ir/", ((item,) if item else ()) + IR_ITEM_SELECTORS, date, IR_DATE_CLASS, urljoin)
+    return [{**i, "date_texts": [page["texts"][d] for d in i["dates"]]} for i in page["items"]]
 
 
 def test_ir_items_first_selector_wins():
@@ -82,6 +83,27 @@ def test_ir_date_candidates_in_order():
     assert ir(html)[0]["date_texts"] == ["3 May 2025", "2 May 2025", "2025-05-05"]
 
 
+def test_what_cannot_be_read_does_not_end_the_page():
+    html = "<p>a<![foo bar]>b</p><article><a href='http://[bad/x'>Bad</a><a href='c'>C</a></article>"
+    assert "<![foo bar]>b" in markup.Page(html).visible_text([])
+    assert [(i["url"], i["resolved"]) for i in ir(html)] == [("http://[bad/x", False), ("https://h.com/ir/c", True)]
+    assert markup.rns_items("<a href='/news-article/x/1'>T</a>", None) == []
+
+
+def test_date_texts_stand_once_on_a_page():
+    html = "<div class='updates'>" + "".join(f"<a href='{i}'>A{i}</a> " for i in range(1_500)) + "</div>"
+    page = markup.ir_items(html, "https://h.com/", ("a",), None, IR_DATE_CLASS, urljoin)
+    assert len(page["items"]) == 1_500 and sum(map(len, page["texts"])) < 2 * len(html)
+
+
+def test_descendant_step_takes_one_pass():
+    html = "<b>" * 4_000 + "<main>" + "<a href='x'>y</a>" * 500 + "</main>"
+    page = markup.Page(html)
+    chosen = markup.Selector("main a")
+    assert len(page.where(chosen.matches)) == 500 and len(page._inside) == 1
+    assert not page.where(markup.Selector(".none a").matches)
+
+
 def test_detail_date():
     assert markup.detail_date_text("<time>1 May 2025</time><meta property='article:published_time' content='x'>") == "1 May 2025"
     assert markup.detail_date_text("<meta property='article:published_time' content='2025-05-01'>") == "2025-05-01"

@@ -98,3 +98,13 @@ NO_FIGURES_NOTE = "Could not confidently extract KPIs; included link and summary
 # Default lookback in days and list pages per issuer.
 LOOKBACK_DAYS = 90
 MAX_PAGES = 2
+
+# Sections of an alert's body, in order, by what they hold.
+SECTIONS = {
+    "_headline": "Headline: ",
+    "_final_url": "URL: ",
+    "_short_summary": "\nSummary: ",
+    "_bullets": "\nKey Highlights:\n - ",
+    "_metrics": "\nMetrics:\n - ",
+    "_final_thoughts": "\nNotes: ",
+}

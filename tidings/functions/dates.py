@@ -110,9 +110,3 @@ def free_date(c: Column) -> Column:
 
 def _or(c: Column, default: str) -> Column:
     return F.when(c == "", default).otherwise(c)
-
-
-def first_readable(candidates: Column, reader) -> Column:
-    """First candidate text of an array that ``reader`` can read (DT4)."""
-    read = F.transform(candidates, reader)
-    return F.try_element_at(F.filter(read, lambda d: d.isNotNull()), F.lit(1))

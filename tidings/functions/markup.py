@@ -40,6 +40,7 @@ class Page(HTMLParser):
         self.text_to: list[int] = []
         self._open: list[int] = []
         self._pending: list[str] = []
+        self._inside: dict[str, list[bool]] = {}
         self.feed(html)
         self.close()
         self._flush()
@@ -58,6 +59,14 @@ class Page(HTMLParser):
 
     handle_comment = handle_decl = handle_pi = unknown_decl = _flush
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            # A declaration that cannot be read is text; the page goes on behind its mark.
+            self.handle_data(self.rawdata[i:i + 2])
+            return i + 2
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         ended = _ENDED_BY.get(tag, ())
@@ -136,6 +145,17 @@ class Page(HTMLParser):
                 return
             yield i
 
+    def inside(self, step) -> list[bool]:
+        """For every element whether one above it matches the step; one pass from the top, kept."""
+        key = repr(step)
+        if key not in self._inside:
+            own = [Selector._step_matches(step, tag, attrs) for tag, attrs in zip(self.tags, self.attrs)]
+            found: list[bool] = []
+            for parent in self.parents:
+                found.append(parent >= 0 and (own[parent] or found[parent]))
+            self._inside[key] = found
+        return self._inside[key]
+
     def time_text(self, i: int | None) -> str:
         """``datetime`` of a ``<time>``, else its text."""
         return "" if i is None else self.attrs[i].get("datetime") or self.stripped_text(i)
@@ -187,10 +207,7 @@ class Selector:
     def matches(self, page: Page, i: int) -> bool:
         if not self._step_matches(self.steps[-1], page.tags[i], page.attrs[i]):
             return False
-        if len(self.steps) == 1:
-            return True
-        return any(self._step_matches(self.steps[0], page.tags[j], page.attrs[j])
-                   for j in page.ancestors(i, len(page.tags)))
+        return len(self.steps) == 1 or page.inside(self.steps[0])[i]
 
 
 def selectors(texts) -> list[Selector]:
@@ -211,8 +228,10 @@ def _date_classes(pattern: re.Pattern):
     return lambda page, i: page.tags[i] in ("span", "div") and pattern.search(page.attrs[i].get("class", ""))
 
 
-def rns_items(html: str, epic: str) -> list[dict]:
-    """Anchors of an issuer's news list with the date text nearest to each."""
+def rns_items(html: str, epic: str | None) -> list[dict]:
+    """Anchors of an issuer's news list with the date text nearest to each; none without an issuer."""
+    if not epic:
+        return []
     page = Page(html)
     needles = (f"/news-article/{epic.upper()}/", f"/news-article/{epic.lower()}/")
     times = page.where(lambda p, i: p.tags[i] == "time")
@@ -232,11 +251,12 @@ def rns_items(html: str, epic: str) -> list[dict]:
     return out
 
 
-def ir_items(html: str, base: str, item_selectors, date_selector, date_class: str, join) -> list[dict]:
+def ir_items(html: str, base: str, item_selectors, date_selector, date_class: str, join) -> dict:
     """Anchors of an IR page in selector order, first occurrence of an address only.
 
-    Date texts are listed in order of preference; the caller reads the first
-    that is a date.
+    ``texts`` has each date text of the page once; an item's ``dates`` point into
+    it in order of preference, and the caller takes the first that is a date. An
+    address that cannot be resolved stays as it is written, with ``resolved`` false.
     """
     page = Page(html)
     times = page.where(lambda p, i: p.tags[i] == "time")
@@ -245,26 +265,35 @@ def ir_items(html: str, base: str, item_selectors, date_selector, date_class: st
     custom = page.where(chosen[0].matches) if chosen else []
     meta = page.published_meta()
     anchors = [i for i, tag in enumerate(page.tags) if tag == "a" and page.attrs[i].get("href")]
-    out, seen = [], set()
+    texts: dict[str, int] = {}
+    read: dict[int, str] = {}
+
+    def text(i: int | None) -> str:
+        if i is None:
+            return ""
+        if i not in read:
+            read[i] = page.stripped_text(i)
+        return read[i]
+
+    items, seen = [], set()
     for rank, selector in enumerate(selectors(item_selectors)):
         for i in anchors:
             if not selector.matches(page, i):
                 continue
-            title = page.stripped_text(i)
-            url = join(base, page.attrs[i]["href"])
+            title, url, resolved = text(i), page.attrs[i]["href"], True
+            try:
+                url = join(base, url)
+            except ValueError:
+                resolved = False
             if not title or url in seen:
                 continue
             seen.add(url)
-            texts = []
-            hit = page.following(custom, i + 1)
-            if hit is not None:
-                texts.append(page.stripped_text(hit))
+            near = [text(page.following(custom, i + 1))]
             for up in page.ancestors(i, 3):
-                span = page.within(dated, up)
-                texts += [page.time_text(page.within(times, up)), page.stripped_text(span) if span is not None else ""]
-            texts.append(meta)
-            out.append({"selector_rank": rank, "url": url, "title": title, "date_texts": [t for t in texts if t]})
-    return out
+                near += [page.time_text(page.within(times, up)), text(page.within(dated, up))]
+            dates = [texts.setdefault(t, len(texts)) for t in dict.fromkeys([*near, meta]) if t]
+            items.append({"selector_rank": rank, "url": url, "title": title, "resolved": resolved, "dates": dates})
+    return {"texts": list(texts), "items": items}
 
 
 def detail_date_text(html: str) -> str | None:

@@ -18,9 +18,11 @@ from tidings.functions.text import TO_END, first_match, squash
 _ANY_PERIOD = "(?i)(?:" + "|".join(p.removeprefix("(?i)") for p in PERIODS) + ")"
 
 
-def with_period(df: DataFrame, title: str = "title", text: str = "text", name: str = "period") -> DataFrame:
+def with_period(df: DataFrame, title: str = "title", text: str = "text", name: str = "period", head: int = PERIOD_HEAD) -> DataFrame:
     """Add ``Q3 2024``, ``H1 2024`` or ``FULL-YEAR 2024``: title first, then the top of the text (TX7, LM5).
 
+    The top is the first ``head`` characters.
+
     Each blob is searched once for periods of any kind; which kind takes
     precedence is settled on the short list of what was found.
     """
@@ -30,7 +32,7 @@ def with_period(df: DataFrame, title: str = "title", text: str = "text", name: s
 
     listed = df.select(
         "*", mentions(F.col(title)).alias("_title_periods"),
-        mentions(F.substring(text, 1, PERIOD_HEAD)).alias("_text_periods"))
+        mentions(F.substring(text, 1, head)).alias("_text_periods"))
     found = F.coalesce(*[
         F.when(F.col(blob) != "", first_match(F.col(blob), pattern))
         for blob in ("_title_periods", "_text_periods") for pattern in PERIODS])

@@ -10,8 +10,10 @@ from tidings.functions.text import TO_END
 
 
 def pad_cik(c: Column) -> Column:
-    """Issuer number as ten digits; null if it is not a number."""
-    return F.lpad(c.try_cast("bigint").cast("string"), 10, "0")
+    """Issuer number as ten digits or more; null if it is not a number."""
+    number = c.try_cast("bigint").cast("string")
+    # Padding would also cut, and a longer number cut short is another issuer's.
+    return F.when(F.length(number) < 10, F.lpad(number, 10, "0")).otherwise(number)
 
 
 def archive_key(cik: Column, accession: Column) -> Column:

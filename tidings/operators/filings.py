@@ -10,7 +10,7 @@ from tidings.functions.dates import cutoff, filing_date
 from tidings.functions.text import blank_to_null, first_match
 from tidings.functions.urls import archive_folder, archive_key, index_url, join_url, pad_cik, primary_url
 from tidings.operators.items import first_per_key
-from tidings.operators.joins import salted_join
+from tidings.operators.joins import hot_key_join
 
 
 # -- issuers ---------------------------------------------------------------
@@ -50,7 +50,7 @@ def with_issuer(filings: DataFrame, issuers: DataFrame) -> DataFrame:
     One issuer may have a large share of all filings; ``accession`` tells its
     rows apart.
     """
-    return salted_join(filings, issuers.select("cik10", "name", "ticker"), ["cik10"], "inner", by=["accession"])
+    return hot_key_join(filings, issuers.select("cik10", "name", "ticker"), ["cik10"], "inner", by=["accession"])
 
 
 # -- filters ---------------------------------------------------------------
@@ -80,33 +80,38 @@ def with_document(filings: DataFrame, captures: DataFrame) -> DataFrame:
     """Filings with the ``url`` of the document to read (JN2, FL8, PJ3).
 
     The primary document and the filing's index both stand in the folder of the
-    filing. Captures are cut down to three small columns in their scan, then
-    filings and captures meet once, on the folder, and one aggregation per
-    filing reads both answers: bodies are scanned once and never shuffled, and
-    the aggregation keeps the partitioning of the join. Filings that are equal
-    in all columns become one.
+    filing. Captures outside the wanted folders are left out by their address
+    before a body is read; the others are cut down to three small columns and
+    collected by folder (a filing's few documents), and each filing then looks
+    up its own. Bodies are scanned once and never shuffled, and equal filings
+    stay as many as they are.
     """
     cik, accession = F.col("cik10"), F.col("accession")
     inside = "^" + ARCHIVE_ROOT.replace(".", r"\.") + r"(\d+/\d+)/(.+)$"
     wanted = filings.withColumn("_key", archive_key(cik, accession))
-    seen = captures.filter((F.col("status") < 400) & F.col("url").rlike(inside)).select(
-        F.regexp_extract("url", inside, 1).alias("_key"),
-        F.regexp_extract("url", inside, 2).alias("_name"),
-        F.col("body").rlike(ITEM_202).alias("_earnings"),
-        first_match(F.col("body"), EXHIBIT_LINK, 1).alias("_exhibit"),
-    )
-    is_primary = F.col("_name") == F.col("primary_doc")
-    is_index = F.col("_name") == F.concat("accession", F.lit("-index.html"))
+    name = F.regexp_extract("url", inside, 2)
+    # The exhibit link is asked of index pages only, the item of all others.
+    is_index = name.endswith("-index.html")
+    seen = captures.filter((F.col("status") < 400) & F.col("url").rlike(inside)).withColumn("_key", F.regexp_extract("url", inside, 1)).join(
+        wanted.select("_key").distinct(), "_key", "left_semi").select(
+        "_key", F.struct(
+            name.alias("name"),
+            F.when(~is_index, F.col("body").rlike(ITEM_202)).alias("earnings"),
+            F.when(is_index, first_match(F.col("body"), EXHIBIT_LINK, 1)).alias("exhibit"),
+        ).alias("_document"))
+    folders = seen.groupBy("_key").agg(F.collect_set("_document").alias("_documents"))
+
+    def of(file):
+        return F.filter("_documents", lambda d: d["name"] == file)
+
     none = F.lit(False)
-    facts = (
-        wanted.join(seen, "_key", "left")
-        .groupBy("_key", *filings.columns)
-        .agg(
-            F.coalesce(F.bool_or(is_primary), none).alias("_has_primary"),
-            F.coalesce(F.bool_or(is_primary & F.col("_earnings")), none).alias("_is_earnings"),
-            F.coalesce(F.bool_or(is_index), none).alias("_has_index"),
-            F.max(F.when(is_index, F.col("_exhibit"))).alias("_exhibit"),
-        )
+    facts = wanted.join(folders, "_key", "left").select(
+        "*", of(F.col("primary_doc")).alias("_primary"), of(F.concat("accession", F.lit("-index.html"))).alias("_index")).select(
+        "*",
+        F.coalesce(F.size("_primary") > 0, none).alias("_has_primary"),
+        F.coalesce(F.exists("_primary", lambda d: F.coalesce(d["earnings"], none)), none).alias("_is_earnings"),
+        F.coalesce(F.size("_index") > 0, none).alias("_has_index"),
+        F.array_max(F.transform("_index", lambda d: d["exhibit"])).alias("_exhibit"),
     )
     asks_index = (F.col("form") == "8-K") & ~F.col("_is_earnings")
     primary = primary_url(cik, accession, F.col("primary_doc"))

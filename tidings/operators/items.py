@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_KEYWORDS, MAX_PAGES, RNS_KEYWORDS, SOURCE_RANK
 from tidings.functions.dates import cutoff
-from tidings.operators.joins import salted_join
+from tidings.operators.joins import hot_key_join
 from tidings.operators.pages import detail_dates
 
 
@@ -120,7 +120,7 @@ def read_pages(list_pages: DataFrame, items: DataFrame, as_of, days: int, max_pa
 def paged_items(list_pages: DataFrame, items: DataFrame, as_of, days: int, max_pages: int = MAX_PAGES) -> DataFrame:
     """Items of the list pages that paging reaches."""
     reached = read_pages(list_pages, items, as_of, days, max_pages)
-    return salted_join(
+    return hot_key_join(
         items.filter(F.col("page_no") <= max_pages), reached, ["epic", "page_no"], "left_semi", by=["item_idx"])
 
 
@@ -135,6 +135,6 @@ def with_detail_dates(items: DataFrame, captures: DataFrame, keywords: str = RNS
     undated = items.filter(needs)
     wanted = undated.select("url").distinct()
     dates = detail_dates(captures.join(wanted, "url", "left_semi"))
-    filled = salted_join(undated, dates, ["url"], "left", by=["item_idx"]).select(
+    filled = hot_key_join(undated, dates, ["url"], "left", by=["item_idx"]).select(
         *[F.col("detail_at").alias("published_at") if c == "published_at" else F.col(c) for c in items.columns])
     return items.filter(~needs).unionByName(filled)

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def default_salts(df: DataFrame) -> int:
-    """Salts for the session's shuffles: few on one machine, up to 256 on a large cluster."""
-    return max(4, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+#: Rows of one key that a task may meet, keys that are dealt out, and tasks a key is dealt to.
+HOT_ROWS, HOT_KEYS, MOST_SALTS = 100_000, 256, 256
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], salts: int | None = None) -> DataFrame:
-    """Join ``many`` rows to ``few`` narrow ones, with each key dealt out over ``salts`` tasks.
+def hot_key_join(many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join ``many`` rows to ``few`` narrow ones, with hot keys dealt out over several tasks.
 
-    Every row of ``many`` gets a salt from the columns ``by`` that differ
-    within a key, and ``few`` is repeated once per salt, so each pair meets
-    exactly once. The salt comes from the row, not from chance, and a task that
-    is run again deals the same. Runtime skew splitting does not cover these
-    joins, because the ``few`` side arrives from a window or an aggregation
-    instead of straight from a shuffle. If ``few`` is measured small enough,
-    the join is still broadcast.
+    Rows are counted per key, and the heaviest keys beyond ``hot_rows`` get a salt
+    for each ``hot_rows`` rows, taken from the columns ``by`` that differ within a
+    key, so a task that is run again deals the same. Only these keys are repeated
+    on the other side. They are at most ``HOT_KEYS``, which bounds what is broadcast
+    to mark them, and at most ``HOT_KEYS * MOST_SALTS`` rows are added, so the
+    planner's size of ``few`` stays true and a small one is broadcast as it is.
+    All other keys join plainly. Null keys match nothing.
     """
-    salts = salts or default_salts(many)
-    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    salts = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MOST_SALTS)).cast("int")
+    hot = F.broadcast(counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, salts.alias("_salts")))
+    dealt = many.join(hot, keys, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    repeated = few.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

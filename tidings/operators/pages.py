@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_DATE_CLASS, IR_ITEM_SELECTORS, JUNK_SELECTORS, RNS_HOST
 from tidings.functions import markup
-from tidings.functions.dates import date_text, first_readable, free_date, listed_date
+from tidings.functions.dates import date_text, free_date, listed_date
 from tidings.functions.text import blank_to_null, decode_entities, strip
 from tidings.functions.urls import host_url
 
 _RNS_ITEMS = "array<struct<href:string,title:string,date_text:string>>"
-_IR_ITEMS = "array<struct<selector_rank:int,url:string,title:string,date_texts:array<string>>>"
+_IR_PAGE = ("struct<texts:array<string>,"
+            "items:array<struct<selector_rank:int,url:string,title:string,resolved:boolean,dates:array<int>>>>")
 
 
 def fetched(captures: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def html_captures(captures: DataFrame) -> DataFrame:
 
 
 def pdf_captures(captures: DataFrame) -> DataFrame:
-    """Fetched captures routed out because they are PDFs."""
+    """Fetched captures that are PDFs: documents without a readable text (SC8)."""
     return fetched(captures).filter(is_pdf())
 
 
@@ -85,8 +86,10 @@ def documents(captures: DataFrame, junk=JUNK_SELECTORS) -> DataFrame:
 def rns_listing(captures: DataFrame, host: str = RNS_HOST) -> DataFrame:
     """List pages to dated items (SC6, FL6, FL7, DT1, TX14).
 
-    ``captures`` carries ``epic`` beside the body. One row per anchor, with its
-    position on the page in ``pos``.
+    ``captures`` carries ``epic`` beside the body; a page without one has no items
+    and is listed by :func:`unreadable_list_pages`. One row per anchor, with its
+    position on the page in ``pos``. (An outer explode keeps the optimizer from
+    asking for the size of the items first, which would parse each page twice.)
     """
 
     @F.pandas_udf(_RNS_ITEMS)
@@ -97,7 +100,7 @@ def rns_listing(captures: DataFrame, host: str = RNS_HOST) -> DataFrame:
     return (
         fetched(captures)
         .select(*keep, items("body", "epic").alias("_items"))
-        .select(*keep, F.posexplode("_items").alias("pos", "_item"))
+        .select(*keep, F.posexplode_outer("_items").alias("pos", "_item")).where("pos is not null")
         .select(
             *keep, "pos",
             host_url(F.col("_item.href"), host).alias("item_url"),
@@ -113,32 +116,40 @@ def ir_listing(captures: DataFrame, item_selector: str | None = None, date_selec
     ``item_selector`` and ``date_selector`` name columns of ``captures`` that
     hold an issuer's own selectors. An address counts once per page, for the
     first selector that finds it; that is settled inside the page, so no
-    shuffle is needed.
+    shuffle is needed. Date texts leave Python once per page and are read there
+    once, before the page is taken apart into items. ``quarantine`` says what is
+    wrong with an item that is kept all the same.
     """
     own_item = F.col(item_selector) if item_selector else F.lit(None).cast("string")
     own_date = F.col(date_selector) if date_selector else F.lit(None).cast("string")
 
-    @F.pandas_udf(_IR_ITEMS)
-    def items(bodies: pd.Series, bases: pd.Series, firsts: pd.Series, dates: pd.Series) -> pd.Series:
-        return pd.Series([
+    @F.pandas_udf(_IR_PAGE)
+    def items(bodies: pd.Series, bases: pd.Series, firsts: pd.Series, dates: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([
             markup.ir_items(
                 body or "", base, ((first,) if first else ()) + IR_ITEM_SELECTORS, date, IR_DATE_CLASS, urljoin)
             for body, base, first, date in zip(bodies, bases, firsts, dates)
-        ])
+        ], columns=["texts", "items"])
 
     keep = [c for c in captures.columns if c != "body"]
     return (
         fetched(captures)
-        .select(*keep, items("body", "final_url", own_item, own_date).alias("_items"))
-        .select(*keep, F.posexplode("_items").alias("pos", "_item"))
-        .select(
-            *keep, "pos", "_item.selector_rank",
-            F.col("_item.url").alias("item_url"), F.col("_item.title").alias("title"),
-            first_readable(F.transform("_item.date_texts", date_text), free_date).alias("published_at"),
-        )
+        .select(*keep, items("body", "final_url", own_item, own_date).alias("_page"))
+        .select(*keep, "_page.items", F.transform(F.transform("_page.texts", date_text), free_date).alias("_dates"))
+        .select(*keep, F.posexplode_outer(F.transform("items", lambda i: F.struct(
+            i["selector_rank"].alias("selector_rank"), i["url"].alias("item_url"), i["title"].alias("title"),
+            F.get(F.filter(F.transform(i["dates"], lambda d: F.get("_dates", d)), lambda d: d.isNotNull()), F.lit(0)).alias("published_at"),
+            F.when(~i["resolved"], "address not resolved").alias("quarantine"),
+        ))).alias("pos", "_item")).where("pos is not null")
+        .select(*keep, "pos", "_item.*")
     )
 
 
+def unreadable_list_pages(captures: DataFrame) -> DataFrame:
+    """Fetched list pages that :func:`rns_listing` cannot read, with the ``reason`` (IN6)."""
+    return fetched(captures).where(F.coalesce("epic", F.lit("")) == "").drop("body").withColumn("reason", F.lit("no epic"))
+
+
 def detail_dates(captures: DataFrame) -> DataFrame:
     """Publication date on an article's own page; null if unreadable (SC9)."""
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.fixed_values import IR_KEYWORDS, LOOKBACK_DAYS, RNS_KEYWORDS
-from tidings.operators.items import first_source_wins, in_window, matches, unseen, valid_items
-from tidings.operators.pages import documents, html_captures
+from tidings.fixed_values import IR_KEYWORDS, JUNK_SELECTORS, LOOKBACK_DAYS, RNS_KEYWORDS
+from tidings.operators.items import first_per_key, first_source_wins, in_window, matches, unseen, valid_items
+from tidings.operators.pages import documents, fetched, pdf_captures
 from tidings.plans.summary import alerts, payloads
 
 
@@ -26,30 +26,48 @@ def screened(items: DataFrame, as_of, days: int = LOOKBACK_DAYS,
     return in_window(valid_items(items).filter(wanted), as_of, days)
 
 
-def candidates(items: DataFrame, ledger: DataFrame, as_of, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """New items, once each (FL -> WN1 -> JN4).
+def candidates(items: DataFrame, ledger: DataFrame, as_of, days: int = LOOKBACK_DAYS, **keywords: str) -> DataFrame:
+    """New items, once each (FL -> WN1 -> JN4); ``keywords`` as in :func:`screened`.
 
     Both steps work by address: the ledger join reuses the partitioning of the
     first-wins step, and runs before any document is touched.
     """
-    return unseen(first_source_wins(screened(items, as_of, days)), ledger)
+    return unseen(first_source_wins(screened(items, as_of, days, **keywords)), ledger)
 
 
-def alerts_for(candidate_items: DataFrame, captures: DataFrame) -> DataFrame:
+def with_capture(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    """Rows, one for each ``url``, with the newest fetched capture of their address (JN5).
+
+    ``captured_at``, where captures have it, tells which is newest; equal ones are
+    decided by content. Only addresses that are wanted come into the window, which
+    takes over the partitioning of the join.
+    """
+    if "captured_at" not in captures.columns:
+        captures = captures.withColumn("captured_at", F.lit(None).cast("timestamp"))
+    landed = fetched(captures).select("url", "final_url", "content_type", "status", "body", "captured_at")
+    joined = rows.join(landed, "url")
+    return first_per_key(joined, ["url"], [F.desc_nulls_last("captured_at"), F.xxhash64("body", "final_url", "content_type")]).drop("captured_at")
+
+
+def alerts_for(candidate_items: DataFrame, captures: DataFrame, junk=JUNK_SELECTORS) -> DataFrame:
     """Alerts of the candidates whose document was fetched (JN5 -> TX1 -> TX10 -> TX13).
 
     The join comes before cleaning, so only documents that are needed are parsed.
+    A PDF has no readable text here: its alert has headline, address and note.
     """
-    landed = html_captures(captures).select("url", "final_url", "content_type", "status", "body")
-    read = documents(candidate_items.join(landed, "url")).drop("content_type", "status")
-    return alerts(payloads(read))
+    landed = with_capture(candidate_items, captures)
+    read = documents(landed, junk).drop("content_type", "status")
+    none = F.lit(None).cast("string")
+    unread = pdf_captures(landed).drop("content_type", "status", "body").withColumn("title_html", none).withColumn("text", F.lit(""))
+    return alerts(payloads(read.unionByName(unread)))
 
 
 def pending_for(candidate_items: DataFrame, captures: DataFrame) -> DataFrame:
     """Candidates whose document is not there yet; they stay unseen (JN5, IN3)."""
-    return candidate_items.join(html_captures(captures).select("url"), "url", "left_anti")
+    return candidate_items.join(fetched(captures).select("url"), "url", "left_anti")
 
 
-def run_once(items: DataFrame, captures: DataFrame, ledger: DataFrame, as_of, days: int = LOOKBACK_DAYS) -> DataFrame:
+def run_once(items: DataFrame, captures: DataFrame, ledger: DataFrame, as_of, days: int = LOOKBACK_DAYS,
+             junk=JUNK_SELECTORS, **keywords: str) -> DataFrame:
     """Alerts of one pass. Nothing is written, so this is also the dry run (SK2)."""
-    return alerts_for(candidates(items, ledger, as_of, days), captures)
+    return alerts_for(candidates(items, ledger, as_of, days, **keywords), captures, junk)

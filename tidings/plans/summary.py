@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import (
-    BLANK_HEADLINE, MAX_HIGHLIGHTS, METRICS, NO_FIGURES_NOTE, SUBJECT_PREFIX,
+    BLANK_HEADLINE, MAX_GUIDANCE, MAX_HIGHLIGHTS, METRICS, NO_FIGURES_NOTE, PERIOD_HEAD, SECTIONS, SUBJECT_PREFIX,
 )
 from tidings.functions.figures import with_figures
 from tidings.functions.narrative import guidance_sentences, with_period
-from tidings.functions.text import blank_to_null
+from tidings.functions.text import blank_to_null, strip
 from tidings.operators.pages import headline
 
 
@@ -26,9 +26,14 @@ def _shown(metric: str) -> Column:
     )
 
 
-def payloads(documents: DataFrame, max_highlights: int = MAX_HIGHLIGHTS) -> DataFrame:
+def payloads(documents: DataFrame, max_highlights: int = MAX_HIGHLIGHTS, max_guidance: int = MAX_GUIDANCE,
+             period_head: int = PERIOD_HEAD) -> DataFrame:
     """Documents (``url, final_url, title, title_html, text``) to payloads.
 
+    ``max_guidance`` sentences are taken up, of which with the figures
+    ``max_highlights`` are shown; periods are looked for in the first ``period_head``
+    characters. A document without text, such as a PDF, has its headline only.
+
     Covers TX9, TX10, PJ4, PJ5, AG4, AG5, AG8, LM2, LM3. Columns of the input
     other than the texts are kept.
     """
@@ -36,9 +41,9 @@ def payloads(documents: DataFrame, max_highlights: int = MAX_HIGHLIGHTS) -> Data
     base = documents.select(
         *keep, "final_url", "title", "text",
         headline(F.col("title"), F.col("title_html"), F.col("url")).alias("headline"),
-        guidance_sentences(F.col("text")).alias("_guidance"),
+        guidance_sentences(F.col("text"), max_guidance).alias("_guidance"),
     )
-    read = with_figures(with_period(base, name="_period").drop("title")).drop("text")
+    read = with_figures(with_period(base, name="_period", head=period_head).drop("title")).drop("text")
     labels = {m: label for m, (label, _, _) in METRICS.items()}
     shown = read.select("*", *[_shown(m).alias(f"_{m}") for m in METRICS])
     nothing = F.coalesce(*[F.col(f"_{m}") for m in METRICS]).isNull()
@@ -61,7 +66,7 @@ def payloads(documents: DataFrame, max_highlights: int = MAX_HIGHLIGHTS) -> Data
 
 def subject(prefix: str = SUBJECT_PREFIX) -> Column:
     """Subject line (TX11)."""
-    return F.concat(F.lit(prefix + " "), F.coalesce(blank_to_null(F.trim("headline")), F.lit(BLANK_HEADLINE)))
+    return F.concat(F.lit(prefix + " "), F.coalesce(blank_to_null(strip(F.col("headline"))), F.lit(BLANK_HEADLINE)))
 
 
 def metric_lines() -> Column:
@@ -74,10 +79,10 @@ def alerts(payload: DataFrame, prefix: str = SUBJECT_PREFIX) -> DataFrame:
 
     Sections without content are left out of the body.
     """
-    bullets = F.filter(F.transform("key_highlights", F.trim), lambda b: b != "")
+    bullets = F.filter(F.transform("key_highlights", strip), lambda b: b != "")
     listed = payload.select(
         "*",
-        *[F.trim(c).alias(f"_{c}") for c in ("headline", "final_url", "short_summary", "final_thoughts")],
+        *[strip(F.col(c)).alias(f"_{c}") for c in ("headline", "final_url", "short_summary", "final_thoughts")],
         F.array_join(bullets, "\n - ").alias("_bullets"),
         metric_lines().alias("_metrics"),
     )
@@ -87,11 +92,6 @@ def alerts(payload: DataFrame, prefix: str = SUBJECT_PREFIX) -> DataFrame:
 
     body = F.concat(F.concat_ws(
         "\n",
-        part("Headline: ", "_headline"),
-        part("URL: ", "_final_url"),
-        part("\nSummary: ", "_short_summary"),
-        part("\nKey Highlights:\n - ", "_bullets"),
-        part("\nMetrics:\n - ", "_metrics"),
-        part("\nNotes: ", "_final_thoughts"),
+        *[part(before, name) for name, before in SECTIONS.items()],
     ), F.lit("\n"))
     return listed.select(*payload.columns, subject(prefix).alias("subject"), body.alias("body"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,11 +53,15 @@ def spread(scan: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local run) is a temporary folder made,
-    once per process.
+    Only a local run may leave it unset; a temporary folder is then made, once per
+    process. On a cluster each executor would have a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else _local_folder()
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
 
 
 @functools.cache

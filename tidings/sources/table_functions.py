@@ -1,23 +1,29 @@
-"""List extraction for SQL users, as a table function."""
+"""List extraction for SQL users."""
 
 from __future__ import annotations
 
 from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_DATE_CLASS, IR_ITEM_SELECTORS
 from tidings.functions import markup
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``ir_links(body, base)`` available: ``SELECT c.url, l.* FROM captures c, LATERAL ir_links(c.body, c.url) l`` (UD6)."""
-
-    @udtf(returnType="item_url string, title string, date_texts array<string>")
-    class IrLinks:
-        def eval(self, body: str, base: str):
-            for found in markup.ir_items(body or "", base, IR_ITEM_SELECTORS, None, IR_DATE_CLASS, urljoin):
-                yield found["url"], found["title"], found["date_texts"]
-
-    spark.udtf.register("ir_links", IrLinks)
+    """Make ``ir_links(body, base)`` available, an array for ``inline`` (UD6):
+    ``SELECT c.url, l.* FROM captures c LATERAL VIEW inline(ir_links(c.body, c.url)) l``.
+
+    Bodies go to Python in Arrow batches; table functions in Arrow form cannot
+    stand in a lateral join.
+    """
+    @F.pandas_udf("array<struct<item_url:string,title:string,date_texts:array<string>>>")
+    def ir_links(bodies: pd.Series, bases: pd.Series) -> pd.Series:
+        pages = [markup.ir_items(body or "", base or "", IR_ITEM_SELECTORS, None, IR_DATE_CLASS, urljoin) for body, base in zip(bodies, bases)]
+        return pd.Series([
+            [{"item_url": i["url"], "title": i["title"], "date_texts": [page["texts"][d] for d in i["dates"]]} for i in page["items"]]
+            for page in pages])
+
+    spark.udf.register("ir_links", ir_links)

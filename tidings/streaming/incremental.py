@@ -13,14 +13,17 @@ outbox partition when it looks up what is already handled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from tidings.fixed_values import LOOKBACK_DAYS
+from tidings.fixed_values import JUNK_SELECTORS, LOOKBACK_DAYS
 from tidings.operators.items import first_source_wins
 from tidings.plans.cycle import alerts_for, screened
 
@@ -32,8 +35,7 @@ OUTBOX = ("url string, source string, source_rank int, item_idx bigint, epic str
           " published_at timestamp, headline string, final_url string, short_summary string,"
           f" key_highlights array<string>, {_FIGURES}, final_thoughts string, subject string, body string")
 
-# Beyond this many bytes of item rows, joins with them shuffle instead.
-BROADCAST_BYTES = 64 * 1024 * 1024
+COLUMNS = {"candidates": ITEMS, "outbox": OUTBOX}
 
 
 @dataclass(frozen=True)
@@ -44,23 +46,36 @@ class Store:
     base: str
     stream: str = "items"
 
-    def create(self) -> Store:
-        """Make the tables exist, empty, so that they can be read before the first write."""
-        for name, columns in (("candidates", ITEMS), ("outbox", OUTBOX)):
-            empty = self.spark.createDataFrame([], columns + _KEYS)
-            empty.write.mode("append").partitionBy("stream", "batch_id").parquet(f"{self.base}/{name}")
-        return self
+    def _at(self, path: str, schema: str) -> DataFrame | None:
+        """A table that may not be there yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def read(self, name: str) -> DataFrame:
-        columns = {"candidates": ITEMS, "outbox": OUTBOX}[name]
-        return self.spark.read.schema(columns + _KEYS).parquet(f"{self.base}/{name}")
+        schema = COLUMNS[name] + _KEYS
+        rows = self._at(f"{self.base}/{name}", schema)
+        return self.spark.createDataFrame([], schema) if rows is None else rows
+
+    def _path(self, name: str, batch_id: int) -> str:
+        return f"{self.base}/{name}/stream={self.stream}/batch_id={batch_id}"
 
     def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.base}/{name}/stream={self.stream}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(self._path(name, batch_id))
 
     def of_batch(self, name: str, batch_id: int) -> DataFrame:
-        rows = self.read(name)
-        return rows.filter((F.col("stream") == self.stream) & (F.col("batch_id") == batch_id)).drop("stream", "batch_id")
+        """One batch, read by its own folder; the others are not listed."""
+        rows = self._at(self._path(name, batch_id), COLUMNS[name])
+        return self.spark.createDataFrame([], COLUMNS[name]) if rows is None else rows
+
+    def last_batch(self, name: str) -> int:
+        """Number of the last batch written, -1 if none is."""
+        rows = self._at(f"{self.base}/{name}/stream={self.stream}", COLUMNS[name] + ", batch_id bigint")
+        numbers = [int(n) for f in (rows.inputFiles() if rows is not None else []) for n in re.findall(r"/batch_id=(\d+)/", f)]
+        return max(numbers, default=-1)
 
     def handled_before(self, batch_id: int) -> DataFrame:
         """Addresses in the outbox, without this batch and later ones of the stream."""
@@ -78,54 +93,64 @@ class Store:
         return self.spark.read.schema(rows.schema).parquet(path)
 
 
-def small(rows: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether item rows, measured, are small enough to be sent to every executor."""
-    text = F.coalesce(F.octet_length("url"), F.lit(0)) + F.coalesce(F.octet_length("title"), F.lit(0))
-    measured = rows.agg(F.sum(text.cast("bigint") + 128).alias("bytes")).first()
-    return (measured["bytes"] or 0) <= limit
+def taken_columns() -> list[str]:
+    """Columns of the outbox, in order."""
+    return [field.name for field in StructType.fromDDL(OUTBOX)]
 
 
 def process_batch(store: Store, items: DataFrame, batch_id: int, captures: DataFrame, as_of,
-                  days: int = LOOKBACK_DAYS, imported: DataFrame | None = None) -> None:
+                  days: int = LOOKBACK_DAYS, imported: DataFrame | None = None, junk=JUNK_SELECTORS, **keywords: str) -> None:
     """One micro-batch: new items and carried-over ones to alerts (IN2-IN6).
 
-    A batch is small beside the ledger and the captures. Where its measured
-    size allows, it is broadcast and those two are streamed past it, so neither
-    is shuffled; beyond that size, all joins shuffle by address. Carried-over
-    items are screened again, so they are given up once they leave the lookback.
+    What a batch takes up is written and read back, so its true size decides
+    whether it is sent past the ledger and the captures or joined by address.
+    Carried-over items are screened again, so they are given up once they leave
+    the lookback. ``junk`` and ``keywords`` are those of a single pass.
     """
     columns = [c.strip().split(" ")[0] for c in ITEMS.split(",")]
     carried = store.pending_after(batch_id - 1).select(*columns)
-    fresh = store.intake(first_source_wins(screened(items.select(*columns).unionByName(carried), as_of, days)))
-    send = F.broadcast if small(fresh) else (lambda rows: rows)
+    fresh = store.intake(first_source_wins(screened(items.select(*columns).unionByName(carried), as_of, days, **keywords)))
 
     ledger = store.handled_before(batch_id)
     if imported is not None:
         ledger = ledger.unionByName(imported.select("url"))
-    known = ledger.join(send(fresh.select("url")), "url", "left_semi")
+    known = ledger.join(fresh.select("url"), "url", "left_semi")
     store.write("candidates", fresh.join(known, "url", "left_anti").select(*columns), batch_id)
 
     taken = store.of_batch("candidates", batch_id)
-    store.write("outbox", alerts_for(send(taken), captures).select(
-        *[F.col(f.name) for f in store.read("outbox").schema if f.name not in ("stream", "batch_id")]), batch_id)
+    store.write("outbox", alerts_for(taken, captures, junk).select(*taken_columns()), batch_id)
+
+
+def retry_pending(store: Store, captures: DataFrame, as_of, days: int = LOOKBACK_DAYS, imported: DataFrame | None = None,
+                  junk=JUNK_SELECTORS, **keywords: str) -> None:
+    """Try again what is left without a document, whether or not new items came (IN3).
+
+    A pass of its own stream, numbered after its last one that came to an end, so
+    one that broke off is replaced by the next. The first stream and this one see
+    each other's outbox, so nothing is alerted twice.
+    """
+    again = replace(store, stream=f"{store.stream}-retry")
+    pending = store.pending_after(store.last_batch("candidates"))
+    process_batch(again, pending, again.last_batch("outbox") + 1, captures, as_of, days, imported, junk, **keywords)
 
 
 def run_incremental(store: Store, landing: str, captures: Callable[[], DataFrame], as_of, days: int = LOOKBACK_DAYS,
                     imported: DataFrame | None = None, files_per_batch: int | None = None,
-                    every: str | None = None) -> StreamingQuery:
+                    every: str | None = None, junk=JUNK_SELECTORS, **keywords: str) -> StreamingQuery:
     """Follow a landing folder of item files (IN1).
 
     By default all files landed so far are taken up and the query ends; with
     ``every`` (such as ``"60 seconds"``) it keeps polling. ``captures`` is
-    called in each batch, so documents that arrived since are found.
+    called in each batch, so documents that arrived since are found. A stream
+    runs no batch without new files: :func:`run_pass`, or :func:`retry_pending`
+    beside a polling query, tries pending items again all the same.
     """
-    store.create()
     reader = store.spark.readStream.schema(ITEMS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        process_batch(store, batch, batch_id, captures(), as_of, days, imported)
+        process_batch(store, batch, batch_id, captures(), as_of, days, imported, junk, **keywords)
 
     writer = (
         reader.parquet(landing).writeStream.foreachBatch(handle)
@@ -133,3 +158,11 @@ def run_incremental(store: Store, landing: str, captures: Callable[[], DataFrame
     )
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def run_pass(store: Store, landing: str, captures: Callable[[], DataFrame], as_of, days: int = LOOKBACK_DAYS,
+             imported: DataFrame | None = None, **how) -> None:
+    """One run as a scheduled job has it: all new files, then what is still pending (IN1, IN3)."""
+    run_incremental(store, landing, captures, as_of, days, imported, **how).awaitTermination()
+    how.pop("files_per_batch", None)
+    retry_pending(store, captures(), as_of, days, imported, **how)
