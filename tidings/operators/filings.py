@@ -50,7 +50,8 @@ def with_issuer(filings: DataFrame, issuers: DataFrame) -> DataFrame:
     One issuer may have a large share of all filings; ``accession`` tells its
     rows apart.
     """
-    return hot_key_join(filings, issuers.select("cik10", "name", "ticker"), ["cik10"], "inner", by=["accession"])
+    columns = [c for c in ("cik10", "name", "ticker", "position") if c in issuers.columns]
+    return hot_key_join(filings, issuers.select(*columns), ["cik10"], "inner", by=["accession"])
 
 
 # -- filters ---------------------------------------------------------------

@@ -18,8 +18,16 @@ def expected_list_pages(epics: DataFrame, max_pages: int = MAX_PAGES, host: str
 
 
 def list_page_captures(epics: DataFrame, captures: DataFrame, max_pages: int = MAX_PAGES, host: str = RNS_HOST) -> DataFrame:
-    """Captures of the expected list pages, with ``epic`` and ``page_no`` (SC10)."""
-    return expected_list_pages(epics, max_pages, host).join(captures, "url")
+    """Captures of the expected list pages, with ``page_no`` and the columns of ``epics`` (SC10).
+
+    Issuer and page stand in the address, so a capture that no issuer or page
+    number asks for is left out in the scan, and what is joined is a narrow row
+    per issuer.
+    """
+    inside = "^" + host.replace(".", r"\.") + r"/stock/([^/]+)/company-news\?page=(\d+)$"
+    read = captures.where(F.col("url").rlike(inside)).withColumn("epic", F.regexp_extract("url", inside, 1)).withColumn(
+        "page_no", F.regexp_extract("url", inside, 2).cast("int"))
+    return read.where(F.col("page_no").between(1, max_pages)).join(epics, "epic")
 
 
 def ir_items(issuers: DataFrame, captures: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -9,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
+
 ITEM_COLUMNS = ("source", "source_rank", "item_idx", "epic", "page_no", "url", "title", "published_at")
 
 
@@ -21,13 +24,24 @@ class Source:
     read: Callable[[SparkSession, object], DataFrame]
 
 
-def all_items(spark: SparkSession, sources: Iterable[Source], as_of, enabled: Iterable[str] | None = None) -> DataFrame:
-    """Union of the sources switched on, each with its name and rank (ST1, FL9)."""
+def all_items(spark: SparkSession, sources: Iterable[Source], as_of, enabled: Iterable[str] | None = None,
+              failed: list[tuple[str, Exception]] | None = None) -> DataFrame:
+    """Union of the sources switched on, each with its name and rank (ST1, FL9).
+
+    A source that cannot be planned (its landing folder is missing, say) is
+    reported, put on the list ``failed`` and left out; the others go on (IN6).
+    """
     wanted = None if enabled is None else set(enabled)
-    frames = [
-        s.read(spark, as_of).withColumn("source", F.lit(s.name)).withColumn("source_rank", F.lit(s.rank))
-        for s in sources if wanted is None or s.name in wanted
-    ]
+    frames = []
+    for s in sources:
+        if wanted is not None and s.name not in wanted:
+            continue
+        try:
+            frames.append(s.read(spark, as_of).withColumn("source", F.lit(s.name)).withColumn("source_rank", F.lit(s.rank)))
+        except Exception as error:
+            LOG.exception("source %s is left out", s.name)
+            if failed is not None:
+                failed.append((s.name, error))
     if not frames:
         return spark.createDataFrame([], "source string, source_rank int, item_idx bigint, epic string,"
                                          " page_no int, url string, title string, published_at timestamp")

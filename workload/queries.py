@@ -17,7 +17,9 @@ from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
 from tidings.session import spread, work_folder
 from tidings.sources import feeds, filings as filing_sources, ledger
+from tidings.sources import watchers
 from tidings.sources.listings import list_page_captures
+from tidings.sources.registry import Source, all_items
 from tidings.streaming.incremental import ITEMS, Store, run_incremental
 from workload import rendered
 from workload.tables import filing_captures, raw, seen, sliced_news, table
@@ -210,6 +212,64 @@ def corpus_kpi_scan(spark, sf):
     return read.select("doc_id", "period", *[F.col(m)["current"].alias(m) for m in METRICS])
 
 
+def _edgar(spark, sf, as_of=FILINGS_AS_OF):
+    issuers = table(spark, sf, "issuers").withColumnRenamed("issuer_id", "position")
+    return watchers.edgar_items(rendered.submissions(spark, sf), issuers, table(spark, sf, "ticker_map"), filing_captures(spark, sf), as_of, 90)
+
+
+def _epics(spark, sf):
+    return table(spark, sf, "event_times").select(
+        F.col("user_id").alias("position"), F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("epic")).distinct()
+
+
+def _london(spark, sf, as_of=NEWS_AS_OF):
+    return watchers.london_items(_epics(spark, sf), rendered.list_captures(spark, sf), as_of, 14)
+
+
+def _investor(spark, sf, as_of=NEWS_AS_OF):
+    """A feed for each issuer and block of its news, and for some a page as well."""
+    feed = F.concat_ws("/", F.lit("https://feeds.example.com"), "epic", "block")
+    feeds_landed = rendered.feed_captures(spark, sf)
+    landed = feeds_landed.select(feed.alias("url"), F.lit(200).alias("status"), "body").withColumn("final_url", F.col("url"))
+    landed = landed.unionByName(table(spark, sf, "captures").select("url", "status", "body", "final_url"))
+    none = F.lit(None).cast("string")
+    pages = table(spark, sf, "captures").select(F.col("page_id").alias("issuer_id"), F.col("url").alias("page"))
+    position = F.substring("epic", 2, 20).cast("bigint") * 4_096 + F.col("block")
+    issuers = feeds_landed.select(
+        position.alias("issuer_id"), "epic", feed.alias("rss"), none.alias("item_selector"), none.alias("date_selector"),
+    ).join(pages, "issuer_id", "left")
+    return watchers.investor_items(issuers, landed, as_of, 14)
+
+
+def _found(rows):
+    return rows.select("source", "epic", "url", "title", _stamp("published_at").alias("published"))
+
+
+def edgar_items(spark, sf):
+    return _found(_edgar(spark, sf))
+
+
+def london_items(spark, sf):
+    return _found(_london(spark, sf))
+
+
+def ir_items(spark, sf):
+    return _found(_investor(spark, sf))
+
+
+def sources_to_alerts(spark, sf):
+    """All three sources from their captures to alerts; the lookback drops what is older."""
+    def broken(_spark, _as_of):
+        raise OSError("this source has not landed")
+
+    sources = [
+        Source("edgar", 0, lambda s, as_of: _edgar(s, sf)), Source("lse", 1, lambda s, as_of: _london(s, sf, as_of)),
+        Source("ir", 2, lambda s, as_of: _investor(s, sf, as_of)), Source("broken", 3, broken)]
+    items = all_items(spark, sources, NEWS_AS_OF)
+    found = cycle.run_once(items, rendered.article_captures(spark, sf), seen(spark, sf), NEWS_AS_OF, 7)
+    return found.select("url", "source", "epic", "subject", "short_summary")
+
+
 def alerts_once(spark, sf):
     """The whole chain in one pass, as a batch."""
     items = item_ops.with_rank(table(spark, sf, "news_items"))
@@ -267,6 +327,10 @@ QUERIES = {
     "summary_payload": summary_payload,
     "alert_text": alert_text,
     "corpus_kpi_scan": corpus_kpi_scan,
+    "edgar_items": edgar_items,
+    "london_items": london_items,
+    "ir_items": ir_items,
+    "sources_to_alerts": sources_to_alerts,
     "batch_alerts": batch_alerts,
     "incremental_alerts": incremental_alerts,
 }
