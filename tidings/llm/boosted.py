@@ -118,7 +118,7 @@ class Trees:
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, trees: int = 60, depth: int = 4, bins: int = 64,
-         rate: float = 0.15, weight: float = 5.0, ridge: float = 1.0) -> Trees:
+         rate: float = 0.15, weight: float = 1.0, ridge: float = 1.0) -> Trees:
     """Boosted trees for 0/1 labels under logistic loss.
 
     ``weight`` is the least sum of second derivatives a leaf may hold.
