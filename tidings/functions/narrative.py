@@ -45,25 +45,36 @@ def with_period(df: DataFrame, title: str = "title", text: str = "text", name: s
 def guidance_sentences(text: Column, limit: int = MAX_GUIDANCE) -> Column:
     """First distinct sentences around guidance wording (TX8).
 
-    Every match is widened to the left to after the previous full stop and to
-    the right to the next one, so neighbouring snippets may overlap. A fold
-    over the matches keeps the position each was found at.
+    Matches are widened to the left to after the previous full stop and to the
+    right to the next one, so neighbouring snippets may overlap. A fold over the
+    matches keeps where each was found and the distinct snippets so far; once
+    there are ``limit`` of them, the matches left are passed over. Each position
+    and each stretch of text is bound to a variable, so it is computed once.
     """
     matches = F.regexp_extract_all(text, F.lit(GUIDANCE), F.lit(0))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
 
+    def snippet(match, at):
+        left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
+        rest = F.substring(text, at + F.length(match), F.lit(TO_END))
+        return _bound(rest, lambda after: squash(F.concat(left, match, F.when(
+            after.contains("."), F.concat(F.substring_index(after, ".", 1), F.lit("."))).otherwise(F.substring(after, 1, GUIDANCE_TAIL)))))
+
+    def collected(state, found, match, at):
+        known = (found == "") | F.array_contains(state["out"], found)
+        out = F.when(known, state["out"]).otherwise(F.concat(state["out"], F.array(found)))
+        return F.struct((at + F.length(match)).alias("next"), out.alias("out"))
+
     def widen(state, match):
         at = F.call_function("locate", match, text, state["next"])
-        after = at + F.length(match)
-        left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
-        rest = F.substring(text, after, F.lit(TO_END))
-        right = F.when(rest.contains("."), F.concat(F.substring_index(rest, ".", 1), F.lit("."))).otherwise(
-            F.substring(rest, 1, GUIDANCE_TAIL))
-        snippet = squash(F.concat(left, match, right))
-        return F.struct(after.alias("next"), F.concat(state["out"], F.array(snippet)).alias("out"))
-
-    folded = F.aggregate(matches, start, widen, lambda state: state["out"])
-    distinct = F.array_distinct(F.filter(folded, lambda s: s != ""))
+        taken = _bound(at, lambda at: _bound(snippet(match, at), lambda found: collected(state, found, match, at)))
+        return F.when(F.size(state["out"]) >= limit, state).otherwise(taken)
+
     lowered = F.lower(text)
     may = reduce(or_, [lowered.contains(word) for word in GUIDANCE_WORDS])
-    return F.when(may, F.slice(distinct, 1, limit)).otherwise(F.array().cast("array<string>"))
+    return F.when(may, F.aggregate(matches, start, widen, lambda state: state["out"])).otherwise(F.array().cast("array<string>"))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

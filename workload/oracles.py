@@ -285,8 +285,8 @@ SELECT doc_id, len(guidance) AS n, array_to_string(guidance, ' | ') AS guidance
     CASE WHEN len(bullets) > 0 THEN concat(chr(10), chr(10), 'Metrics:', chr(10), ' - ', array_to_string(bullets, chr(10) || ' - ')) ELSE '' END,
     CASE WHEN final_thoughts IS NOT NULL THEN concat(chr(10), chr(10), 'Notes: ', final_thoughts) ELSE '' END, chr(10)) AS body
 FROM payload""",
-    "corpus_kpi_scan": "SELECT doc_id, " + _period("CAST(NULL AS VARCHAR)") + " AS period, " + ", ".join(
-        f"{_current(m)} AS {m}" for m in METRICS) + " FROM documents",
+    "corpus_kpi_scan": cte("corpus") + " SELECT doc_id, " + _period("CAST(NULL AS VARCHAR)") + " AS period, " + ", ".join(
+        f"{_current(m)} AS {m}" for m in METRICS) + " FROM corpus",
 
     "edgar_items": cte("issuers", "ticker_map", "filings", "primary_captures", "index_captures") + ",\n" + _RESOLVED + f""",
 captured AS (SELECT * FROM primary_captures UNION ALL SELECT * FROM index_captures),

@@ -15,14 +15,14 @@ from tidings.operators import items as item_ops
 from tidings.operators import pages as page_ops
 from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
-from tidings.session import spread, work_folder
+from tidings.session import work_folder
 from tidings.sources import feeds, filings as filing_sources, ledger
 from tidings.sources import watchers
 from tidings.sources.listings import list_page_captures
 from tidings.sources.registry import Source, all_items
 from tidings.streaming.incremental import ITEMS, Store, run_incremental
 from workload import rendered
-from workload.tables import filing_captures, raw, seen, sliced_news, table
+from workload.tables import filing_captures, seen, sliced_news, table
 
 FILINGS_AS_OF = "2001-08-01 12:00:00"
 NEWS_AS_OF = "2024-01-31"
@@ -207,7 +207,7 @@ def alert_text(spark, sf):
 
 
 def corpus_kpi_scan(spark, sf):
-    docs = spread(raw(spark, sf, "documents")).select("doc_id", F.lit(None).cast("string").alias("title"), "text")
+    docs = table(spark, sf, "corpus").select("doc_id", F.lit(None).cast("string").alias("title"), "text")
     read = with_figures(with_period(docs))
     return read.select("doc_id", "period", *[F.col(m)["current"].alias(m) for m in METRICS])
 

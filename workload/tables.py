@@ -92,6 +92,14 @@ TABLES = {
         "page_id": "page_id", "url": "url", "final_url": "url", "content_type": "'text/html'",
         "status": "CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END", "body": "html",
     }, None),
+    # The given prose, whole, with a results paragraph in front of every third text.
+    "corpus": ("documents", {
+        "doc_id": "doc_id",
+        "text": "CASE WHEN doc_id % 3 = 0 THEN concat('The company reports third quarter ', CAST(2020 + doc_id % 6 AS STRING),"
+                " ' trading. Total revenue was $', CAST(doc_id % 900 + 1 AS STRING), '.5 million, prior year up ', CAST(doc_id % 60 AS STRING),"
+                " '.2%. Adjusted EBITDA of £', CAST(doc_id % 300 AS STRING), ' m, rose ', CAST(doc_id % 40 AS STRING), '%. Net loss of €-',"
+                " CAST(doc_id % 80 AS STRING), ' million. Adjusted diluted EPS $0.', CAST(doc_id % 90 + 10 AS STRING), '. ', text) ELSE text END",
+    }, None),
     "seen_rows": ("events", {"user_id": "user_id", "url": _NEWS_URL}, "user_id % 9 = 0"),
 }
 
@@ -101,7 +109,7 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 # Tables whose rows are searched or parsed at length.
-_HEAVY = ("announcements", "captures", "primary_captures", "index_captures")
+_HEAVY = ("announcements", "corpus", "captures", "primary_captures", "index_captures")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
