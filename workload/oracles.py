@@ -160,6 +160,17 @@ def _figure(metric: str) -> str:
     return f"{_DOCS} SELECT doc_id, {_current(metric)} AS current FROM docs"
 
 
+_LINKS = cte("captures") + """,
+anchors AS (SELECT page_id, url, unnest(regexp_extract_all(body, '<li><a href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS href,
+    unnest(regexp_extract_all(body, '<li><a href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS shown,
+    generate_subscripts(regexp_extract_all(body, '<li><a href="([^"]*)"[^>]*>[^<]*</a>', 1), 1) AS pos
+  FROM captures WHERE status < 400),
+resolved AS (SELECT page_id, pos, concat(regexp_extract(url, '^(https?://[^/]*)', 1), """ + _decoded("href") + """) AS item_url,
+    trim(""" + _decoded("shown") + """) AS title FROM anchors),
+links AS (SELECT page_id, item_url, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id, item_url ORDER BY pos) AS nth
+  FROM resolved WHERE title <> '') WHERE nth = 1)"""
+
+
 ORACLES = {
     "issuer_cik_lookup": cte("issuers", "ticker_map") + """,
 listed AS (SELECT 0 AS part, issuer_id, name, ticker, cik FROM issuers
@@ -247,15 +258,19 @@ SELECT page_id, {_TITLE} AS title_html, coalesce({_TITLE}, url) AS headline FROM
     "page_clean_text": cte("captures") + f"""
 SELECT page_id, {_TITLE} AS title_html, {_squash(_decoded(_BODY))} AS text FROM captures WHERE status < 400""",
 
-    "page_links": cte("captures") + """,
-anchors AS (SELECT page_id, url, unnest(regexp_extract_all(body, '<li><a href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS href,
-    unnest(regexp_extract_all(body, '<li><a href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS shown,
-    generate_subscripts(regexp_extract_all(body, '<li><a href="([^"]*)"[^>]*>[^<]*</a>', 1), 1) AS pos
-  FROM captures WHERE status < 400),
-resolved AS (SELECT page_id, pos, concat(regexp_extract(url, '^(https?://[^/]*)', 1), """ + _decoded("href") + """) AS item_url,
-    trim(""" + _decoded("shown") + """) AS title FROM anchors)
-SELECT page_id, 1 AS selector_rank, item_url, title, CAST(NULL AS VARCHAR) AS published
-FROM (SELECT *, row_number() OVER (PARTITION BY page_id, item_url ORDER BY pos) AS nth FROM resolved WHERE title <> '') WHERE nth = 1""",
+    "page_links": _LINKS + """
+SELECT page_id, 1 AS selector_rank, item_url, title, CAST(NULL AS VARCHAR) AS published FROM links""",
+    "ir_links_sql": _LINKS + " SELECT page_id, item_url, title FROM links",
+    "damaged_pages": _LINKS + """
+SELECT page_id, item_url, title, CAST(NULL AS VARCHAR) AS quarantine FROM links
+UNION ALL SELECT page_id, 'http://[bad/x', 'Bad', 'address not resolved' FROM captures WHERE status < 400 AND page_id % 4 = 1""",
+    "ledger_round_trip": cte("seen_rows") + " SELECT DISTINCT url FROM seen_rows",
+    "filings_override_forms": cte("filings") + " SELECT filing_id, form FROM filings WHERE form IN ('SC 13G', '8-K')",
+    "news_own_keywords": cte("news_items") + """
+SELECT item_idx, source, url, title FROM news_items WHERE url <> '' AND (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-17')
+  AND CASE source WHEN 'lse' THEN regexp_matches(title, '(?i)(board)') WHEN 'ir' THEN regexp_matches(title, '(?i)(directorate|update)') ELSE true END""",
+    "comma_lists": """
+SELECT o_orderkey, 3 AS n, concat_ws('|', o_orderpriority, o_orderstatus, CAST(o_custkey AS VARCHAR)) AS parts FROM orders""",
 
     "rns_listing": cte("news_items") + f"""
 SELECT epic, page_no, concat('https://www.londonstockexchange.com/news-article/',

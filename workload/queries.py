@@ -9,6 +9,7 @@ from tidings.fixed_values import METRICS
 from tidings.functions.dates import listed_date
 from tidings.functions.figures import with_figures
 from tidings.functions.narrative import guidance_sentences, with_period
+from tidings.functions.text import comma_list
 from tidings.functions.urls import index_url, primary_url
 from tidings.operators import filings as filing_ops
 from tidings.operators import items as item_ops
@@ -20,9 +21,10 @@ from tidings.sources import feeds, filings as filing_sources, ledger
 from tidings.sources import watchers
 from tidings.sources.listings import list_page_captures
 from tidings.sources.registry import Source, all_items
+from tidings.sources.table_functions import register
 from tidings.streaming.incremental import ITEMS, Store, run_incremental
 from workload import rendered
-from workload.tables import filing_captures, seen, sliced_news, table
+from workload.tables import filing_captures, raw, seen, sliced_news, table
 
 FILINGS_AS_OF = "2001-08-01 12:00:00"
 NEWS_AS_OF = "2024-01-31"
@@ -139,6 +141,46 @@ def ledger_formats(spark, sf):
     return ledger.merged(landed, table(spark, sf, "news_items").filter("url <> ''"))
 
 
+def ledger_round_trip(spark, sf):
+    """The ledger saved as a table and exported as lines, both read back."""
+    folder = work_folder(spark, "ledger")
+    ledger.save_ledger(seen(spark, sf), f"{folder}/table")
+    ledger.export_ledger(seen(spark, sf), f"{folder}/lines")
+    return ledger.merged(spark.read.parquet(f"{folder}/table"), spark.read.json(f"{folder}/lines", "url string"))
+
+
+def filings_override_forms(spark, sf):
+    return filing_ops.with_forms(table(spark, sf, "filings"), filing_ops.override_forms(" sc 13g, ,8-k")).select("filing_id", "form")
+
+
+def news_own_keywords(spark, sf):
+    """Items of each source by keywords of the caller's own."""
+    rows = cycle.screened(table(spark, sf, "news_items"), NEWS_AS_OF, 14, rns_keywords="board", ir_keywords="directorate|update")
+    return rows.select("item_idx", "source", "url", "title")
+
+
+def comma_lists(spark, sf):
+    """Order comments as comma lists, taken apart."""
+    listed = F.concat_ws(" , ", "o_orderpriority", "o_orderstatus", F.lit(""), F.col("o_custkey").cast("string"))
+    rows = raw(spark, sf, "orders").select("o_orderkey", comma_list(listed).alias("_parts"))
+    return rows.select("o_orderkey", F.size("_parts").alias("n"), F.array_join("_parts", "|").alias("parts"))
+
+
+def ir_links_sql(spark, sf):
+    """List extraction from SQL."""
+    register(spark)
+    table(spark, sf, "captures").createOrReplaceTempView("landed_captures")
+    return spark.sql("SELECT c.page_id, l.item_url, l.title FROM landed_captures c LATERAL VIEW inline(ir_links(c.body, c.url)) l WHERE c.status < 400")
+
+
+def damaged_pages(spark, sf):
+    """Pages with a bad declaration or a bad address in front; nothing else of them is lost."""
+    which = F.col("page_id") % 4
+    front = F.when(which == 0, "<![foo bar]>").when(which == 1, '<li><a href="http://[bad/x">Bad</a></li>').otherwise("")
+    rows = table(spark, sf, "captures").withColumn("body", F.concat(front, "body"))
+    return page_ops.ir_listing(rows).select("page_id", "item_url", "title", "quarantine")
+
+
 def page_titles(spark, sf):
     shown = page_ops.with_page_title(page_ops.html_captures(table(spark, sf, "captures")))
     none = F.lit(None).cast("string")
@@ -312,6 +354,12 @@ QUERIES = {
     "first_source_wins": first_source_wins,
     "unseen_items": unseen_items,
     "ledger_formats": ledger_formats,
+    "ledger_round_trip": ledger_round_trip,
+    "filings_override_forms": filings_override_forms,
+    "news_own_keywords": news_own_keywords,
+    "comma_lists": comma_lists,
+    "ir_links_sql": ir_links_sql,
+    "damaged_pages": damaged_pages,
     "page_titles": page_titles,
     "page_clean_text": page_clean_text,
     "page_links": page_links,
