@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 from tidings.llm import lexical
 from tidings.llm.store import written
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = r"[\x20\x09-\x0D]+"
+#: Characters and what they count as: letters in lower case, white space as a space.
+GIVEN, TAKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
 END, UNKNOWN = 0, 1
 #: Words whose counts every task holds.
 HEAD = 65_536
 #: Shares, of 16, of the training documents in each round: a common start, then longer rounds.
 ROUNDS = (1, 3, 4, 8)
 #: Documents handled together in a task.
-GROUP = 1_024
+GROUP = 4_096
 #: Parameters in one row when replicas are averaged.
 CHUNK = 8_192
 
@@ -52,9 +52,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the shares of each row, and the shares."""
+    x = x - x.max()
+    shares = np.exp(x)
+    total = shares @ np.ones(x.shape[1], x.dtype)
+    if len(total) and total.min() < 1e-25:
+        # Rows far below the largest of all need a largest of their own.
+        x = x - x.max(axis=1, keepdims=True)
+        shares = np.exp(x)
+        total = shares.sum(axis=1)
+    return x - np.log(total)[:, None], shares / total[:, None]
 
 
 class Network:
@@ -62,7 +70,7 @@ class Network:
 
     NAMES = ("table", "gates", "state", "candidate", "to_class", "class_bias", "to_word", "word_bias")
 
-    def __init__(self, frequency: np.ndarray, classes: int = 48, width: int = 32):
+    def __init__(self, frequency: np.ndarray, classes: int = 32, width: int = 16):
         """Starts at the relative frequencies of words, without regard to context."""
         rng, words = np.random.default_rng(7), classes * classes
         frequency = np.concatenate((frequency, np.zeros(words - len(frequency)))) + 0.5
@@ -99,20 +107,25 @@ class Network:
         c = np.tanh(g[:, 2 * w:] + (r * h) @ self.candidate)
         return z, r, c, h + z * (c - h)
 
-    def _by_class(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(words // self.classes, kind="stable")
-        of = words[order] // self.classes
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        for part in np.split(order, cuts) if len(order) else []:
-            yield int(words[part[0]] // self.classes), part
+    def _by_class(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of the words by class, and where in it each class is."""
+        of = words // self.classes
+        order = np.argsort(of, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1), len(order)]
+        return order, [(int(of[order[a]]), slice(a, b)) for a, b in zip(cuts, cuts[1:]) if b > a]
 
     def log_probability(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability after the states ``h``."""
-        out = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(words)), words // self.classes]
-        for c, part in self._by_class(words):
+        out = np.zeros(len(words))
+        order, classes = self._by_class(words)
+        h, words = h[order], words[order]
+        inside = np.zeros(len(words))
+        for c, part in classes:
+            of_class = _softmax(h[part] @ self.to_class + self.class_bias)[0][:, c]
             own = slice(c * self.classes, (c + 1) * self.classes)
-            inside = _log_softmax(h[part] @ self.to_word[own].T + self.word_bias[own])
-            out[part] += inside[np.arange(len(part)), words[part] - own.start]
+            logs, _ = _softmax(h[part] @ self.to_word[own].T + self.word_bias[own])
+            inside[part] = of_class + logs[np.arange(len(logs)), words[part] - own.start]
+        out[order] = inside
         return out
 
     def likelihood(self, words: np.ndarray, first: np.ndarray, window: int = 32) -> np.ndarray:
@@ -146,39 +159,36 @@ class Network:
         and its state starts anew, ``live`` is false beyond a lane's end.
         """
         w, steps = self.width, len(x)
-        held = []
+        held, outs = [], np.empty((steps, *h.shape), h.dtype)
         for t in range(steps):
             h = h * keep[t][:, None]
             z, r, c, after = self._step(x[t], h)
             held.append((h, z, r, c))
-            h = after
-        outs = np.stack([*(s[0] for s in held[1:]), h])
-        # The state after step t, not yet reset for the next document.
-        for t in range(steps - 1):
-            hp, z, _, c = held[t]
-            outs[t] = hp + z * (c - hp)
+            outs[t] = h = after
         n = max(1, int(live.sum()))
-        states, words = outs[live], y[live]
-        logs = _log_softmax(states @ self.to_class + self.class_bias)
-        at = np.arange(len(words))
-        loss = -logs[at, words // self.classes].sum()
-        d = np.exp(logs)
-        d[at, words // self.classes] -= 1
-        d /= n
-        grad = {"to_class": states.T @ d, "class_bias": d.sum(0)}
-        back = d @ self.to_class.T
+        words = y[live]
+        order, classes = self._by_class(words)
+        states, words = outs[live][order], words[order]
+        logs, d_class = _softmax(states @ self.to_class + self.class_bias)
+        loss = 0.0
+        back = np.empty_like(states)
         to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        for k, part in self._by_class(words):
+        for k, part in classes:
             own = slice(k * self.classes, (k + 1) * self.classes)
-            logs = _log_softmax(states[part] @ self.to_word[own].T + self.word_bias[own])
-            at = np.arange(len(part))
-            loss -= logs[at, words[part] - own.start].sum()
-            d = np.exp(logs)
-            d[at, words[part] - own.start] -= 1
+            inside, d = _softmax(states[part] @ self.to_word[own].T + self.word_bias[own])
+            at, word = np.arange(len(d)), words[part] - own.start
+            loss -= inside[at, word].sum() + logs[part, k].sum()
+            d[at, word] -= 1
             d /= n
+            d_class[part, k] -= 1
             to_word[own], word_bias[own] = d.T @ states[part], d.sum(0)
-            back[part] += d @ self.to_word[own]
-        grad |= {"to_word": to_word, "word_bias": word_bias}
+            back[part] = d @ self.to_word[own]
+        d_class /= n
+        grad = {"to_class": states.T @ d_class, "class_bias": d_class.sum(0), "to_word": to_word, "word_bias": word_bias}
+        back += d_class @ self.to_class.T
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted
         douts = np.zeros_like(outs)
         douts[live] = back
         dg = np.empty((steps, x.shape[1], 3 * w), np.float32)
@@ -203,7 +213,7 @@ class Network:
 class Trainer:
     """One task's replica, trained with steps scaled by past gradients (AdaGrad)."""
 
-    def __init__(self, network: Network, rate: float = 0.08, lanes: int = 96, window: int = 24):
+    def __init__(self, network: Network, rate: float = 0.08, lanes: int = 512, window: int = 24):
         self.network, self.rate, self.lanes, self.window = network, rate, lanes, window
         self.past = {n: np.full_like(getattr(network, n), 1e-6) for n in Network.NAMES}
         self.words = 0
@@ -288,7 +298,7 @@ class Vocabulary:
 
 def tokens(text: Column) -> Column:
     """Words of a text, A to Z in lower case."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), GIVEN, TAKEN), " "), "")
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -297,10 +307,20 @@ def count_words(training: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, documents: int, classes: int) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    """The most frequent words, ``HEAD`` at most.
+
+    Words are first counted by the logarithm of their frequency, a few thousand
+    rows however large the corpus is, and from that follows how frequent a word
+    has to be; only those words come to the driver.
+    """
+    rank = F.floor(F.log2("n") * 64).alias("rank")
+    by_rank = sorted(((r["rank"], r["words"], r["n"]) for r in counts.groupBy(rank).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
+    reached = np.cumsum([words for _, words, _ in by_rank])
+    enough = int(np.searchsorted(reached, HEAD, side="right"))
+    top = counts.where(rank >= by_rank[enough - 1][0]).collect() if enough else []
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     return Vocabulary([r["word"].encode() for r in top], np.array([r["n"] for r in top], np.int64), classes,
-                      total + documents, distinct + min(1, documents), documents)
+                      sum(n for *_, n in by_rank) + documents, sum(words for _, words, _ in by_rank) + min(1, documents), documents)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -332,7 +352,7 @@ def _sequences(places: np.ndarray, first: np.ndarray, known: int) -> tuple[np.nd
     return np.insert(words, first[1:], END), first + np.arange(len(first))
 
 
-def train(training: DataFrame, vocab: Vocabulary, width: int = 32) -> Network:
+def train(training: DataFrame, vocab: Vocabulary, width: int = 16) -> Network:
     """A network trained once on every row of ``training``."""
     spark = training.sparkSession
     network = vocab.network(width)
@@ -376,7 +396,7 @@ def train(training: DataFrame, vocab: Vocabulary, width: int = 32) -> Network:
     return network
 
 
-def score(documents: DataFrame, held_out: Column, classes: int = 48, width: int = 32) -> DataFrame:
+def score(documents: DataFrame, held_out: Column, classes: int = 32, width: int = 16) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``documents``."""
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
     training = rows.where("not held_out")
