@@ -122,7 +122,9 @@ def classes(marked: DataFrame, bits: int, first: Column) -> DataFrame:
 def near_duplicates(documents: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document."""
     marked = written(fingerprints(documents.select("doc_id", "text"), shingle), "marked")
-    named = classes(marked, bits, F.col("doc_id"))
+    # As a table, both sides of the join below come straight from a shuffle, and
+    # a fingerprint that many documents share can be split at run time.
+    named = written(classes(marked, bits, F.col("doc_id")), "classes")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
