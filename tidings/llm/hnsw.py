@@ -285,8 +285,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, shard_rows: int
     found = written(found, "links")
     counts = found.where("n_links > 0").groupBy(F.col("a").alias("first")).agg(F.sum("n_links").alias("other_links"))
     roots = components(found.where("b is not null")).select(F.col("node").alias("first"), "root")
-    classes = same.select("key_a", "key_b", "first", "copies").join(counts, "first", "left").join(roots, "first", "left").select(
-        "key_a", "key_b", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"), F.coalesce("root", "first").alias("component_id"))
+    # A table again, so that the join with all rows can split a vector that many share.
+    classes = written(same.select("key_a", "key_b", "first", "copies").join(counts, "first", "left").join(roots, "first", "left").select(
+        "key_a", "key_b", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"), F.coalesce("root", "first").alias("component_id")), "answers")
     # Rows without a usable vector have no key and keep their own name.
     linked = names.where("key_a is not null").join(classes, ["key_a", "key_b"]).select("vec_id", "n_links", "component_id")
     alone = names.where("key_a is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
