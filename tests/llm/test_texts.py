@@ -130,6 +130,23 @@ def test_surrogates_on_awkward_rows(spark):
     assert surrogates.replace_checked(empty(spark), b"k").count() == 0
 
 
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+14155550123", "+1 4155550123", "+44 20 7946 0958", "(663) 555-6869", "476-555-5473", "476.555.5473"])
+def test_phones_beside_other_digits(phone):
+    p = surrogates.Permutation(b"k")
+    for other, kind in [("190.137.223.5", "ip"), ("2024", None), ("+1 (830) 555-5433", "phone"), ("5", None)]:
+        for text in (f"x {phone} {other} y", f"x {other} {phone} y"):
+            found = [(k, v) for k, v, *_ in surrogates.entities(text)]
+            assert sorted(found) == sorted([("phone", phone), *([(kind, other)] if kind else [])]), text
+            assert phone not in surrogates.pseudonymised(text, p)[0]
+
+
+def test_phones_in_any_spelling_are_one_original():
+    p = surrogates.Permutation(b"k")
+    spellings = ["+14155550123", "+1 415 555 0123", "+1 (415) 555-0123", "+1 4155550123", "+1415 555-0123"]
+    replaced = [surrogates.pseudonymised(f"call {v}, please", p)[1] for v in spellings]
+    assert all(r == replaced[0] and len(r) == 1 for r in replaced)
+
+
 # Transducer
 
 def _library():

@@ -141,9 +141,15 @@ def _card(p: Permutation, value: str) -> str:
     return _refill(value, digits[0] + p.text(digits[1:], f"card{digits[0]}{right}", lambda d: luhn(digits[0] + d) == right))
 
 
+#: Country prefixes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
 def _dialled(value: str) -> tuple[str, str]:
-    """Country prefix and the rest of a telephone number."""
+    """Country prefix and the rest of a telephone number; a prefix written without a separator is told by its digits."""
     digits, prefix = _digits(value), re.match(r"\+\d{1,3}(?=[ .\-(])|", value).group()
+    if not prefix and value[0] == "+":
+        prefix = _COUNTRY.match("+" + digits).group()
     return digits[:len(_digits(prefix))], digits[len(_digits(prefix)):]
 
 
@@ -237,6 +243,13 @@ def _token(p: Permutation, value: str) -> str:
 
 
 _WORD = r"[^\W\d_]"
+_LOCAL = r"\d{3,4}[ .\-]?\d{3,4}"
+#: ``+`` or brackets tell a number from what stands beside it, and so do two equal
+#: hyphens or dots from a space; only other digit groups may be part of a longer one.
+_PHONE = (
+    rf"(?<![\w+])(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{2,4}}\)[ .\-]?|\d{{2,4}}[ .\-]){_LOCAL}(?!\w)|\+\d{{1,3}}[ .\-]\d{{6,14}}(?!\w)|\+\d{{8,15}}(?!\w)"
+    rf"|\(\d{{2,4}}\)[ .\-]?{_LOCAL}(?!\w)|(?<!\d[.\-])(?:\d{{3}}-\d{{3,4}}-\d{{4}}|\d{{3}}\.\d{{3,4}}\.\d{{4}})(?!\w|[.\-]\d)"
+    rf"|(?<!\d[ .\-])\d{{2,4}}[ .\-]{_LOCAL}(?!\w|[ .\-]\d))")
 #: In order of precedence where finds overlap.
 KINDS = [
     Kind("email", r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", lambda v: True, str.lower, _email),
@@ -247,7 +260,7 @@ KINDS = [
     Kind("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn_valid, _digits, _ssn),
     Kind("card", r"(?<![\w\-.])[3-6]\d{3}(?:\d{9,12}|(?:[ \-]\d{4}){3}|[ \-]\d{6}[ \-]\d{5})(?![\w\-])", lambda v: luhn(_digits(v)), _digits, _card),
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip_valid, str, _ip),
-    Kind("phone", r"(?<![\w+])(?<!\d[ .\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\w|[ .\-]\d)", lambda v: 9 <= len(_digits(v)) <= 15, lambda v: "-".join(_dialled(v)), _phone),
+    Kind("phone", _PHONE, lambda v: 9 - (v[0] == "+") <= len(_digits(v)) <= 15, lambda v: "-".join(_dialled(v)), _phone),
     # Last, and searched for apart from the others.
     Kind("name", rf"\b(?:(?:{_TITLE})\.?\s+(?:{_WORD}+\s+)??(?-i:[A-ZÀ-ÞЀ-ЯΑ-Ω]){_WORD}+|(?:{_GIVEN})\s+(?-i:[A-ZÀ-ÞЀ-ЯΑ-Ω]){_WORD}+)\b", lambda v: True, lambda v: " ".join(v.lower().split()), _name),
 ]
