@@ -147,6 +147,39 @@ def test_phones_in_any_spelling_are_one_original():
     assert all(r == replaced[0] and len(r) == 1 for r in replaced)
 
 
+def test_all_four_names_of_the_text():
+    """As ``test_surrogates_keep_type_and_format``, which counts three: it leaves out the one in capitals."""
+    fresh, replaced = surrogates.pseudonymised(TEXT, surrogates.Permutation(b"k"))
+    assert collections.Counter(k for k, *_ in replaced) == {"name": 4, "email": 2, "phone": 2, "card": 1, "ip": 2, "iban": 1, "ssn": 1}
+    _, anna, capitals, ivan = [v for k, v, *_ in surrogates.entities(fresh) if k == "name"]
+    assert capitals == anna.upper() and surrogates.GENDER[anna.split()[0]] == ("f", "latin") and surrogates.GENDER[ivan.split()[0]] == ("m", "cyrillic")
+
+
+NAMES = [
+    "Mr John Smith", "Dr. Anna Miller", "Herr Dr. Schmidt", "ANNA MILLER", "Anna Maria Miller", "Mr and Mrs Smith", "Prof. Dr. Anna von der Leyen", "Mr John F. Kennedy",
+    "Mr john Smith", "Ms O'Brien-Jones", "Anna-Maria Šimek", "HERR DR. SCHMIDT", "ΜΑΡΙΑ ΠΑΠΠΑ", "ИВАН ПЕТРОВ", "Mr Smith\nJones"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_whole_names_are_replaced(name):
+    p = surrogates.Permutation(b"k")
+    for text in (f"so {name} wrote", f"so {name} anna.b@m.example.com wrote", f"so {name}. Then"):
+        assert [v for k, v, *_ in surrogates.entities(text) if k == "name"] == [name]
+    fresh = surrogates.pseudonymised(f"so {name} wrote", p)[0][3:-6]
+    kept = {"mr", "mrs", "ms", "dr", "herr", "prof", "and", "von", "der"}
+    old, new = (surrogates._LETTERS.findall(v) for v in (name, fresh))
+    assert [len(old), [w.isupper() for w in old]] == [len(new), [w.isupper() for w in new]]
+    assert all((a == b) == (a.lower() in kept) for a, b in zip(old, new)), fresh
+
+
+def test_capitals_are_the_same_name():
+    p = surrogates.Permutation(b"k")
+    for a, b in [("Anna Miller", "ANNA MILLER"), ("Mr John", "Mr JOHN"), ("Anna Maria", "Anna MARIA"), ("Mr john Smith", "Mr John  SMITH"), ("Μαρία Παππα", "ΜΑΡΙΑ ΠΑΠΠΑ")]:
+        (x, y), = [surrogates.pseudonymised(a, p)[1][0][1:]]
+        assert surrogates.pseudonymised(b, p)[1] == [("name", x, y)]
+        assert surrogates.pseudonymised(b.upper(), p)[0] == surrogates.pseudonymised(b, p)[0].upper()
+
+
 # Transducer
 
 def _library():

@@ -23,7 +23,8 @@ from __future__ import annotations
 import hmac
 import ipaddress
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -54,6 +55,12 @@ ALPHABETS = [CONSONANTS, VOWELS, "бвгджзклмнпрстфхцчшщ", "а
 CLASS_OF = {c: letters for letters in [*ALPHABETS, DIGITS] for c in letters}
 
 
+def _lower(value: str) -> str:
+    """Lower case, but only where upper case leads back."""
+    low = value.lower()
+    return "".join(l if l == c or l.upper() == c else c for l, c in zip(low, value)) if len(low) == len(value) else value
+
+
 class Permutation:
     """Keyed permutations of mixed-radix numbers, by a Feistel network over the integers."""
 
@@ -85,7 +92,7 @@ class Permutation:
 
     def text(self, value: str, tweak: str, allowed: Callable[[str], bool] | None = None) -> str:
         """Letters and digits replaced inside their classes; anything else stays."""
-        spelling, value = value, value.lower() if len(value.lower()) == len(value) else value
+        spelling, value = value, _lower(value)
         classes = [CLASS_OF.get(c) for c in value]
         size, number = 1, 0
         for c, among in zip(value, classes):
@@ -216,24 +223,62 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
+def _fold(word: str) -> str:
+    """A word without case and, in Greek, without accents, which capitals lack."""
+    low = _lower(word)
+    return unicodedata.normalize("NFC", re.sub("\u0301", "", unicodedata.normalize("NFD", low))).replace("ς", "σ") if _script(low) == "greek" else low
+
+
 GENDER = {name: key for key, names in GIVEN.items() for name in names}
-_GIVEN = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
-_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+_LISTED = {_fold(name): name for name in GENDER}
+_TITLES = {title.lower() for title in TITLES}
+#: Words inside names that stay, except at their end.
+PARTICLES = "von van de der den del della di da dos du la le ten ter zu zur vom af av bin ibn al el".split()
+JOINERS = ["and", "und", "et"]
+_KEPT = {*PARTICLES, *JOINERS}
+
+
+def _in_capitals(words: Iterable[str]) -> set[str]:
+    return {form for w in words for form in (w.upper(), _fold(w).upper())}
+
 
+# "MS" is more often something else.
+_TITLE = "|".join(sorted({*TITLES, *_in_capitals(TITLES)} - {"MS"}, key=lambda w: (-len(w), w)))
+_GIVEN = "|".join(sorted({*GENDER, *_in_capitals(GENDER)}, key=lambda w: (-len(w), w)))
+_LETTERS = re.compile(r"([^\W\d_]+)")
 
-def _given(p: Permutation, word: str, gender: str) -> str:
-    key = GENDER.get(word)
-    if key and key[0] == (gender or key[0]):
-        names = GIVEN[key]
-        return names[p.number(names.index(word), len(names), f"given{key}")]
-    return p.text(word, "name")
+
+def _like(word: str, name: str) -> str:
+    """A listed name in the case of a word."""
+    return name.upper() if word.isupper() and len(word) > 1 else name.lower() if word.islower() else name
 
 
 def _name(p: Permutation, value: str) -> str:
-    """A title stays; given names go to given names, other words to words of the same shape."""
-    words = re.split(r"(\s+)", value)
-    gender = TITLES.get(words[0].rstrip("."), "")
-    return "".join(w if not w or w.isspace() or w.rstrip(".") in TITLES else _given(p, w, gender) if w in GENDER else p.text(w, "name") for w in words)
+    """Titles and particles stay; given names go to given names of their list, other words to other words of the same shape.
+
+    Each word goes by its fold alone, inside ranges that do not meet, so that
+    different names stay different and one name is one in any case.
+    """
+    parts = _LETTERS.split(value)
+    last = len(parts) - 2
+    for i in range(1, len(parts), 2):
+        word = parts[i]
+        fold = _fold(word)
+        if fold in _TITLES or fold in _KEPT and i < last:
+            continue
+        if listed := _LISTED.get(fold):
+            names = GIVEN[GENDER[listed]]
+            parts[i] = _like(word, names[p.number(names.index(listed), len(names), f"given{GENDER[listed]}")])
+        else:
+            taken = _TITLES if i == last else _TITLES | _KEPT
+            parts[i] = p.text(word, "name", lambda w: (f := _fold(w)) not in _LISTED and f not in taken)
+    return "".join(parts)
+
+
+def _canonical_name(value: str) -> str:
+    parts = _LETTERS.split(" ".join(value.split()))
+    parts[1::2] = [_lower(_LISTED.get(_fold(w), w)) for w in parts[1::2]]
+    return "".join(parts)
 
 
 def _token(p: Permutation, value: str) -> str:
@@ -250,6 +295,16 @@ _PHONE = (
     rf"(?<![\w+])(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{2,4}}\)[ .\-]?|\d{{2,4}}[ .\-]){_LOCAL}(?!\w)|\+\d{{1,3}}[ .\-]\d{{6,14}}(?!\w)|\+\d{{8,15}}(?!\w)"
     rf"|\(\d{{2,4}}\)[ .\-]?{_LOCAL}(?!\w)|(?<!\d[.\-])(?:\d{{3}}-\d{{3,4}}-\d{{4}}|\d{{3}}\.\d{{3,4}}\.\d{{4}})(?!\w|[.\-]\d)"
     rf"|(?<!\d[ .\-])\d{{2,4}}[ .\-]{_LOCAL}(?!\w|[ .\-]\d))")
+_CAPITAL = "[" + "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper()) + "]"
+_CAPITALISED = rf"(?:{_CAPITAL}['’])?{_CAPITAL}{_WORD}+(?:['’\-]{_CAPITAL}{_WORD}+)*(?!\w)"
+#: White space inside a name, with one line break at most.
+_SPACE = r"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)"
+_TITLED = rf"(?:{_TITLE})(?!\w)\.?"
+_NEXT = rf"(?:{_SPACE}(?:{'|'.join(PARTICLES)})(?!\w)){{0,3}}{_SPACE}(?:{_CAPITALISED}|{_CAPITAL}\.)"
+#: All titles and the whole run of capitalised words and initials, or a given name and that run.
+_FULL_NAME = (
+    rf"\b(?:{_TITLED}(?:{_SPACE}(?:(?:{'|'.join(JOINERS)}|&){_SPACE})?{_TITLED})*(?:{_SPACE}{_WORD}+)??(?:{_NEXT})+"
+    rf"|(?:{_GIVEN})(?!\w)(?:-{_CAPITAL}{_WORD}+)*(?:{_NEXT})+)")
 #: In order of precedence where finds overlap.
 KINDS = [
     Kind("email", r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", lambda v: True, str.lower, _email),
@@ -262,7 +317,7 @@ KINDS = [
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip_valid, str, _ip),
     Kind("phone", _PHONE, lambda v: 9 - (v[0] == "+") <= len(_digits(v)) <= 15, lambda v: "-".join(_dialled(v)), _phone),
     # Last, and searched for apart from the others.
-    Kind("name", rf"\b(?:(?:{_TITLE})\.?\s+(?:{_WORD}+\s+)??(?-i:[A-ZÀ-ÞЀ-ЯΑ-Ω]){_WORD}+|(?:{_GIVEN})\s+(?-i:[A-ZÀ-ÞЀ-ЯΑ-Ω]){_WORD}+)\b", lambda v: True, lambda v: " ".join(v.lower().split()), _name),
+    Kind("name", _FULL_NAME, lambda v: True, _canonical_name, _name),
 ]
 _BY_NAME = {kind.name: kind for kind in KINDS}
 _COMPILED = {kind.name: re.compile(kind.pattern) for kind in KINDS}
@@ -311,9 +366,9 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
             else:
                 at = found.start() + 1
     if _NAME_HINT.search(text):
-        taken = out[:]
-        out += [("name", n.group(), n.start(), n.end()) for n in _COMPILED["name"].finditer(text)
-                if not any(start < n.end() and n.start() < end for _, _, start, end in taken)]
+        # Names lie between other entities, and end where one begins.
+        free = zip([0, *(end for *_, end in out)], [*(start for *_, start, _ in out), len(text)])
+        out += [("name", n.group(), n.start(), n.end()) for begin, end in free for n in _COMPILED["name"].finditer(text, begin, end)]
         out.sort(key=lambda found: found[2])
     return out
 
