@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidings.llm.store import written
+
 ROUNDS = 8
 RING = 256
 
@@ -207,6 +209,10 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+#: Check digits with the same remainder as those computed.
+_OTHER_CHECK = {"02": "99", "97": "00", "98": "01"}
+
+
 def _iban_valid(value: str) -> bool:
     plain = value.replace(" ", "")
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -214,8 +220,14 @@ def _iban_valid(value: str) -> bool:
 
 def _iban(p: Permutation, value: str) -> str:
     plain = value.replace(" ", "")
-    rest = p.text(plain[4:], "iban" + plain[:2])
-    fresh = iter(plain[:2] + _iban_check(plain[:2], rest) + rest)
+    if plain[2:4] == (check := _iban_check(plain[:2], plain[4:])):
+        rest = p.text(plain[4:], "iban" + plain[:2])
+        check = _iban_check(plain[:2], rest)
+    else:
+        # Valid with other check digits than those computed: stays so.
+        rest = p.text(plain[4:], f"iban{plain[:2]}other", lambda r: _iban_check(plain[:2], r) in _OTHER_CHECK)
+        check = _OTHER_CHECK[_iban_check(plain[:2], rest)]
+    fresh = iter(plain[:2] + check + rest)
     return "".join(c if c == " " else next(fresh) for c in value)
 
 
@@ -373,14 +385,18 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def pseudonymised(text: str, permutation: Permutation) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and ``type, canonical original, canonical surrogate`` of each."""
+def pseudonymised(text: str, permutation: Permutation, again: dict[tuple[str, str], Permutation] = {}) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates, and ``type, canonical original, canonical surrogate`` of each.
+
+    ``again`` has permutations of their own for some originals.
+    """
     out, at, replaced = [], 0, []
     for name, value, start, end in entities(text):
         kind = _BY_NAME[name]
-        fresh = kind.surrogate(permutation, value)
+        original = kind.canonical(value)
+        fresh = kind.surrogate(again.get((name, original), permutation), value)
         out += [text[at:start], fresh]
-        replaced.append((name, kind.canonical(value), kind.canonical(fresh)))
+        replaced.append((name, original, kind.canonical(fresh)))
         at = end
     return "".join(out) + text[at:], replaced
 
@@ -390,18 +406,38 @@ REPLACED = pa.list_(pa.struct([(name, pa.string()) for name in _FIELDS]))
 REPLACED_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in _FIELDS]))
 
 
-def replace(documents: DataFrame, key: bytes, record: bool = False) -> DataFrame:
-    """The documents with surrogates in ``text``; with ``record``, also a column ``replaced``."""
-    permutation = Permutation(key)
+#: Column with the retries of a row's entities, while some are settled.
+RETRIES = "retries of surrogates"
+RETRIES_TYPE = "array<struct<type: string, original: string, turn: int>>"
+#: Turns after which an original that still meets another is an error; chance alone does not get there.
+TURNS = 32
+
+
+def replace(documents: DataFrame, key: bytes, record: bool = False, keyed: Callable[[bytes], Permutation] = Permutation) -> DataFrame:
+    """The documents with surrogates in ``text``; with ``record``, also a column ``replaced``.
+
+    Originals in a column ``RETRIES`` get their surrogates by a key of that turn.
+    """
+    permutation, retried = keyed(key), RETRIES in documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, Permutation] = {}
+
+        def again(found: list[dict] | None) -> dict[tuple[str, str], Permutation]:
+            for r in found or []:
+                if r["turn"] not in turns:
+                    turns[r["turn"]] = keyed(key + f"|{r['turn']}".encode())
+            return {(r["type"], r["original"]): turns[r["turn"]] for r in found or []}
+
         for batch in batches:
             texts = batch.column("text")
             likely = pc.fill_null(pc.match_substring_regex(texts, HINT), False).to_pylist()
+            retries = batch.column(RETRIES).to_pylist() if retried else [None] * len(batch)
+            batch = batch.drop_columns([RETRIES]) if retried else batch
             if not any(likely) and not record:
                 yield batch
                 continue
-            done = [pseudonymised(t, permutation) if maybe else (t, []) for t, maybe in zip(texts.to_pylist(), likely)]
+            done = [pseudonymised(t, permutation, again(r)) if maybe else (t, []) for t, maybe, r in zip(texts.to_pylist(), likely, retries)]
             at = batch.schema.get_field_index("text")
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
@@ -412,16 +448,49 @@ def replace(documents: DataFrame, key: bytes, record: bool = False) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names)
 
     documents = documents.drop("replaced") if record else documents
-    schema = T.StructType([*documents.schema, T.StructField("replaced", REPLACED_TYPE)]) if record else documents.schema
+    others = documents.drop(RETRIES).schema
+    schema = T.StructType([*others, T.StructField("replaced", REPLACED_TYPE)]) if record else others
     return documents.mapInArrow(run, schema)
 
 
-def replace_checked(documents: DataFrame, key: bytes, record: bool = False) -> DataFrame:
-    """``replace`` after a check of all entities of ``documents``; an error if two originals would meet."""
-    found = collisions(replace(documents.select("text"), key, record=True))
-    if fault := found.first():
-        raise ValueError(f"{fault['fault']} of type {fault['type']}")
-    return replace(documents, key, record)
+def replace_checked(documents: DataFrame, key: bytes, record: bool = False, keyed: Callable[[bytes], Permutation] = Permutation) -> DataFrame:
+    """``replace`` after a check of all entities of ``documents``; originals that would meet are settled first."""
+    if collisions(replace(documents.select("text"), key, record=True, keyed=keyed)).isEmpty():
+        return replace(documents, key, record, keyed)
+    return replace(_settled(documents, key, keyed), key, record, keyed)
+
+
+def _settled(documents: DataFrame, key: bytes, keyed: Callable[[bytes], Permutation]) -> DataFrame:
+    """The documents with a column ``RETRIES``.
+
+    Of originals with one surrogate the smallest keeps it, the others get one of
+    the next turn, until no two meet. Turns are a table joined to the rows whose
+    texts hold these originals; all other rows have none.
+    """
+    # Whole rows as one column, so that no name of theirs can clash.
+    rows = written(documents.select(F.monotonically_increasing_id().alias("n"), "text", F.struct("*").alias("row")), "unsettled")
+    held = written(replace(rows.select("n", "text"), key, record=True, keyed=keyed).select(
+        "n", F.explode(F.array_distinct(F.transform("replaced", lambda r: F.struct(r["type"].alias("type"), r["original"].alias("original"))))).alias("r")).select("n", "r.*"), "entities")
+    turns = None
+    for turn in range(1, TURNS + 1):
+        of_row = rows.select("n", "text") if turns is None else rows.select("n", "text").join(_of_rows(held, turns), "n", "left").drop("n")
+        pairs = written(replace(of_row, key, record=True, keyed=keyed).select(F.explode("replaced").alias("r")).select("r.*").distinct(), "pairs")
+        meet = pairs.groupBy("type", "surrogate").agg(F.min("original").alias("least"), F.count("*").alias("n")).where("n > 1")
+        late = pairs.join(meet, ["type", "surrogate"]).where("original <> least").select("type", "original").distinct().withColumn("turn", F.lit(turn))
+        late = written(late, "turns")
+        if late.isEmpty():
+            break
+        turns = late if turns is None else written(turns.union(late).groupBy("type", "original").agg(F.max("turn").alias("turn")), "turns")
+    else:
+        raise ValueError(f"surrogates of {late.count()} originals still meet others after {TURNS} turns")
+    if turns is None:
+        return documents
+    return rows.join(_of_rows(held, turns), "n", "left").select("row.*", RETRIES)
+
+
+def _of_rows(held: DataFrame, turns: DataFrame) -> DataFrame:
+    """For rows that hold some of the originals in ``turns``, these as a list."""
+    return held.join(turns, ["type", "original"]).groupBy("n").agg(F.collect_list(F.struct("type", "original", "turn")).cast(RETRIES_TYPE).alias(RETRIES))
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
