@@ -1,6 +1,7 @@
 """Classifier, surrogates, transducer, packed ids, shards, mixing, language model: exact or brute-force checks."""
 
 import collections
+import inspect
 import math
 import random
 import zlib
@@ -416,6 +417,17 @@ def test_gradients():
             assert math.isclose((up - down) / 2e-5, d[at], abs_tol=1e-6)
 
 
+def test_size_of_the_model_and_number_of_steps(monkeypatch):
+    vocab = recurrent.Vocabulary([b"w"] * 5_000, np.ones(5_000, np.int64), inspect.signature(recurrent.score).parameters["classes"].default, 6_000, 5_001, 1_000)
+    assert vocab.known == 2_302
+    assert {inspect.signature(f).parameters["width"].default for f in (recurrent.score, recurrent.train, recurrent.Network)} == {32}
+    steps, trainer = [], recurrent.Trainer(recurrent.Network(np.ones(16), 4, 6))
+    monkeypatch.setattr(trainer, "_apply", steps.append)
+    trainer.learn(np.ones(96 * 240, int), np.arange(0, 96 * 240 + 1, 240))
+    assert len(steps) == 10
+    assert recurrent.LEARNT == 1_024
+
+
 def test_likelihood_carries_state_and_sums_to_one():
     net = recurrent.Network(np.arange(9.0), 3, 4)
     net = net.filled(net.flat() + np.random.default_rng(1).normal(0, 0.5, len(net.flat())))

@@ -42,8 +42,8 @@ END, UNKNOWN = 0, 1
 HEAD = 65_536
 #: Shares, of 16, of the training documents in each round: a common start, then longer rounds.
 ROUNDS = (1, 3, 4, 8)
-#: Documents handled together in a task.
-GROUP = 4_096
+#: Documents learnt from together in a task, and documents scored together.
+LEARNT, GROUP = 1_024, 4_096
 #: Parameters in one row when replicas are averaged.
 CHUNK = 8_192
 
@@ -70,7 +70,7 @@ class Network:
 
     NAMES = ("table", "gates", "state", "candidate", "to_class", "class_bias", "to_word", "word_bias")
 
-    def __init__(self, frequency: np.ndarray, classes: int = 32, width: int = 16):
+    def __init__(self, frequency: np.ndarray, classes: int = 48, width: int = 32):
         """Starts at the relative frequencies of words, without regard to context."""
         rng, words = np.random.default_rng(7), classes * classes
         frequency = np.concatenate((frequency, np.zeros(words - len(frequency)))) + 0.5
@@ -213,7 +213,7 @@ class Network:
 class Trainer:
     """One task's replica, trained with steps scaled by past gradients (AdaGrad)."""
 
-    def __init__(self, network: Network, rate: float = 0.08, lanes: int = 512, window: int = 24):
+    def __init__(self, network: Network, rate: float = 0.08, lanes: int = 96, window: int = 24):
         self.network, self.rate, self.lanes, self.window = network, rate, lanes, window
         self.past = {n: np.full_like(getattr(network, n), 1e-6) for n in Network.NAMES}
         self.words = 0
@@ -323,13 +323,13 @@ def vocabulary(counts: DataFrame, documents: int, classes: int) -> Vocabulary:
                       sum(n for *_, n in by_rank) + documents, sum(words for _, words, _ in by_rank) + min(1, documents), documents)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together to ``GROUP`` rows, so that long documents delay fewer groups."""
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together to ``most`` rows, so that long documents delay fewer groups."""
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows >= GROUP:
+        if rows >= most:
             yield pa.Table.from_batches(held).combine_chunks()
             held, rows = [], 0
     if rows:
@@ -352,7 +352,7 @@ def _sequences(places: np.ndarray, first: np.ndarray, known: int) -> tuple[np.nd
     return np.insert(words, first[1:], END), first + np.arange(len(first))
 
 
-def train(training: DataFrame, vocab: Vocabulary, width: int = 16) -> Network:
+def train(training: DataFrame, vocab: Vocabulary, width: int = 32) -> Network:
     """A network trained once on every row of ``training``."""
     spark = training.sparkSession
     network = vocab.network(width)
@@ -367,7 +367,7 @@ def train(training: DataFrame, vocab: Vocabulary, width: int = 16) -> Network:
         def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, places = shared.value
             trainer = Trainer(start.filled(start.flat()))
-            for group in _grouped(batches):
+            for group in _grouped(batches, LEARNT):
                 found, first, _ = _numbered(group.column("text").chunk(0), places)
                 trainer.learn(*_sequences(found, first, len(places)))
             if trainer.words:
@@ -396,7 +396,7 @@ def train(training: DataFrame, vocab: Vocabulary, width: int = 16) -> Network:
     return network
 
 
-def score(documents: DataFrame, held_out: Column, classes: int = 32, width: int = 16) -> DataFrame:
+def score(documents: DataFrame, held_out: Column, classes: int = 48, width: int = 32) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``documents``."""
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
     training = rows.where("not held_out")
@@ -413,7 +413,7 @@ def score(documents: DataFrame, held_out: Column, classes: int = 32, width: int
         inside[:vocab.known] = 0
         end = np.log10(vocab.base(float(vocab.documents)))
         row = TaskContext.get().partitionId() << 33
-        for group in _grouped(batches):
+        for group in _grouped(batches, GROUP):
             places, first, word = _numbered(group.column("text").chunk(0), place)
             texts, of = len(group), lexical.owners(first)
             there = places >= 0
