@@ -4,6 +4,7 @@ import collections
 import inspect
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -428,6 +429,46 @@ def test_size_of_the_model_and_number_of_steps(monkeypatch):
     assert recurrent.LEARNT == 1_024
 
 
+def test_windows_are_those_of_whole_lanes(monkeypatch):
+    rng, length = np.random.default_rng(3), [1, 70, 5, 5, 24, 1, 33, 2, 90, 48]
+    words, first = rng.integers(2, 16, sum(length)), np.cumsum([0, *length])
+    trainer, seen = recurrent.Trainer(recurrent.Network(np.ones(16), 4, 6), lanes=3), []
+    gradients = recurrent.Network.gradients
+    monkeypatch.setattr(recurrent.Network, "gradients", lambda self, *a: seen.append(a) or gradients(self, *a))
+    trainer.learn(words, first)
+    # Each lane laid out whole, with the longest text first to the shortest lane.
+    lanes = [[], [], []]
+    for i in sorted(range(len(length)), key=lambda i: -length[i]):
+        min(lanes, key=len).extend((recurrent.END if k == 0 else words[first[i] + k - 1], float(k > 0), words[first[i] + k]) for k in range(length[i]))
+    for low, (x, keep, y, live, _) in zip(range(0, 999, 24), seen, strict=False):
+        rows = [lane[low:low + 24] for lane in lanes if len(lane) > low]
+        for lane, row in enumerate(rows):
+            n = len(row)
+            assert list(zip(x[:n, lane], keep[:n, lane], y[:n, lane])) == row
+            assert live[:n, lane].all() and not live[n:, lane].any() and not x[n:, lane].any() and (keep[n:, lane] == 1).all()
+    assert len(seen) == -(-max(map(len, lanes)) // 24)
+
+
+def test_one_very_long_document_takes_little_memory():
+    trainer = recurrent.Trainer(recurrent.Network(np.ones(16), 4, 4))
+    words = np.random.default_rng(0).integers(2, 16, 60_000)
+    tracemalloc.start()
+    trainer.learn(words, np.array([0, 60_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6 and trainer.words == 60_000
+
+
+def test_groups_end_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(recurrent, "GROUP_BYTES", 100)
+    texts = ["a" * n for n in (30, 30, 30, 30, 250, 5, 0, 100, 1, 1, 1, 1, 1, 1)] + [None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i:i + 4])], ["text"]) for i in range(0, len(texts), 4)]
+    groups = [g.column("text").to_pylist() for g in recurrent._grouped(iter(batches), 4)]
+    assert [t for g in groups for t in g] == texts
+    assert all(sum(len(t or "") for t in g) <= 100 or len(g) == 1 for g in groups) and max(map(len, groups)) < 8
+    assert [len(g) for g in recurrent._grouped(iter(batches[:0]), 4)] == []
+
+
 def test_likelihood_carries_state_and_sums_to_one():
     net = recurrent.Network(np.arange(9.0), 3, 4)
     net = net.filled(net.flat() + np.random.default_rng(1).normal(0, 0.5, len(net.flat())))

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ HEAD = 65_536
 ROUNDS = (1, 3, 4, 8)
 #: Documents learnt from together in a task, and documents scored together.
 LEARNT, GROUP = 1_024, 4_096
+#: Bytes of text beyond which a group takes no further document.
+GROUP_BYTES = 16 << 20
 #: Parameters in one row when replicas are averaged.
 CHUNK = 8_192
 
@@ -239,23 +242,25 @@ class Trainer:
             lane = int(ends.argmin())
             lanes[lane].append(int(i))
             ends[lane] += length[i]
-        steps = int(ends.max(initial=0))
-        y, x = np.zeros((steps, self.lanes), int), np.zeros((steps, self.lanes), int)
-        keep, live = np.ones((steps, self.lanes), np.float32), np.zeros((steps, self.lanes), bool)
-        for lane, own in enumerate(lanes):
-            at = 0
-            for i in own:
-                n = length[i]
-                y[at:at + n, lane] = words[first[i]:first[i + 1]]
-                x[at + 1:at + n, lane] = y[at:at + n - 1, lane]
-                x[at, lane], keep[at, lane], live[at:at + n, lane] = END, 0, True
-                at += n
+        # All lanes behind one another; only one window at a time is laid out.
+        order = np.array([i for own in lanes for i in own], int)
+        begin = np.cumsum(ends) - ends
+        places = np.repeat(first[:-1][order] - (np.cumsum(length[order]) - length[order]), length[order])
+        stream = words[places + np.arange(len(places))]
+        fresh = np.zeros(len(stream), bool)
+        fresh[np.cumsum(length[order]) - length[order]] = True
         h = np.zeros((self.lanes, self.network.width), np.float32)
+        steps = int(ends.max(initial=0))
         for low in range(0, steps, self.window):
-            part = slice(low, low + self.window)
             # Lanes that have ended take no part in what is left.
-            on = np.flatnonzero(live[low])
-            grad, h[on], _ = self.network.gradients(x[part, on], keep[part, on], y[part, on], live[part, on], h[on])
+            on = np.flatnonzero(ends > low)
+            at = np.arange(low, min(low + self.window, steps))[:, None]
+            live = at < ends[on]
+            place = np.where(live, begin[on] + at, 0)
+            starts = fresh[place] & live
+            y = np.where(live, stream[place], END)
+            x = np.where(live & ~starts, stream[place - 1], END)
+            grad, h[on], _ = self.network.gradients(x, (~starts).astype(np.float32), y, live, h[on])
             self._apply(grad)
         self.words += int(length.sum())
 
@@ -324,14 +329,25 @@ def vocabulary(counts: DataFrame, documents: int, classes: int) -> Vocabulary:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Batches put together to ``most`` rows, so that long documents delay fewer groups."""
-    held, rows = [], 0
+    """Batches put together to ``most`` rows, so that long documents delay fewer groups, and cut at ``GROUP_BYTES`` of text."""
+    held, rows, size = [], 0, 0
     for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows >= most:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, rows = [], 0
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(batch):
+            before = int(ends[at] - sizes[at])
+            fits = int(np.searchsorted(ends, before + GROUP_BYTES - size, side="right")) - at
+            if fits <= 0 and rows == 0:
+                # A text beyond the bound is a group of its own.
+                fits = 1
+            if fits > 0:
+                part = batch.slice(at, fits)
+                held.append(part)
+                rows, size, at = rows + len(part), size + int(ends[at + len(part) - 1]) - before, at + len(part)
+            if at < len(batch) or rows >= most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows, size = [], 0, 0
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
