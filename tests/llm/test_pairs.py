@@ -187,3 +187,22 @@ def test_nearest_codes(spark, shape):
         wanted += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
     assert tuples(found) == sorted(wanted, key=repr)
     assert multiindex.nearest(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
+
+
+def test_audit_asks_small_groups_apart_from_large_ones():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(101, 24))
+    rows = np.concatenate((centres[0] + rng.normal(scale=0.05, size=(300, 24)), np.repeat(centres[1:], 3, axis=0) + rng.normal(scale=0.05, size=(300, 24))))
+    graph = hnsw.Graph(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    queries = np.concatenate((np.arange(120), np.arange(300, 324)))
+    assert graph.audited_width(graph.exact[queries], 0.95, 32, 0.99, queries) < 600
+    # No link leads to any of the small groups that are audited.
+    for layer in graph.layers:
+        layer[(layer >= 300) & (layer < 324)] = -1
+    assert graph.audited_width(graph.exact[queries], 0.95, 32, 0.99, queries) >= 600
+
+
+def test_audited_vectors_lie_all_over_the_ids(spark):
+    rows = spark.range(4_000).select("id", F.xxhash64(F.lit(1), "id").alias("key_a"), F.xxhash64(F.lit(2), "id").alias("key_b"))
+    audited = [r["id"] for r in rows.withColumn("turn", hnsw._turn()).orderBy("turn").limit(128).collect()]
+    assert all(sum(a // 500 == part for a in audited) > 4 for part in range(8))

@@ -4,9 +4,9 @@ Equal vectors are one class and enter once. Classes are dealt to shards by hash;
 each shard is built into a graph of layers. All classes, in blocks, query the
 graph of every shard. A beam that ends inside the threshold is widened for that
 query until it ends outside, so no number of neighbours is too large. The first
-queries of every block are an audit: their neighbours are also found by brute
+queries of every block, by a hash of their vectors, are an audit: their neighbours are also found by brute
 force in the shard, and beams are widened for the block until the audit's recall
-is reached, at the last to the whole shard. What a beam finds is verified by
+is reached, in small groups as in large ones, at the last to the whole shard. What a beam finds is verified by
 cosine in double precision. A task joins what it has linked into trees, so it
 passes on as many rows as it has vectors, not as it has pairs; the components of
 all trees are found by Spark.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.components import components
@@ -194,19 +194,29 @@ class Graph:
             width *= 2
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
 
-    def audited_width(self, queries: np.ndarray, threshold: float, width: int, recall: float) -> int:
+    def audited_width(self, queries: np.ndarray, threshold: float, width: int, recall: float, own: np.ndarray | None = None) -> int:
         """The beam, doubled until ``recall`` of the queries' links, and NEAREST of their ten nearest, are found.
 
-        Of vectors without any link only the latter shows whether the walk gets through.
+        Recall is the mean over queries that have links, and is asked of small
+        groups apart from large ones: by powers of two of the number of links.
+        ``own`` has the places of the queries themselves, or -1; finding oneself is
+        no link. Of vectors without any link only the latter shows whether the walk gets through.
         """
         near = queries @ self.exact.T
-        wanted = near >= threshold
         nearest = np.argpartition(-near, min(10, near.shape[1]) - 1, axis=1)[:, :10]
+        # Sums in another order may put a pair on the other side.
+        wanted = near >= threshold + 1e-9
+        own = np.full(len(queries), -1) if own is None else own
+        wanted[own >= 0, own[own >= 0]] = False
+        linked = np.flatnonzero(wanted.any(axis=1))
+        groups = np.log2(wanted.sum(axis=1)[linked]).astype(int)
         while width < len(self.vectors):
             q, v = self.links(queries, threshold, width)
+            sure = wanted[q, v]
+            part = np.bincount(q[sure], minlength=len(queries))[linked] / wanted.sum(axis=1)[linked]
             ids, _ = self.descend(queries.astype(np.float32), width, len(self.vectors), len(self.layers) - 1)[0]
             met = (ids[:, :, None] == nearest[:, None, :]).any(axis=1).mean()
-            if len(q) >= recall * wanted.sum() and met >= NEAREST:
+            if met >= NEAREST and all(part[groups == g].mean() >= recall for g in np.unique(groups)):
                 break
             width *= 2
         return width
@@ -294,12 +304,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, shard_rows: int
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _turn() -> Column:
+    """An order of vectors that says nothing about their ids; the first in it are audited."""
+    return F.xxhash64(F.lit(3), "key_a", "key_b")
+
+
 def _linked(classes: DataFrame, count: int, threshold: float, shard_rows: int, least_shards: int, block_rows: int, beam: int, audit: int, recall: float) -> DataFrame:
     """``a, n_links`` of classes of vectors of one length, and tree links ``a, b``; one of ``n_links``, ``b`` is null."""
     shards = max(least_shards, -(-count // shard_rows))
     blocks = -(-count // block_rows)
     dealt = classes.select(
-        "first", "copies", "embedding", F.pmod("key_a", F.lit(shards)).cast("int").alias("shard"), F.pmod("key_b", F.lit(blocks)).cast("int").alias("block"))
+        "first", "copies", "embedding", _turn().alias("turn"), F.pmod("key_a", F.lit(shards)).cast("int").alias("shard"), F.pmod("key_b", F.lit(blocks)).cast("int").alias("block"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = [], None
@@ -330,42 +345,55 @@ def _linked(classes: DataFrame, count: int, threshold: float, shard_rows: int, l
         dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "first").mapInArrow(build, "shard int, kind int, part int, content binary"), "graphs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, graph, members, loaded, width = None, None, None, {0: [], 1: []}, beam
+        place, loaded, waiting, held = None, {0: [], 1: []}, [], None
+
+        def answers(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            # A shard may hold no vector of this length.
+            if not sum(map(len, parts)) or not loaded[0]:
+                return
+            queries = np.concatenate([unit(part.column("embedding")) for part in parts])
+            names = np.concatenate([part.column("first").to_numpy() for part in parts])
+            if held is None:
+                graph, members = Graph.loaded(b"".join(loaded[0])), np.load(io.BytesIO(b"".join(loaded[1])))
+                members = {k: members[k] for k in members.files}
+                at = {name: i for i, name in enumerate(members["first"].tolist())}
+                own = np.array([at.get(name, -1) for name in names[:audit].tolist()])
+                held = graph, members, graph.audited_width(queries[:audit], threshold, beam, recall, own)
+            graph, members, width = held
+            q, v = graph.links(queries, threshold, width)
+            other = names[q] != members["first"][v]
+            q, v = q[other], v[other]
+            counts = np.bincount(q, members["copies"][v], len(names)).astype(np.int64)
+            trees = list(_trees(names[q], members["first"][v]))
+            some = np.flatnonzero(counts)
+            a = np.concatenate((names[some], np.array([t[0] for t in trees], np.int64)))
+            b = pa.array([None] * len(some) + [t[1] for t in trees], pa.int64())
+            n = pa.array(counts[some].tolist() + [None] * len(trees), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, n], ["a", "b", "n_links"])
 
         for batch in batches:
             keys = batch.column("shard").to_numpy().astype(np.int64) * blocks + batch.column("block").to_numpy()
             for here in np.unique(keys):
                 part = batch.filter(pa.array(keys == here))
                 if here != place:
-                    place, graph, loaded = here, None, {0: [], 1: []}
+                    yield from answers(waiting)
+                    place, loaded, waiting, held = here, {0: [], 1: []}, [], None
                 kinds = part.column("kind").to_numpy()
                 for k, content in zip(kinds, part.column("content").to_pylist()):
                     if content is not None:
                         loaded[k].append(content)
-                part = part.filter(pa.array(kinds == 2))
-                # A shard may hold no vector of this length.
-                if not len(part) or not loaded[0]:
-                    continue
-                queries, names = unit(part.column("embedding")), part.column("first").to_numpy()
-                if graph is None:
-                    graph, members = Graph.loaded(b"".join(loaded[0])), np.load(io.BytesIO(b"".join(loaded[1])))
-                    members = {k: members[k] for k in members.files}
-                    width = graph.audited_width(queries[:audit], threshold, beam, recall)
-                q, v = graph.links(queries, threshold, width)
-                other = names[q] != members["first"][v]
-                q, v = q[other], v[other]
-                counts = np.bincount(q, members["copies"][v], len(names)).astype(np.int64)
-                trees = list(_trees(names[q], members["first"][v]))
-                some = np.flatnonzero(counts)
-                a = np.concatenate((names[some], np.array([t[0] for t in trees], np.int64)))
-                b = pa.array([None] * len(some) + [t[1] for t in trees], pa.int64())
-                n = pa.array(counts[some].tolist() + [None] * len(trees), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, n], ["a", "b", "n_links"])
+                waiting.append(part.filter(pa.array(kinds == 2)))
+                # Batches end anywhere; the audit waits until it has its queries.
+                if held is not None or sum(map(len, waiting)) >= audit:
+                    yield from answers(waiting)
+                    waiting = []
+        yield from answers(waiting)
 
     none = F.lit(None)
     shipped = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "kind", "part", "content",
-                            none.cast("long").alias("first"), none.cast("array<double>").alias("embedding"))
+                            none.cast("long").alias("first"), none.cast("array<double>").alias("embedding"), none.cast("long").alias("turn"))
     asked = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.lit(2).alias("kind"), F.lit(0).alias("part"),
-                         none.cast("binary").alias("content"), "first", "embedding")
-    return shipped.union(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "part", "first").mapInArrow(
+                         none.cast("binary").alias("content"), "first", "embedding", "turn")
+    return shipped.union(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "part", "turn").mapInArrow(
         search, "a long, b long, n_links long")
