@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import bitpack, boosted, feistel, hnsw, mixing, multiindex, recurrent, simhash, surrogates, wfst
+from tidings.llm import align, bitpack, boosted, feistel, hnsw, mixing, multiindex, recurrent, simhash, surrogates, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=10)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of both tokenizers for every document."""
+    return align.alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 NEAREST_SQL = """
 WITH coded AS (
   SELECT vec_id, CAST(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding], '') AS BIT) AS code
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_multi_index": op9_multi_index,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_multi_index": NEAREST_SQL}
