@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import align, bitpack, boosted, feistel, hnsw, mixing, multiindex, recurrent, simhash, surrogates, wfst
+from tidings.llm import align, bitpack, boosted, feistel, hnsw, mixing, multiindex, prefixes, recurrent, simhash, surrogates, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,54 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, after heads are shared in groups of twenty ids."""
+    turns = prefixes.turns_of(_table(spark, sf_dir, "conversations"))
+    return prefixes.prefix_trie(prefixes.with_heads(turns, group=20, most=3))
+
+
+PREFIX_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM ordered),
+taken AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS first,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)),
+           4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT t.conv_id, 0 AS own, c.place, c.digest, c.words FROM taken t JOIN turns c ON c.conv_id = t.first WHERE c.place <= t.h
+  UNION ALL
+  SELECT t.conv_id, 1, c.place, c.digest, c.words FROM taken t JOIN turns c USING (conv_id) WHERE c.place > t.h),
+numbered AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, depth, words, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+         md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS above,
+         max(depth) OVER (PARTITION BY conv_id) AS turns
+  FROM numbered
+  UNION ALL
+  SELECT conv_id, 0, 0, md5(''), NULL, (SELECT count(*) FROM numbered n WHERE n.conv_id = taken.conv_id) FROM taken),
+nodes AS (
+  SELECT node, depth, coalesce(any_value(above), CASE WHEN depth > 0 THEN md5('') END) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = turns), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth),
+children AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+subtrees AS (
+  SELECT p.node AS top, c.node FROM prefixes p JOIN counted n USING (node) JOIN prefixes c ON c.conv_id = p.conv_id AND c.depth >= p.depth GROUP BY ALL),
+summed AS (
+  SELECT s.top AS node, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved_tokens
+  FROM subtrees s JOIN counted c ON c.node = s.node GROUP BY s.top)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN summed USING (node) LEFT JOIN counted p ON p.node = n.above
+"""
+
 NEAREST_SQL = """
 WITH coded AS (
   SELECT vec_id, CAST(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding], '') AS BIT) AS code
@@ -144,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_multi_index": op9_multi_index,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_multi_index": NEAREST_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_multi_index": NEAREST_SQL, "op12_prefix_trie": PREFIX_SQL}
