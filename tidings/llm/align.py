@@ -25,6 +25,7 @@ result. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -63,16 +64,46 @@ class PlainEncoder(Encoder):
 
 
 class PieceEncoder:
-    """A SentencePiece model."""
+    """A SentencePiece model, with a bounded memory of stretches.
+
+    A stretch is spaces and all up to the next space. Where no piece has the word
+    mark behind another character, none reaches from one stretch into the next,
+    so a stretch met before needs no second encoding. Texts that hold a word mark
+    of their own are encoded whole, and so are all texts of other models.
+    """
+
+    STRETCH = re.compile(" +[^ ]*")
+    REMEMBERED = 600_000
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as schema
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.vocab_size()
+        with open(path, "rb") as file:
+            spec = schema.ModelProto.FromString(file.read())
+        how = spec.normalizer_spec
+        self.stretches = (how.add_dummy_prefix and not how.remove_extra_whitespaces and not how.precompiled_charsmap
+                          and not any("▁" in p.piece.lstrip("▁") for p in spec.pieces))
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, np.uint32).tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
+        """The ids of each text."""
+        whole = [t for t in texts if not self.stretches or "▁" in t]
+        apart = dict(zip(whole, self._encoded(whole)))
+        stretches = {i: self.STRETCH.findall(" " + t) for i, t in enumerate(texts) if t not in apart}
+        known = self.known
+        fresh = list(set().union(*stretches.values()).difference(known))
+        if len(known) + len(fresh) > self.REMEMBERED:
+            # Full: what is new serves these texts only.
+            known = dict(known)
+        # The model puts the first space in front itself.
+        known.update(zip(fresh, self._encoded([s[1:] for s in fresh])))
+        return [np.frombuffer(b"".join(map(known.__getitem__, stretches[i])) if i in stretches else apart[t], np.uint32) for i, t in enumerate(texts)]
 
     def token_bytes(self) -> list[bytes]:
         def of(i: int) -> bytes:
@@ -82,23 +113,6 @@ class PieceEncoder:
         return [of(i) for i in range(self.size)]
 
 
-def window(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Groups and links of tokens with these ends: (end in a, end in b) of each group, (place in a, place in b) of each link."""
-    groups, links, i, j, start_a, start_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        end_a, end_b = ends_a[i], ends_b[j]
-        # Tokens without bytes overlap with nothing.
-        if min(end_a, end_b) > max(start_a, start_b):
-            links.append((i, j))
-        if end_a <= end_b:
-            i, start_a = i + 1, end_a
-        if end_b <= end_a:
-            j, start_b = j + 1, end_b
-        if end_a == end_b:
-            groups.append((i, j))
-    return groups, links
-
-
 class Aligner:
     """Both tokenizers, and the windows met so far."""
 
@@ -110,29 +124,37 @@ class Aligner:
         self.bytes = [side.token_bytes() for side in self.sides]
         self.lengths = [np.array([len(t) for t in table], np.int64) for table in self.bytes]
         self.spaced = [np.array([t[:1] == b" " for t in table], bool) for table in self.bytes]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[bytes] = []
-        self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
-
-    def _add(self, key: tuple[bytes, bytes]) -> int:
-        """Align a window; its place among those kept."""
-        a, b = (np.frombuffer(ids, np.uint32).astype(np.int64) for ids in key)
-        groups, links = window(a, b, *(np.cumsum(lengths[ids]).tolist() for lengths, ids in zip(self.lengths, (a, b))))
-        ids_a, ids_b, out, i, j = a.tolist(), b.tolist(), [], 0, 0
-        for to_a, to_b in groups:
-            out.append(f"{','.join(map(str, ids_a[i:to_a]))}|{','.join(map(str, ids_b[j:to_b]))}")
-            i, j = to_a, to_b
-        self.texts.append(";".join(out).encode())
-        self.groups.append(len(groups))
-        places = np.array(links, np.int64).reshape(-1, 2)
-        self.links.append(a[places[:, 0]] * self.sides[1].size + b[places[:, 1]])
-        if len(a) + len(b) <= self.SHORT:
-            self.known[key] = len(self.texts) - 1
-        return len(self.texts) - 1
+        self.sizes = [lengths.tolist() for lengths in self.lengths]
+        self.known: dict[tuple[bytes, bytes], tuple[bytes, int, tuple[int, ...]]] = {}
+        self.older: dict[tuple[bytes, bytes], tuple[bytes, int, tuple[int, ...]]] = {}
+
+    def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, tuple[int, ...]]:
+        """A window met before or aligned now: its groups as text, their number, and its links."""
+        found = self.older.get(key)
+        if found is None:
+            found = self._aligned(memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist())
+        if len(key[0]) + len(key[1]) <= 4 * self.SHORT:
+            self.known[key] = found
+        return found
+
+    def _aligned(self, a: list[int], b: list[int]) -> tuple[bytes, int, tuple[int, ...]]:
+        size_a, size_b, ids_b = *self.sizes, self.sides[1].size
+        end_a, end_b, i, j, from_i, from_j = size_a[a[0]], size_b[b[0]], 0, 0, 0, 0
+        groups, links = [], [a[0] * ids_b + b[0]]
+        while True:
+            # The token that ends first makes way for the next of its side; every token has bytes.
+            step_a, step_b = end_a <= end_b, end_b <= end_a
+            i, j = i + step_a, j + step_b
+            if step_a and step_b:
+                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+                if i == len(a):
+                    return ";".join(groups).encode(), len(groups), tuple(links)
+                from_i, from_j = i, j
+            if step_a:
+                end_a += size_a[a[i]]
+            if step_b:
+                end_b += size_b[b[j]]
+            links.append(a[i] * ids_b + b[j])
 
     def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Both sides' ids of each text, none where it has no tokens."""
@@ -149,8 +171,9 @@ class Aligner:
     def align(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """``n_a, n_b, n_groups, n_links, groups_sha256`` of each text; then bounds of each text's
         different links, the links (as one number each) and how often the text has them."""
-        if len(self.known) > self.REMEMBERED:
-            self.forget()
+        if len(self.known) > self.REMEMBERED // 2:
+            # What was not met since the last time goes.
+            self.known, self.older = {}, self.known
         ids = self.encoded(texts)
         some = [i for i in ids if i is not None]
         if not some:
@@ -163,28 +186,23 @@ class Aligner:
             before_space = np.append(self.spaced[bit][flat[bit]][1:], True)
             place[side_ends[before_space]] |= 1 << bit
         cuts = [np.flatnonzero(place[side_ends] == 3) + 1 for side_ends in ends]
-        for bit in (0, 1):
-            # Tokens without bytes share an end; the last of them is where the cut is.
-            cuts[bit] = cuts[bit][np.append(np.diff(ends[bit][cuts[bit] - 1]) > 0, True)]
         known = self.known
         raw = [side.tobytes() for side in flat]
         bounds = [(4 * np.concatenate(([0], c))).tolist() for c in cuts]
         keys = zip((raw[0][s:e] for s, e in zip(bounds[0], bounds[0][1:])), (raw[1][s:e] for s, e in zip(bounds[1], bounds[1][1:])))
-        windows = np.array([w if (w := known.get(key)) is not None else self._add(key) for key in keys], np.int64)
+        windows = [w if (w := known.get(key)) is not None else self._window(key) for key in keys]
 
         counts = [np.array([len(i[bit]) for i in some]) for bit in (0, 1)]
-        starts = np.searchsorted(cuts[0], np.concatenate(([0], np.cumsum(counts[0]))), "right")
-        document = np.repeat(np.arange(len(some)), np.diff(starts))
-        groups = np.bincount(document, np.array(self.groups)[windows], len(some)).astype(np.int64)
-        texts_of, listed = self.texts, windows.tolist()
-        hashes = [hashlib.sha256(b";".join([texts_of[w] for w in listed[s:e]])).hexdigest() for s, e in zip(starts, starts[1:])]
-
-        links = [self.links[w] for w in listed]
-        owner = np.repeat(document, [len(x) for x in links])
+        starts = np.searchsorted(cuts[0], np.concatenate(([0], np.cumsum(counts[0]))), "right").tolist()
+        parts = [list(zip(*windows[s:e])) for s, e in zip(starts, starts[1:])]
+        groups = [sum(part[1]) for part in parts]
+        hashes = [hashlib.sha256(b";".join(part[0])).hexdigest() for part in parts]
+        n_links = [sum(map(len, part[2])) for part in parts]
+        links = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(part[2] for part in parts)), np.int64, sum(n_links))
+        owner = np.repeat(np.arange(len(some)), n_links)
         pairs = self.sides[0].size * self.sides[1].size
-        different, often = np.unique(owner * pairs + np.concatenate(links), return_counts=True)
+        different, often = np.unique(owner * pairs + links, return_counts=True)
         owner, different = np.divmod(different, pairs)
-        n_links = np.bincount(owner, often, len(some)).astype(np.int64)
 
         rows, sizes, at = [], [], 0
         distinct = np.bincount(owner, minlength=len(some))
@@ -193,7 +211,7 @@ class Aligner:
                 rows.append((0, 0, 0, 0, ""))
                 sizes.append(0)
             else:
-                rows.append((int(counts[0][at]), int(counts[1][at]), int(groups[at]), int(n_links[at]), hashes[at]))
+                rows.append((int(counts[0][at]), int(counts[1][at]), groups[at], n_links[at], hashes[at]))
                 sizes.append(int(distinct[at]))
                 at += 1
         return rows, np.concatenate(([0], np.cumsum(sizes))), different, often
