@@ -69,7 +69,7 @@ class PieceEncoder:
     A stretch is spaces and all up to the next space. Where no piece has the word
     mark behind another character, none reaches from one stretch into the next,
     so a stretch met before needs no second encoding. Texts that hold a word mark
-    of their own are encoded whole, and so are all texts of other models.
+    of their own or end in a space are encoded whole, and so are all texts of other models.
     """
 
     STRETCH = re.compile(" +[^ ]*")
@@ -93,7 +93,7 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        whole = [t for t in texts if not self.stretches or "▁" in t]
+        whole = [t for t in texts if not self.stretches or "▁" in t or t.endswith(" ")]
         apart = dict(zip(whole, self._encoded(whole)))
         stretches = {i: self.STRETCH.findall(" " + t) for i, t in enumerate(texts) if t not in apart}
         known = self.known
