@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import align, bitpack, boosted, feistel, hnsw, mixing, multiindex, prefixes, recurrent, simhash, surrogates, wfst
+from tidings.llm import align, bitpack, boosted, feistel, hnsw, mixing, multiindex, prefixes, recurrent, secrets, simhash, surrogates, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,55 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_trie(prefixes.with_heads(turns, group=20, most=3))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by pattern and by two Markov chains."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def _matches_sql(kind: int) -> str:
+    """Matches of a kind, with their places, from ``texts`` (r, text)."""
+    pattern, group, least = secrets.PATTERNS[kind]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT r, {kind} AS kind, value, until - size AS start, until AS "end", length(value) >= {least} AS long_enough FROM (
+    SELECT r, value, size, sum(gap + size) OVER (PARTITION BY r ORDER BY i) AS until FROM (
+      SELECT r, i, length(gaps[i]) AS gap, length(hits[i]) AS size, vals[i] AS value FROM (
+        SELECT r, string_split_regex(text, {quoted}) AS gaps, regexp_extract_all(text, {quoted}) AS hits,
+               regexp_extract_all(text, {quoted}, {group}) AS vals FROM texts), unnest(range(1, len(hits) + 1)) AS u(i)))"""
+
+
+SECRETS_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+matches AS ({' UNION ALL '.join(map(_matches_sql, range(len(secrets.KINDS))))}),
+spans AS (SELECT r, kind, start, "end", value FROM matches WHERE long_enough),
+base AS (SELECT * FROM spans WHERE kind < {secrets.MARKOV}),
+candidates AS (
+  SELECT * FROM spans s WHERE kind = {secrets.MARKOV} AND regexp_matches(value, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s.r AND b.start < s."end" AND b."end" > s.start)),
+samples AS (SELECT value, min(kind) < {secrets.MARKOV} AS secret FROM (FROM base UNION ALL FROM candidates) GROUP BY value),
+symbols AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-', '')) AS c),
+steps AS (
+  SELECT value, secret, unnest(list_zip(['^'] || string_split(value, ''), string_split(value, '') || ['$']), recursive := false) AS step FROM samples),
+seen AS (SELECT secret, step[1] AS a, step[2] AS b, count(*) AS n FROM steps GROUP BY ALL),
+smoothed AS (
+  SELECT k.secret, f.c AS a, t.c AS b, coalesce(n, 0) + {secrets.ADDED} AS n
+  FROM (VALUES (true), (false)) k(secret), (FROM symbols UNION ALL SELECT '^') f, (FROM symbols UNION ALL SELECT '$') t
+  LEFT JOIN seen ON seen.secret = k.secret AND seen.a = f.c AND seen.b = t.c),
+chains AS (SELECT secret, a, b, n / sum(n) OVER (PARTITION BY secret, a) AS p FROM smoothed),
+ratios AS (SELECT a, b, ln(s.p / o.p) AS ratio FROM chains s JOIN chains o USING (a, b) WHERE s.secret AND NOT o.secret),
+runs AS (SELECT DISTINCT value FROM candidates),
+scored AS (
+  SELECT value FROM (SELECT value, unnest(list_zip(['^'] || string_split(value, ''), string_split(value, '') || ['$']), recursive := false) AS step FROM runs)
+  JOIN ratios ON a = step[1] AND b = step[2] GROUP BY value HAVING sum(ratio) >= {secrets.RATIO}),
+every AS (FROM base UNION ALL SELECT c.* FROM candidates c JOIN scored USING (value)),
+listed AS (SELECT r, kind, start, "end", {secrets.KINDS!r}[kind + 1] || ':' || start || ':' || "end" AS span FROM every)
+SELECT any_value(doc_id) AS doc_id,
+       {', '.join(f'count(*) FILTER (kind = {k}) AS n_{name}' for k, name in enumerate(secrets.KINDS))},
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {secrets.MARKOV}), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM texts LEFT JOIN listed USING (r) GROUP BY r
+"""
+
 PREFIX_SQL = r"""
 WITH ordered AS (
   SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
@@ -193,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_secrets": op13_secrets,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_multi_index": NEAREST_SQL, "op12_prefix_trie": PREFIX_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_multi_index": NEAREST_SQL, "op12_prefix_trie": PREFIX_SQL, "op13_secrets": SECRETS_SQL}
