@@ -342,30 +342,36 @@ HINT = rf"[0-9@]|AKIA|password=|{_TITLE}|{_GIVEN}"
 _NAME_HINT = re.compile(f"{_TITLE}|{_GIVEN}")
 
 
+_BLANK = re.compile(r"\s")
+
+
 def _stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Where anchors lie, with what surrounds them up to white space beyond the gap."""
-    begin = end = None
+    """Where anchors lie, with what surrounds them up to white space beyond the gap; no two meet.
+
+    An entity may reach from one anchor to the next, but not over white space at
+    the rim of a stretch. Each character is looked at once from either side.
+    """
+    begin, end = 0, -1
     for anchor in _ANCHOR.finditer(text):
-        if end is not None and anchor.start() <= end:
-            end = max(end, anchor.end() + GAP)
+        if anchor.end() + GAP <= end:
             continue
-        if begin is not None:
-            yield begin, end
-        begin, end = max(0, anchor.start() - GAP), anchor.end() + GAP
-    if begin is not None:
+        low = max(0, anchor.start() - GAP)
+        while low > end and low > 0 and not text[low - 1].isspace():
+            low -= 1
+        if low > end:
+            if end >= 0:
+                yield begin, end
+            begin = low
+        rim = _BLANK.search(text, min(len(text), anchor.end() + GAP))
+        end = rim.start() if rim else len(text)
+    if end >= 0:
         yield begin, end
 
 
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """``type, value, start, end`` of the entities of a text, in order."""
-    out, at = [], 0
-    for begin, end in _stretches(text):
-        # An entity may reach from one stretch into the next, but not over white space at its rim.
-        while begin > at and not text[begin - 1].isspace():
-            begin -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        at = max(at, begin)
+    out = []
+    for at, end in _stretches(text):
         while at < end and (found := _ANY.search(text, at, end)):
             first = KINDS.index(_BY_NAME[found.lastgroup])
             for kind in KINDS[first:-1]:
