@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidings.session import work_folder
 
@@ -18,9 +19,18 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
 
 def row_key(frame: DataFrame) -> list[Column]:
     """128 bits over all columns, as ``key_a`` and ``key_b``; rows with equal keys
-    are the same in every column."""
-    columns = [frame[f"`{name}`"] for name in frame.columns]
+    are the same in every column.
+
+    Hashes pass over nulls and cannot read maps, so it is also hashed which columns
+    are null, and nested columns as JSON.
+    """
+    def plain(name: str, kind: T.DataType) -> Column:
+        column = frame[f"`{name}`"]
+        return F.to_json(F.struct(column), {"ignoreNullFields": "false"}) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else column
+
+    nulls = F.concat_ws("", *(F.isnull(frame[f"`{name}`"]).cast("int") for name in frame.columns))
+    columns = [plain(field.name, field.dataType) for field in frame.schema]
     return [
-        F.xxhash64(*columns).alias("key_a"),
-        F.xxhash64(F.lit(0x5bd1e995), *reversed(columns), F.lit(len(columns))).alias("key_b"),
+        F.xxhash64(nulls, *columns).alias("key_a"),
+        F.xxhash64(F.lit(0x5bd1e995), *reversed(columns), nulls, F.lit(len(columns))).alias("key_b"),
     ]
