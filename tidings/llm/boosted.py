@@ -164,15 +164,17 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 16_384, la
     """Trees from a bounded sample of labelled documents; None without labels.
 
     ``labels`` has ``doc_id`` and ``label``. At most ``sample_rows`` of them are
-    used, those that come first in a fixed shuffle of the ids, so that the
-    broadcast of ids and the rows sent to the driver are bounded.
+    used, those that come first in a fixed shuffle of the ids, and of documents
+    with one id that whose text comes first, so that the broadcast of ids and the
+    rows sent to the driver are bounded.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    sample = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    sample = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +183,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 16_384, la
             yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], names)
 
     names = ["label", *(f"s{i}" for i in range(STATISTICS))]
-    table = sample.mapInArrow(rows, "label int, " + ", ".join(f"{n} double" for n in names[1:])).limit(2 * sample_rows).toPandas()
+    table = sample.mapInArrow(rows, "label int, " + ", ".join(f"{n} double" for n in names[1:])).toPandas()
     if table.empty:
         return None
     # The order in which tasks answer must not change sums.
