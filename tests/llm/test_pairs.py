@@ -1,5 +1,6 @@
 """Near-duplicates of texts and vectors, components, and search, against brute force."""
 
+import collections
 import random
 
 import numpy as np
@@ -8,8 +9,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.tables import awkward, empty, tuples
-from tidings.llm import hnsw, multiindex, simhash
+from tidings.llm import hnsw, mixing, multiindex, simhash
 from tidings.llm.components import components
+from tidings.llm.store import row_key
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -113,6 +115,18 @@ def test_one_of_each_group_stays_whole(spark):
     assert simhash.first_of_group(empty(spark)).count() == 0
 
 
+def test_rows_that_differ_in_nulls_or_nested_columns_have_keys_of_their_own(spark):
+    rows = spark.createDataFrame(
+        [(1, "t", "en", None, {"a": 1}, [None, "x"]), (1, "t", None, "en", {"a": 1}, [None, "x"]), (1, "t", None, "en", {"a": 2}, [None, "x"]),
+         (1, "t", None, "en", {"a": 2}, ["x", None]), (1, "t", None, "en", None, None), (1, "t", None, "en", {"a": 2}, ["x", None])],
+        "doc_id long, text string, lang string, source string, m map<string,int>, l array<string>")
+    assert rows.select(*row_key(rows)).distinct().count() == 5
+    assert simhash.first_of_group(rows).count() == 1
+    mixed = mixing.mixed(rows).collect()
+    given = collections.Counter(map(repr, rows.collect()))
+    assert mixed and all(n <= 2 * given[row] for row, n in collections.Counter(map(repr, mixed)).items())
+
+
 def _vectors(spark, seed=3):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(120, 16))
@@ -121,7 +135,8 @@ def _vectors(spark, seed=3):
     rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rows)]
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [], 1), (n + 2, [0.0] * 16, 1), (n + 3, [float("nan")] * 16, 1), (n + 4, [None] * 16, None),
-             (n + 5, [float("inf")] + [1.0] * 15, 1), (None, rows[0][1], 1), (5, rows[5][1], 1), (n + 6, [1.0, 2.0], 1), (n + 7, [2.0, 4.0], 1), (n + 8, [1e-30] * 16, 0)]
+             (n + 5, [float("inf")] + [1.0] * 15, 1), (None, rows[0][1], 1), (5, rows[5][1], 1), (n + 6, [1.0, 2.0], 1), (n + 7, [2.0, 4.0], 1), (n + 8, [1e-30] * 16, 0),
+             (7, rows[40][1], 1), (2, rows[130][1], 1), (3, rows[2][1], 1)]
     return spark.createDataFrame(rows, VECTORS).withColumn("first", F.lit(1)).withColumn("code", F.lit("x"))
 
 

@@ -282,7 +282,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, shard_rows: int
     keys = [F.when(usable, F.xxhash64(F.lit(seed), value)).alias(name) for seed, name in ((1, "key_a"), (2, "key_b"))]
     rows = written(vectors.select("vec_id", *keys, F.when(usable, value).alias("embedding")), "vectors")
     same = written(rows.where("embedding is not null").groupBy("key_a", "key_b").agg(
-        F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
+        F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        # Ids may name several vectors, so links are between numbers of classes.
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
     sizes = same.groupBy(F.size("embedding").alias("length")).count().collect()
     names = rows.select("vec_id", "key_a", "key_b")
     if not sizes:
@@ -293,11 +295,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, shard_rows: int
     for more in parts[1:]:
         found = found.union(more)
     found = written(found, "links")
-    counts = found.where("n_links > 0").groupBy(F.col("a").alias("first")).agg(F.sum("n_links").alias("other_links"))
-    roots = components(found.where("b is not null")).select(F.col("node").alias("first"), "root")
+    counts = found.where("n_links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("other_links"))
+    roots = components(found.where("b is not null"))
+    rooted = written(same.select("node", "key_a", "key_b", "first", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node")), "rooted")
     # A table again, so that the join with all rows can split a vector that many share.
-    classes = written(same.select("key_a", "key_b", "first", "copies").join(counts, "first", "left").join(roots, "first", "left").select(
-        "key_a", "key_b", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"), F.coalesce("root", "first").alias("component_id")), "answers")
+    classes = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(
+        "key_a", "key_b", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"), "component_id"), "answers")
     # Rows without a usable vector have no key and keep their own name.
     linked = names.where("key_a is not null").join(classes, ["key_a", "key_b"]).select("vec_id", "n_links", "component_id")
     alone = names.where("key_a is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -314,7 +318,7 @@ def _linked(classes: DataFrame, count: int, threshold: float, shard_rows: int, l
     shards = max(least_shards, -(-count // shard_rows))
     blocks = -(-count // block_rows)
     dealt = classes.select(
-        "first", "copies", "embedding", _turn().alias("turn"), F.pmod("key_a", F.lit(shards)).cast("int").alias("shard"), F.pmod("key_b", F.lit(blocks)).cast("int").alias("block"))
+        F.col("node").alias("first"), "copies", "embedding", _turn().alias("turn"), F.pmod("key_a", F.lit(shards)).cast("int").alias("shard"), F.pmod("key_b", F.lit(blocks)).cast("int").alias("block"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = [], None
@@ -342,7 +346,7 @@ def _linked(classes: DataFrame, count: int, threshold: float, shard_rows: int, l
 
     # Range partitions, so that no two shards meet in one task while others idle.
     graphs = written(
-        dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "first").mapInArrow(build, "shard int, kind int, part int, content binary"), "graphs")
+        dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "turn", "first").mapInArrow(build, "shard int, kind int, part int, content binary"), "graphs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, loaded, waiting, held = None, {0: [], 1: []}, [], None
