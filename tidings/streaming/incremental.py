@@ -3,17 +3,17 @@
 Tables below one base folder, all partitioned by stream and micro-batch:
 
 * ``candidates``: items a batch took up, new and carried over;
-* ``outbox``: alerts. It is also the ledger, so an alert and its being marked
-  as handled are the same write.
+* ``outbox``: alerts;
+* ``handled``: the addresses of the outbox, in buckets (:mod:`tidings.sources.handled`),
+  so a batch looks its items up without reading the outbox.
 
-Every partition is written in overwrite mode under its batch number. A replayed
-batch therefore replaces what it wrote before, and it ignores its own
-outbox partition when it looks up what is already handled.
+Every partition is written in overwrite mode under its batch number, addresses
+last. A replayed batch therefore replaces what it wrote before, and it ignores its
+own addresses when it looks up what is already handled.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 from tidings.fixed_values import JUNK_SELECTORS, LOOKBACK_DAYS
 from tidings.operators.items import first_source_wins
 from tidings.plans.cycle import alerts_for, screened
+from tidings.sources.handled import Handled
 
 ITEMS = ("source string, source_rank int, item_idx bigint, epic string, page_no int,"
          " url string, title string, published_at timestamp")
@@ -71,15 +72,9 @@ class Store:
         rows = self._at(self._path(name, batch_id), COLUMNS[name])
         return self.spark.createDataFrame([], COLUMNS[name]) if rows is None else rows
 
-    def last_batch(self, name: str) -> int:
-        """Number of the last batch written, -1 if none is."""
-        rows = self._at(f"{self.base}/{name}/stream={self.stream}", COLUMNS[name] + ", batch_id bigint")
-        numbers = [int(n) for f in (rows.inputFiles() if rows is not None else []) for n in re.findall(r"/batch_id=(\d+)/", f)]
-        return max(numbers, default=-1)
-
-    def handled_before(self, batch_id: int) -> DataFrame:
-        """Addresses in the outbox, without this batch and later ones of the stream."""
-        return self.read("outbox").filter((F.col("stream") != self.stream) | (F.col("batch_id") < batch_id)).select("url")
+    @property
+    def handled(self) -> Handled:
+        return Handled(self.spark, f"{self.base}/handled")
 
     def pending_after(self, batch_id: int) -> DataFrame:
         """What a batch took up and did not handle (IN3)."""
@@ -111,14 +106,16 @@ def process_batch(store: Store, items: DataFrame, batch_id: int, captures: DataF
     carried = store.pending_after(batch_id - 1).select(*columns)
     fresh = store.intake(first_source_wins(screened(items.select(*columns).unionByName(carried), as_of, days, **keywords)))
 
-    ledger = store.handled_before(batch_id)
+    fresh = store.handled.unseen(fresh, store.stream, batch_id)
     if imported is not None:
-        ledger = ledger.unionByName(imported.select("url"))
-    known = ledger.join(fresh.select("url"), "url", "left_semi")
-    store.write("candidates", fresh.join(known, "url", "left_anti").select(*columns), batch_id)
+        known = imported.select("url").join(fresh.select("url"), "url", "left_semi")
+        fresh = fresh.join(known, "url", "left_anti")
+    store.write("candidates", fresh.select(*columns), batch_id)
 
     taken = store.of_batch("candidates", batch_id)
     store.write("outbox", alerts_for(taken, captures, junk).select(*taken_columns()), batch_id)
+    store.handled.add(store.of_batch("outbox", batch_id), store.stream, batch_id)
+    store.handled.merge(store.stream, batch_id)
 
 
 def retry_pending(store: Store, captures: DataFrame, as_of, days: int = LOOKBACK_DAYS, imported: DataFrame | None = None,
@@ -130,8 +127,8 @@ def retry_pending(store: Store, captures: DataFrame, as_of, days: int = LOOKBACK
     each other's outbox, so nothing is alerted twice.
     """
     again = replace(store, stream=f"{store.stream}-retry")
-    pending = store.pending_after(store.last_batch("candidates"))
-    process_batch(again, pending, again.last_batch("outbox") + 1, captures, as_of, days, imported, junk, **keywords)
+    pending = store.pending_after(store.handled.last(store.stream))
+    process_batch(again, pending, store.handled.last(again.stream) + 1, captures, as_of, days, imported, junk, **keywords)
 
 
 def run_incremental(store: Store, landing: str, captures: Callable[[], DataFrame], as_of, days: int = LOOKBACK_DAYS,
