@@ -24,8 +24,8 @@ result. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import array
 import hashlib
-import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -113,11 +113,17 @@ class PieceEncoder:
         return [of(i) for i in range(self.size)]
 
 
+#: Marks ids of the second side where both sides' ids stand in one row.
+SECOND = 1 << 31
+#: A window's groups as text, their number, its links in bytes, and its text if both sides restore the same.
+Window = tuple[bytes, int, bytes, bytes | None]
+
+
 class Aligner:
     """Both tokenizers, and the windows met so far."""
 
     #: Windows remembered in a worker, and the most tokens of one that is.
-    REMEMBERED, SHORT = 400_000, 64
+    REMEMBERED, SHORT = 600_000, 64
 
     def __init__(self, byte_level: str, pieces: str):
         self.sides = (PlainEncoder(byte_level), PieceEncoder(pieces))
@@ -125,19 +131,21 @@ class Aligner:
         self.lengths = [np.array([len(t) for t in table], np.int64) for table in self.bytes]
         self.spaced = [np.array([t[:1] == b" " for t in table], bool) for table in self.bytes]
         self.sizes = [lengths.tolist() for lengths in self.lengths]
-        self.known: dict[tuple[bytes, bytes], tuple[bytes, int, tuple[int, ...]]] = {}
-        self.older: dict[tuple[bytes, bytes], tuple[bytes, int, tuple[int, ...]]] = {}
+        # By the ids of both sides in a row.
+        self.known: dict[bytes, Window] = {}
+        self.older: dict[bytes, Window] = {}
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, tuple[int, ...]]:
-        """A window met before or aligned now: its groups as text, their number, and its links."""
+    def _window(self, key: bytes) -> Window:
+        """A window met before or aligned now."""
         found = self.older.get(key)
         if found is None:
-            found = self._aligned(memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist())
-        if len(key[0]) + len(key[1]) <= 4 * self.SHORT:
+            ids = memoryview(key).cast("I").tolist()
+            found = self._aligned([i for i in ids if i < SECOND], [i - SECOND for i in ids if i >= SECOND])
+        if len(key) <= 4 * self.SHORT:
             self.known[key] = found
         return found
 
-    def _aligned(self, a: list[int], b: list[int]) -> tuple[bytes, int, tuple[int, ...]]:
+    def _aligned(self, a: list[int], b: list[int]) -> Window:
         size_a, size_b, ids_b = *self.sizes, self.sides[1].size
         end_a, end_b, i, j, from_i, from_j = size_a[a[0]], size_b[b[0]], 0, 0, 0, 0
         groups, links = [], [a[0] * ids_b + b[0]]
@@ -148,25 +156,41 @@ class Aligner:
             if step_a and step_b:
                 groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
                 if i == len(a):
-                    return ";".join(groups).encode(), len(groups), tuple(links)
+                    break
                 from_i, from_j = i, j
             if step_a:
                 end_a += size_a[a[i]]
             if step_b:
                 end_b += size_b[b[j]]
             links.append(a[i] * ids_b + b[j])
-
-    def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Both sides' ids of each text, none where it has no tokens."""
-        solid = [t for t in texts if t]
-        sides = zip(self.sides[0].ids([" " + t for t in solid]), self.sides[1].ids(solid))
-
-        def restored(text: str, ids: tuple[np.ndarray, np.ndarray]) -> bool:
-            whole = b" " + text.encode()
-            return all(b"".join(map(table.__getitem__, i.tolist())) == whole for table, i in zip(self.bytes, ids))
-
-        found = iter([ids if restored(t, ids) else None for t, ids in zip(solid, sides)])
-        return [next(found) if t else None for t in texts]
+        text_a, text_b = (b"".join(map(table.__getitem__, ids)) for table, ids in zip(self.bytes, (a, b)))
+        return ";".join(groups).encode(), len(groups), array.array("q", links).tobytes(), text_a if text_a == text_b else None
+
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Both sides' ids of each text, none where they have not the bytes for it."""
+        sides = zip(self.sides[0].ids([" " + t for t in texts]), self.sides[1].ids(texts))
+        return [ids if all(lengths[i].sum() == 1 + len(t.encode()) for lengths, i in zip(self.lengths, ids)) else None
+                for t, ids in zip(texts, sides)]
+
+    def windows(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> list[list[Window]]:
+        """The windows of each text."""
+        flat = [np.concatenate(side) for side in zip(*ids)]
+        ends = [np.cumsum(lengths[i]) for lengths, i in zip(self.lengths, flat)]
+        # Every text starts with a space, so its start is an anchor like any other.
+        place = np.zeros(ends[0][-1] + 1, np.uint8)
+        for bit, side_ends in enumerate(ends):
+            before_space = np.append(self.spaced[bit][flat[bit]][1:], True)
+            place[side_ends[before_space]] |= 1 << bit
+        cuts = [np.flatnonzero(place[side_ends] == 3) + 1 for side_ends in ends]
+        # Of each window the ids of the one side, then those of the other.
+        sizes = [np.diff(c, prepend=0) for c in cuts]
+        row = np.empty(len(flat[0]) + len(flat[1]), np.uint32)
+        row[np.arange(len(flat[0])) + np.repeat(cuts[1] - sizes[1], sizes[0])] = flat[0]
+        row[np.arange(len(flat[1])) + np.repeat(cuts[0], sizes[1])] = flat[1] | np.uint32(SECOND)
+        raw, bounds, known = row.tobytes(), (4 * (cuts[0] + cuts[1])).tolist(), self.known
+        found = [w if (w := known.get(key := raw[s:e])) is not None else self._window(key) for s, e in zip([0, *bounds], bounds)]
+        until = np.searchsorted(cuts[0], np.cumsum([len(a) for a, _ in ids]), "right").tolist()
+        return [found[s:e] for s, e in zip([0, *until], until)]
 
     def align(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """``n_a, n_b, n_groups, n_links, groups_sha256`` of each text; then bounds of each text's
@@ -174,47 +198,21 @@ class Aligner:
         if len(self.known) > self.REMEMBERED // 2:
             # What was not met since the last time goes.
             self.known, self.older = {}, self.known
-        ids = self.encoded(texts)
-        some = [i for i in ids if i is not None]
-        if not some:
-            return [(0, 0, 0, 0, "")] * len(texts), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        flat = [np.concatenate(side) for side in zip(*some)]
-        ends = [np.cumsum(lengths[i]) for lengths, i in zip(self.lengths, flat)]
-        # Every document starts with a space, so its start is an anchor like any other.
-        place = np.zeros(ends[0][-1] + 1, np.uint8)
-        for bit, side_ends in enumerate(ends):
-            before_space = np.append(self.spaced[bit][flat[bit]][1:], True)
-            place[side_ends[before_space]] |= 1 << bit
-        cuts = [np.flatnonzero(place[side_ends] == 3) + 1 for side_ends in ends]
-        known = self.known
-        raw = [side.tobytes() for side in flat]
-        bounds = [(4 * np.concatenate(([0], c))).tolist() for c in cuts]
-        keys = zip((raw[0][s:e] for s, e in zip(bounds[0], bounds[0][1:])), (raw[1][s:e] for s, e in zip(bounds[1], bounds[1][1:])))
-        windows = [w if (w := known.get(key)) is not None else self._window(key) for key in keys]
-
-        counts = [np.array([len(i[bit]) for i in some]) for bit in (0, 1)]
-        starts = np.searchsorted(cuts[0], np.concatenate(([0], np.cumsum(counts[0]))), "right").tolist()
-        parts = [list(zip(*windows[s:e])) for s, e in zip(starts, starts[1:])]
-        groups = [sum(part[1]) for part in parts]
-        hashes = [hashlib.sha256(b";".join(part[0])).hexdigest() for part in parts]
-        n_links = [sum(map(len, part[2])) for part in parts]
-        links = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(part[2] for part in parts)), np.int64, sum(n_links))
-        owner = np.repeat(np.arange(len(some)), n_links)
+        solid = [at for at, text in enumerate(texts) if text]
+        ids = dict(zip(solid, self.encoded([texts[at] for at in solid])))
+        solid = [at for at in solid if ids[at] is not None]
+        rows, links = [(0, 0, 0, 0, "")] * len(texts), [b""] * len(texts)
+        for at, windows in zip(solid, self.windows([ids[at] for at in solid]) if solid else []):
+            groups, counts, found, parts = zip(*windows)
+            # The shared ends are right if the bytes between them are, on both sides.
+            if None not in parts and b"".join(parts) == b" " + texts[at].encode():
+                links[at] = b"".join(found)
+                rows[at] = (*map(len, ids[at]), sum(counts), len(links[at]) // 8, hashlib.sha256(b";".join(groups)).hexdigest())
+        owner = np.repeat(np.arange(len(texts)), [len(found) // 8 for found in links])
         pairs = self.sides[0].size * self.sides[1].size
-        different, often = np.unique(owner * pairs + links, return_counts=True)
+        different, often = np.unique(owner * pairs + np.frombuffer(b"".join(links), np.int64), return_counts=True)
         owner, different = np.divmod(different, pairs)
-
-        rows, sizes, at = [], [], 0
-        distinct = np.bincount(owner, minlength=len(some))
-        for i in ids:
-            if i is None:
-                rows.append((0, 0, 0, 0, ""))
-                sizes.append(0)
-            else:
-                rows.append((int(counts[0][at]), int(counts[1][at]), groups[at], n_links[at], hashes[at]))
-                sizes.append(int(distinct[at]))
-                at += 1
-        return rows, np.concatenate(([0], np.cumsum(sizes))), different, often
+        return rows, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))), different, often
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
