@@ -9,8 +9,7 @@ from tidings.fixed_values import ARCHIVE_ROOT, EXHIBIT_LINK, FORMS, ITEM_202
 from tidings.functions.dates import cutoff, filing_date
 from tidings.functions.text import blank_to_null, first_match
 from tidings.functions.urls import archive_folder, archive_key, index_url, join_url, pad_cik, primary_url
-from tidings.operators.items import first_per_key
-from tidings.operators.joins import hot_key_join
+from tidings.operators.joins import first_per_key, hot_key_join
 
 
 # -- issuers ---------------------------------------------------------------

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_KEYWORDS, MAX_PAGES, RNS_KEYWORDS, SOURCE_RANK
 from tidings.functions.dates import cutoff
-from tidings.operators.joins import hot_key_join
-from tidings.operators.pages import detail_dates
+from tidings.operators.joins import first_per_key, hot_key_join
+from tidings.operators.pages import detail_dates, fetched
+from tidings.sources.captures import at_addresses
 
 
 # -- validity ------------------------------------------------------------
@@ -66,17 +67,6 @@ def with_rank(items: DataFrame) -> DataFrame:
     return items.withColumn("source_rank", F.try_element_at(rank, F.col("source")))
 
 
-def first_per_key(df: DataFrame, keys, order) -> DataFrame:
-    """The first row of each key (WN1, AG1, AG2).
-
-    ``row_number() = 1`` is planned as a group limit on both sides of the
-    shuffle: every task passes on at most one row per key, so a key that holds
-    a third of the rows costs one row per task.
-    """
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(spec)).filter("_nth = 1").drop("_nth")
-
-
 def first_source_wins(items: DataFrame) -> DataFrame:
     """Each address once: the earliest source, then the earliest item (ST1, WN1)."""
     return first_per_key(items, ["url"], ["source_rank", "item_idx"])
@@ -129,12 +119,12 @@ def with_detail_dates(items: DataFrame, captures: DataFrame, keywords: str = RNS
     """Fill missing dates of keyword items from their own pages (JN3).
 
     Only the addresses that need it are looked up, each once, so a page shared
-    by many items is parsed once. Dated items take no part in the join.
+    by many items is parsed once, in its newest capture. Dated items take no part
+    in the join.
     """
     needs = F.col("published_at").isNull() & matches(F.col("title"), keywords)
     undated = items.filter(needs)
-    wanted = undated.select("url").distinct()
-    dates = detail_dates(captures.join(wanted, "url", "left_semi"))
+    dates = detail_dates(at_addresses(undated.select("url").distinct(), fetched(captures)))
     filled = hot_key_join(undated, dates, ["url"], "left", by=["item_idx"]).select(
         *[F.col("detail_at").alias("published_at") if c == "published_at" else F.col(c) for c in items.columns])
     return items.filter(~needs).unionByName(filled)

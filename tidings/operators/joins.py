@@ -1,8 +1,8 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins and choices that stay even when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key that a task may meet, keys that are dealt out, and tasks a key is dealt to.
@@ -28,3 +28,14 @@ def hot_key_join(many: DataFrame, few: DataFrame, keys: list[str], how: str, by:
     repeated = few.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def first_per_key(df: DataFrame, keys, order) -> DataFrame:
+    """The first row of each key (WN1, AG1, AG2).
+
+    ``row_number() = 1`` is planned as a group limit on both sides of the
+    shuffle: every task passes on at most one row per key, so a key that holds
+    a third of the rows costs one row per task.
+    """
+    spec = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(spec)).filter("_nth = 1").drop("_nth")

@@ -59,10 +59,11 @@ def headline(title_hint: Column, title_html: Column, url: Column) -> Column:
     return F.coalesce(blank_to_null(title_hint), blank_to_null(title_html), url)
 
 
-def documents(captures: DataFrame, junk=JUNK_SELECTORS) -> DataFrame:
+def documents(captures: DataFrame, junk=JUNK_SELECTORS, pdfs: bool = False) -> DataFrame:
     """HTML captures to ``title_html`` and cleaned ``text`` (TX1, TX2, TX3, TX4, UD4).
 
-    The body column is replaced; all other columns are kept.
+    The body column is replaced; all other columns are kept. With ``pdfs`` PDFs
+    stay, without a title and with an empty text (SC8).
     """
     junk_texts = tuple(junk)
 
@@ -76,8 +77,11 @@ def documents(captures: DataFrame, junk=JUNK_SELECTORS) -> DataFrame:
         return pd.DataFrame(rows, columns=["title_html", "text"])
 
     keep = [c for c in captures.columns if c != "body"]
+    # The bytes of a PDF stay where they are.
+    readable = F.when(~F.coalesce(is_pdf(), F.lit(False)), F.col("body"))
+    rows = fetched(captures).withColumn("body", readable) if pdfs else html_captures(captures)
     return (
-        html_captures(captures)
+        rows
         .select(*keep, clean("body").alias("_clean"))
         .select(*keep, "_clean.title_html", "_clean.text")
     )

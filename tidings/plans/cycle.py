@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_KEYWORDS, JUNK_SELECTORS, LOOKBACK_DAYS, RNS_KEYWORDS
-from tidings.operators.items import first_per_key, first_source_wins, in_window, matches, unseen, valid_items
-from tidings.operators.pages import documents, fetched, pdf_captures
+from tidings.operators.items import first_source_wins, in_window, matches, unseen, valid_items
+from tidings.operators.pages import documents, fetched
 from tidings.plans.summary import alerts, payloads
+from tidings.sources.captures import CAPTURE, at_addresses
 
 
 def screened(items: DataFrame, as_of, days: int = LOOKBACK_DAYS,
@@ -36,17 +37,10 @@ def candidates(items: DataFrame, ledger: DataFrame, as_of, days: int = LOOKBACK_
 
 
 def with_capture(rows: DataFrame, captures: DataFrame) -> DataFrame:
-    """Rows, one for each ``url``, with the newest fetched capture of their address (JN5).
-
-    ``captured_at``, where captures have it, tells which is newest; equal ones are
-    decided by content. Only addresses that are wanted come into the window, which
-    takes over the partitioning of the join.
-    """
-    if "captured_at" not in captures.columns:
-        captures = captures.withColumn("captured_at", F.lit(None).cast("timestamp"))
-    landed = fetched(captures).select("url", "final_url", "content_type", "status", "body", "captured_at")
-    joined = rows.join(landed, "url")
-    return first_per_key(joined, ["url"], [F.desc_nulls_last("captured_at"), F.xxhash64("body", "final_url", "content_type")]).drop("captured_at")
+    """Rows with the newest fetched capture of their address (JN5); no body of a landed table is moved."""
+    landed = fetched(captures)
+    kept = [c for c in ("url", "final_url", "content_type", "status", "body", "captured_at", "digest", CAPTURE) if c in landed.columns]
+    return at_addresses(rows, landed.select(*kept))
 
 
 def alerts_for(candidate_items: DataFrame, captures: DataFrame, junk=JUNK_SELECTORS) -> DataFrame:
@@ -55,11 +49,8 @@ def alerts_for(candidate_items: DataFrame, captures: DataFrame, junk=JUNK_SELECT
     The join comes before cleaning, so only documents that are needed are parsed.
     A PDF has no readable text here: its alert has headline, address and note.
     """
-    landed = with_capture(candidate_items, captures)
-    read = documents(landed, junk).drop("content_type", "status")
-    none = F.lit(None).cast("string")
-    unread = pdf_captures(landed).drop("content_type", "status", "body").withColumn("title_html", none).withColumn("text", F.lit(""))
-    return alerts(payloads(read.unionByName(unread)))
+    read = documents(with_capture(candidate_items, captures), junk, pdfs=True).drop("content_type", "status")
+    return alerts(payloads(read))
 
 
 def pending_for(candidate_items: DataFrame, captures: DataFrame) -> DataFrame:

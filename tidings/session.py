@@ -74,6 +74,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stage(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder.
+
+    A boundary behind parsing: what comes after it may use the rows several times,
+    and none of it starts the parsing over.
+    """
+    path = work_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @functools.cache
 def _shipped(application: str, context) -> str:
     folder = tempfile.mkdtemp(prefix="tidings-")

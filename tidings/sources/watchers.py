@@ -1,9 +1,9 @@
 """The three sources, from landed captures to items (UD1).
 
 Each gives ``source, source_rank, item_idx, epic, page_no, url, title,
-published_at``. ``item_idx`` follows from where an item stands (issuer position,
-part, page, place on the page), so it is the same in every run and needs no
-numbering over all rows.
+published_at``. ``item_idx`` says where an item stands (issuer position, part,
+page, block, place), so it is the same in every run and needs no numbering over
+all rows. What is parsed is a table before it is screened, joined and counted.
 """
 
 from __future__ import annotations
@@ -17,16 +17,18 @@ from tidings.functions.text import blank_to_null
 from tidings.operators.filings import filed_in_window, filing_title, resolved_issuers, unique_issuers, with_document, with_forms, with_issuer
 from tidings.operators.items import in_window, ir_titles, paged_items, rns_titles, with_detail_dates
 from tidings.operators.pages import rns_listing
+from tidings.session import stage
 from tidings.sources.filings import filings
 from tidings.sources.listings import ir_items, list_page_captures
 
 
-def item_index(position: Column | str, part: Column | int, page: Column | int, place: Column | str) -> Column:
-    """26 bits of the issuer's position, 1 of the part, 12 of the page and 24 of the place on it."""
-    def at(c, bits):
-        return F.shiftleft((F.col(c) if isinstance(c, str) else F.lit(c) if isinstance(c, int) else c).cast("bigint"), bits)
+#: Type of ``item_idx``; its fields are compared in turn.
+INDEX = "struct<issuer:bigint,part:int,page:int,block:bigint,place:bigint>"
 
-    return at(position, 37) + at(part, 36) + at(page, 24) + at(place, 0)
+
+def item_index(issuer: str, part: str | int, page: str | int, block: str | int, place: str) -> Column:
+    """Where an item stands."""
+    return F.struct(*(F.col(c) if isinstance(c, str) else F.lit(c) for c in (issuer, part, page, block, place))).cast(INDEX)
 
 
 def _named(rows: DataFrame, source: str) -> DataFrame:
@@ -42,10 +44,10 @@ def edgar_items(submissions: DataFrame, issuers: DataFrame, ticker_map: DataFram
     documents); ``issuers`` has ``position, name, ticker, cik``.
     """
     known = resolved_issuers(unique_issuers(issuers), ticker_map)
-    wanted = filed_in_window(with_forms(filings(submissions), forms), as_of, days)
+    wanted = stage(filed_in_window(with_forms(filings(submissions), forms), as_of, days), "filings")
     chosen = with_document(with_issuer(wanted, known), captures)
     return _named(chosen.select(
-        item_index("position", 0, "block", "pos").alias("item_idx"),
+        item_index("position", 0, 0, "block", "pos").alias("item_idx"),
         F.coalesce(blank_to_null(F.col("ticker")), F.col("name")).alias("epic"), F.lit(1).alias("page_no"), "url",
         filing_title().alias("title"), filing_date(F.col("filing_date")).alias("published_at")), "edgar")
 
@@ -60,12 +62,12 @@ def london_items(epics: DataFrame, captures: DataFrame, as_of, days: int = LOOKB
     if "block" not in captures.columns:
         captures = captures.withColumn("block", F.lit(0))
     pages = list_page_captures(epics, captures, max_pages, host)
-    found = rns_listing(pages).select(
-        item_index("position", 0, "page_no", F.col("block") * 4_096 + F.col("pos")).alias("item_idx"),
-        "epic", "page_no", F.col("item_url").alias("url"), "title", "published_at")
+    found = stage(rns_listing(pages).select(
+        item_index("position", 0, "page_no", "block", "pos").alias("item_idx"),
+        "epic", "page_no", F.col("item_url").alias("url"), "title", "published_at"), "list-items")
     listed = pages.groupBy("epic", "page_no").agg(F.min("status").alias("status"))
-    reached = paged_items(listed, found, as_of, days, max_pages)
-    dated = with_detail_dates(rns_titles(reached, keywords), captures.drop("block"), keywords)
+    reached = stage(rns_titles(paged_items(listed, found, as_of, days, max_pages), keywords), "reached-items")
+    dated = with_detail_dates(reached, captures.drop("block"), keywords)
     return _named(in_window(dated, as_of, days), "lse")
 
 
@@ -74,7 +76,8 @@ def investor_items(issuers: DataFrame, captures: DataFrame, as_of, days: int = L
 
     ``issuers`` has ``issuer_id, epic, rss, page, item_selector, date_selector``.
     """
-    found = ir_items(issuers, captures).join(issuers.select("issuer_id", "epic"), "issuer_id").select(
-        item_index("issuer_id", "part", 0, "pos").alias("item_idx"), "epic", F.lit(1).alias("page_no"),
+    parsed = stage(ir_titles(ir_items(issuers, captures), keywords), "entries")
+    found = parsed.join(issuers.select("issuer_id", "epic"), "issuer_id").select(
+        item_index("issuer_id", "part", 0, 0, "pos").alias("item_idx"), "epic", F.lit(1).alias("page_no"),
         F.col("item_url").alias("url"), "title", "published_at")
-    return _named(in_window(ir_titles(found, keywords), as_of, days), "ir")
+    return _named(in_window(found, as_of, days), "ir")

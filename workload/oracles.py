@@ -139,6 +139,39 @@ read_articles AS (
 _ALERT_COLUMNS = """concat('[Earnings Watch] ', coalesce(nullif(title, ''), concat('Notice ', k))) AS subject,
   concat(CASE WHEN title = 'Q3 2023 Results' THEN 'Q3 2023' ELSE period END, ' results: Revenue ', revenue, ' (', yoy, ')') AS short_summary"""
 
+_EDGAR = f"""captured AS (SELECT * FROM primary_captures UNION ALL SELECT * FROM index_captures),
+numbered AS (SELECT *, filing_id // 1000 AS block,
+  row_number() OVER (PARTITION BY cik10, filing_id // 1000 ORDER BY filing_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY cik10, filing_id // 1000) AS n FROM filings),
+wanted AS (SELECT n.*, coalesce(r.ticker, r.name) AS epic,
+  concat('https://www.sec.gov/Archives/edgar/data/', CAST(n.cik10 AS BIGINT), '/', replace(accession, '-', ''), '/') AS folder
+  FROM numbered n JOIN resolved r ON n.cik10 = r.cik10 WHERE pos < n - block % 2 AND form IN ({_FORM_LIST})
+    AND try_cast(filing_date AS TIMESTAMP) >= TIMESTAMP '2001-08-01 12:00:00' - INTERVAL 90 DAY),
+met AS (SELECT w.*, p.body AS primary_body, i.body AS index_body,
+    regexp_extract(i.body, 'href="([^"]+)"[^>]*>EX-99[.]1', 1) AS exhibit
+  FROM wanted w
+  LEFT JOIN captured p ON p.url = concat(folder, primary_doc) AND p.status < 400
+  LEFT JOIN captured i ON i.url = concat(folder, accession, '-index.html') AND i.status < 400),
+chosen AS (SELECT *, CASE
+    WHEN primary_body IS NOT NULL AND (form <> '8-K' OR contains(primary_body, 'Item 2.02')) THEN concat(folder, primary_doc)
+    WHEN primary_body IS NOT NULL AND index_body IS NULL THEN NULL
+    WHEN primary_body IS NOT NULL AND exhibit <> '' THEN concat(folder, exhibit)
+    WHEN primary_body IS NOT NULL THEN concat(folder, primary_doc)
+    WHEN index_body IS NOT NULL THEN concat(folder, accession, '-index.html') END AS url FROM met)"""
+
+_LONDON_URL = "concat('https://www.londonstockexchange.com/news-article/', CASE WHEN item_idx % 2 = 0 THEN lower(epic) ELSE epic END, '/', item_idx)"
+_LONDON = f"""lse AS (SELECT * FROM news_items WHERE source = 'lse' AND page_no <= 2),
+listed AS (SELECT epic, page_no, title, concat('https://www.londonstockexchange.com/news-article/',
+    CASE WHEN item_idx % 2 = 0 THEN lower(epic) ELSE epic END, '/', item_idx) AS url,
+  CASE item_idx % 3 WHEN 0 THEN published_at WHEN 1 THEN date_trunc('minute', published_at)
+    ELSE date_trunc('day', published_at) END AS dated FROM lse WHERE title <> ''),
+facts AS (SELECT epic, page_no, max(dated) AS newest, count(*) AS n_items, count(dated) AS n_dated FROM listed GROUP BY epic, page_no),
+flags AS (SELECT p.epic, p.page_no,
+  CASE WHEN f.n_items IS NULL OR (f.n_dated = f.n_items AND f.newest < TIMESTAMP '2024-01-17') THEN 1 ELSE 0 END AS stops
+  FROM (SELECT DISTINCT epic, page_no FROM lse) p LEFT JOIN facts f ON p.epic = f.epic AND p.page_no = f.page_no),
+reached AS (SELECT epic, page_no FROM flags f
+  WHERE NOT EXISTS (SELECT 1 FROM flags e WHERE e.epic = f.epic AND e.page_no < f.page_no AND e.stops = 1))"""
+
 _PAGING = cte("news_items", "event_times") + """,
 lse AS (SELECT * FROM news_items WHERE source = 'lse'),
 users AS (SELECT DISTINCT user_id FROM event_times),
@@ -303,41 +336,11 @@ FROM payload""",
     "corpus_kpi_scan": cte("corpus") + " SELECT doc_id, " + _period("CAST(NULL AS VARCHAR)") + " AS period, " + ", ".join(
         f"{_current(m)} AS {m}" for m in METRICS) + " FROM corpus",
 
-    "edgar_items": cte("issuers", "ticker_map", "filings", "primary_captures", "index_captures") + ",\n" + _RESOLVED + f""",
-captured AS (SELECT * FROM primary_captures UNION ALL SELECT * FROM index_captures),
-numbered AS (SELECT *, filing_id // 1000 AS block,
-  row_number() OVER (PARTITION BY cik10, filing_id // 1000 ORDER BY filing_id) - 1 AS pos,
-  count(*) OVER (PARTITION BY cik10, filing_id // 1000) AS n FROM filings),
-wanted AS (SELECT n.*, coalesce(r.ticker, r.name) AS epic,
-  concat('https://www.sec.gov/Archives/edgar/data/', CAST(n.cik10 AS BIGINT), '/', replace(accession, '-', ''), '/') AS folder
-  FROM numbered n JOIN resolved r ON n.cik10 = r.cik10 WHERE pos < n - block % 2 AND form IN ({_FORM_LIST})
-    AND try_cast(filing_date AS TIMESTAMP) >= TIMESTAMP '2001-08-01 12:00:00' - INTERVAL 90 DAY),
-met AS (SELECT w.*, p.body AS primary_body, i.body AS index_body,
-    regexp_extract(i.body, 'href="([^"]+)"[^>]*>EX-99[.]1', 1) AS exhibit
-  FROM wanted w
-  LEFT JOIN captured p ON p.url = concat(folder, primary_doc) AND p.status < 400
-  LEFT JOIN captured i ON i.url = concat(folder, accession, '-index.html') AND i.status < 400),
-chosen AS (SELECT *, CASE
-    WHEN primary_body IS NOT NULL AND (form <> '8-K' OR contains(primary_body, 'Item 2.02')) THEN concat(folder, primary_doc)
-    WHEN primary_body IS NOT NULL AND index_body IS NULL THEN NULL
-    WHEN primary_body IS NOT NULL AND exhibit <> '' THEN concat(folder, exhibit)
-    WHEN primary_body IS NOT NULL THEN concat(folder, primary_doc)
-    WHEN index_body IS NOT NULL THEN concat(folder, accession, '-index.html') END AS url FROM met)
+    "edgar_items": cte("issuers", "ticker_map", "filings", "primary_captures", "index_captures") + ",\n" + _RESOLVED + ",\n" + _EDGAR + f"""
 SELECT 'edgar' AS source, epic, url, concat(form, ' ', epic, ' (', filing_date, ')') AS title,
   concat(filing_date, ' 00:00:00') AS published FROM chosen WHERE url IS NOT NULL""",
 
-    "london_items": cte("news_items") + f""",
-lse AS (SELECT * FROM news_items WHERE source = 'lse' AND page_no <= 2),
-listed AS (SELECT epic, page_no, title, concat('https://www.londonstockexchange.com/news-article/',
-    CASE WHEN item_idx % 2 = 0 THEN lower(epic) ELSE epic END, '/', item_idx) AS url,
-  CASE item_idx % 3 WHEN 0 THEN published_at WHEN 1 THEN date_trunc('minute', published_at)
-    ELSE date_trunc('day', published_at) END AS dated FROM lse WHERE title <> ''),
-facts AS (SELECT epic, page_no, max(dated) AS newest, count(*) AS n_items, count(dated) AS n_dated FROM listed GROUP BY epic, page_no),
-flags AS (SELECT p.epic, p.page_no,
-  CASE WHEN f.n_items IS NULL OR (f.n_dated = f.n_items AND f.newest < TIMESTAMP '2024-01-17') THEN 1 ELSE 0 END AS stops
-  FROM (SELECT DISTINCT epic, page_no FROM lse) p LEFT JOIN facts f ON p.epic = f.epic AND p.page_no = f.page_no),
-reached AS (SELECT epic, page_no FROM flags f
-  WHERE NOT EXISTS (SELECT 1 FROM flags e WHERE e.epic = f.epic AND e.page_no < f.page_no AND e.stops = 1))
+    "london_items": cte("news_items") + ",\n" + _LONDON + f"""
 SELECT 'lse' AS source, l.epic, url, title, {_stamp('dated')} AS published
 FROM listed l JOIN reached r ON l.epic = r.epic AND l.page_no = r.page_no
 WHERE regexp_matches(title, {_text(f'(?i)({RNS_KEYWORDS})')}) AND (dated IS NULL OR dated >= TIMESTAMP '2024-01-17')""",
@@ -347,12 +350,35 @@ SELECT 'ir' AS source, epic, url, title, {_stamp("date_trunc('day', published_at
 FROM news_items WHERE url <> '' AND title <> '' AND regexp_matches(title, {_text(f'(?i)({IR_KEYWORDS})')})
   AND (published_at IS NULL OR date_trunc('day', published_at) >= TIMESTAMP '2024-01-17')""",
 
-    "sources_to_alerts": cte("news_items", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY item_idx) AS nth
-  FROM news_items WHERE url <> '' AND title <> '' AND regexp_matches(title, {_text(f'(?i)({IR_KEYWORDS})')})
-    AND (published_at IS NULL OR date_trunc('day', published_at) >= TIMESTAMP '2024-01-24')) WHERE nth = 1)
-SELECT o.url, 'ir' AS source, epic, {_ALERT_COLUMNS}
-FROM once o JOIN read_articles a ON o.url = a.url WHERE o.url NOT IN (SELECT url FROM seen_rows)""",
+    "sources_to_alerts": cte("news_items", "event_times", "seen_rows", "issuers", "ticker_map", "filings", "primary_captures", "index_captures")
+    + ",\n" + _RESOLVED + ",\n" + _EDGAR + ",\n" + _LONDON + f""",
+pages AS (
+  SELECT url, min(event_id) AS k FROM event_times GROUP BY url
+  UNION ALL SELECT {_LONDON_URL}, item_idx FROM news_items WHERE source = 'lse'
+  UNION ALL SELECT url, CAST(regexp_extract(url, '/d([0-9]+)[.]htm$', 1) AS BIGINT) FROM primary_captures),
+read_pages AS (
+  SELECT url, k, concat('Q', k % 4 + 1, ' 2023') AS period, concat('$', k % 900 + 1, '.5 million') AS revenue,
+         concat('up ', k % 60, '.2%') AS yoy FROM pages WHERE k % 13 <> 0),
+items AS (
+  SELECT 0 AS rank, 'edgar' AS source, epic, 0 AS idx, url, concat(form, ' ', epic, ' (', filing_date, ')') AS title FROM chosen
+  WHERE url IS NOT NULL AND try_cast(filing_date AS TIMESTAMP) >= TIMESTAMP '2001-07-25'
+  UNION ALL
+  SELECT 1, 'lse', l.epic, 0, url, title FROM listed l JOIN reached r ON l.epic = r.epic AND l.page_no = r.page_no
+  WHERE regexp_matches(title, {_text(f'(?i)({RNS_KEYWORDS})')}) AND (dated IS NULL OR dated >= TIMESTAMP '2024-01-24')
+  UNION ALL
+  SELECT 2, 'ir', epic, item_idx, url, title FROM news_items
+  WHERE url <> '' AND title <> '' AND regexp_matches(title, {_text(f'(?i)({IR_KEYWORDS})')})
+    AND (published_at IS NULL OR date_trunc('day', published_at) >= TIMESTAMP '2024-01-24')
+  UNION ALL
+  SELECT 2, 'ir', epic, item_idx, {_LONDON_URL}, title FROM news_items
+  WHERE source = 'lse' AND item_idx % 5 = 1 AND title <> '' AND regexp_matches(title, {_text(f'(?i)({IR_KEYWORDS})')})),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, idx) AS nth FROM items) WHERE nth = 1)
+SELECT o.url, source, epic, {_ALERT_COLUMNS}
+FROM once o JOIN read_pages a ON o.url = a.url WHERE o.url NOT IN (SELECT url FROM seen_rows)""",
+
+    "ledger_buckets": cte("filings") + """
+SELECT filing_id, concat('https://www.sec.gov/Archives/edgar/data/', CAST(CAST(cik10 AS BIGINT) AS VARCHAR), '/', replace(accession, '-', ''), '/', primary_doc) AS url
+FROM filings WHERE filing_id % 51 = 0""",
 
     "batch_alerts": cte("news_items", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {_RANK}, item_idx) AS nth

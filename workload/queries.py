@@ -16,9 +16,11 @@ from tidings.operators import items as item_ops
 from tidings.operators import pages as page_ops
 from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
-from tidings.session import work_folder
+from tidings.session import stage, work_folder
 from tidings.sources import feeds, filings as filing_sources, ledger
 from tidings.sources import watchers
+from tidings.sources.captures import land
+from tidings.sources.handled import Handled
 from tidings.sources.listings import list_page_captures
 from tidings.sources.registry import Source, all_items
 from tidings.sources.table_functions import register
@@ -136,6 +138,18 @@ def unseen_items(spark, sf):
     return item_ops.unseen(once, seen(spark, sf)).select("url", "source", "item_idx", "title")
 
 
+def ledger_buckets(spark, sf):
+    """A batch of filing addresses against a ledger of some fifty times as many, added in ten batches."""
+    addresses = table(spark, sf, "filings").select(
+        "filing_id", primary_url(F.col("cik10"), F.col("accession"), F.col("primary_doc")).alias("url"))
+    handled = Handled(spark, work_folder(spark, "handled"), buckets=16, fan=4)
+    part = F.col("filing_id") % 51
+    for batch in range(10):
+        handled.add(addresses.where((part != 0) & (F.col("filing_id") % 10 == batch)), "filings", batch)
+        handled.merge("filings", batch)
+    return handled.unseen(stage(addresses.where(part < 2), "batch"))
+
+
 def ledger_formats(spark, sf):
     landed = ledger.ledger(rendered.ledger_documents(spark, sf))
     return ledger.merged(landed, table(spark, sf, "news_items").filter("url <> ''"))
@@ -265,22 +279,31 @@ def _epics(spark, sf):
 
 
 def _london(spark, sf, as_of=NEWS_AS_OF):
-    return watchers.london_items(_epics(spark, sf), rendered.list_captures(spark, sf), as_of, 14)
+    return watchers.london_items(_epics(spark, sf), land(rendered.list_captures(spark, sf)), as_of, 14)
+
+
+def _feeds(rows, prefix):
+    """Issuers with a feed for each block of their news, and captures of these feeds."""
+    feed = F.concat_ws("/", F.lit(f"https://feeds.example.com{prefix}"), "epic", "block")
+    position = F.substring("epic", 2, 20).cast("bigint") * 4_096 + F.col("block")
+    landed = rows.select(feed.alias("url"), F.lit(200).alias("status"), "body").withColumn("final_url", F.col("url"))
+    return rows.select(position.alias("issuer_id"), "epic", feed.alias("rss")), landed
 
 
-def _investor(spark, sf, as_of=NEWS_AS_OF):
-    """A feed for each issuer and block of its news, and for some a page as well."""
-    feed = F.concat_ws("/", F.lit("https://feeds.example.com"), "epic", "block")
-    feeds_landed = rendered.feed_captures(spark, sf)
-    landed = feeds_landed.select(feed.alias("url"), F.lit(200).alias("status"), "body").withColumn("final_url", F.col("url"))
+def _investor(spark, sf, as_of=NEWS_AS_OF, wire=False):
+    """A feed for each issuer and block of its news, and for some a page as well; ``wire`` adds feeds of London items."""
+    issuers, landed = _feeds(rendered.feed_captures(spark, sf), "")
+    pages = table(spark, sf, "captures").select(F.col("page_id").alias("issuer_id"), F.col("url").alias("page"))
+    issuers = issuers.join(pages, "issuer_id", "left")
     landed = landed.unionByName(table(spark, sf, "captures").select("url", "status", "body", "final_url"))
+    if wire:
+        more, feeds_landed = _feeds(rendered.wire_feeds(spark, sf), "/wire")
+        # Numbers behind those of all others.
+        more = more.withColumn("issuer_id", F.col("issuer_id") + 2**40).withColumn("page", F.lit(None).cast("string"))
+        issuers, landed = issuers.unionByName(more), landed.unionByName(feeds_landed)
     none = F.lit(None).cast("string")
-    pages = table(spark, sf, "captures").select(F.col("page_id").alias("issuer_id"), F.col("url").alias("page"))
-    position = F.substring("epic", 2, 20).cast("bigint") * 4_096 + F.col("block")
-    issuers = feeds_landed.select(
-        position.alias("issuer_id"), "epic", feed.alias("rss"), none.alias("item_selector"), none.alias("date_selector"),
-    ).join(pages, "issuer_id", "left")
-    return watchers.investor_items(issuers, landed, as_of, 14)
+    issuers = issuers.withColumn("item_selector", none).withColumn("date_selector", none)
+    return watchers.investor_items(issuers, land(landed), as_of, 14)
 
 
 def _found(rows):
@@ -300,22 +323,31 @@ def ir_items(spark, sf):
 
 
 def sources_to_alerts(spark, sf):
-    """All three sources from their captures to alerts; the lookback drops what is older."""
+    """All three sources from their captures to alerts; the lookback drops what is older.
+
+    Filings are moved to the days of the news. Some London items stand in a feed
+    as well, where the earlier source wins.
+    """
     def broken(_spark, _as_of):
         raise OSError("this source has not landed")
 
+    def edgar(_spark, _as_of):
+        moved = F.col("published_at") + F.make_interval(days=F.datediff(F.lit(NEWS_AS_OF), F.lit(FILINGS_AS_OF)))
+        return _edgar(spark, sf).withColumn("published_at", moved)
+
     sources = [
-        Source("edgar", 0, lambda s, as_of: _edgar(s, sf)), Source("lse", 1, lambda s, as_of: _london(s, sf, as_of)),
-        Source("ir", 2, lambda s, as_of: _investor(s, sf, as_of)), Source("broken", 3, broken)]
+        Source("edgar", 0, edgar), Source("lse", 1, lambda s, as_of: _london(s, sf, as_of)),
+        Source("ir", 2, lambda s, as_of: _investor(s, sf, as_of, wire=True)), Source("broken", 3, broken)]
     items = all_items(spark, sources, NEWS_AS_OF)
-    found = cycle.run_once(items, rendered.article_captures(spark, sf), seen(spark, sf), NEWS_AS_OF, 7)
+    pages = rendered.article_captures(spark, sf).unionByName(rendered.london_articles(spark, sf)).unionByName(rendered.filing_reports(spark, sf))
+    found = cycle.run_once(items, land(pages), seen(spark, sf), NEWS_AS_OF, 7)
     return found.select("url", "source", "epic", "subject", "short_summary")
 
 
 def alerts_once(spark, sf):
     """The whole chain in one pass, as a batch."""
     items = item_ops.with_rank(table(spark, sf, "news_items"))
-    return cycle.run_once(items, rendered.article_captures(spark, sf), seen(spark, sf), NEWS_AS_OF)
+    return cycle.run_once(items, land(rendered.article_captures(spark, sf)), seen(spark, sf), NEWS_AS_OF)
 
 
 def batch_alerts(spark, sf):
@@ -329,10 +361,11 @@ def incremental_alerts(spark: SparkSession, sf: str) -> DataFrame:
     items = item_ops.with_rank(sliced_news(spark, sf))
     columns = [c.strip().split(" ")[0] for c in ITEMS.split(",")]
     store = Store(spark, f"{base}/tables", "news")
+    captures = land(rendered.article_captures(spark, sf))
     for k in range(3):
         items.filter(F.col("slice") == k).select(*columns).write.mode("append").parquet(landing)
         run_incremental(
-            store, landing, lambda: rendered.article_captures(spark, sf), NEWS_AS_OF, imported=seen(spark, sf),
+            store, landing, lambda: captures, NEWS_AS_OF, imported=seen(spark, sf),
         ).awaitTermination()
     return store.read("outbox").select("url", "source", "item_idx", "batch_id", "subject", "short_summary")
 
@@ -353,6 +386,7 @@ QUERIES = {
     "date_formats": date_formats,
     "first_source_wins": first_source_wins,
     "unseen_items": unseen_items,
+    "ledger_buckets": ledger_buckets,
     "ledger_formats": ledger_formats,
     "ledger_round_trip": ledger_round_trip,
     "filings_override_forms": filings_override_forms,

@@ -136,19 +136,50 @@ def detail_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("url", F.when(F.col("first_id") % 13 == 0, 404).otherwise(200).alias("status"), body.alias("body"))
 
 
-def article_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One results page per address, with figures in its article; a few fetches failed."""
-    first = table(spark, sf_dir, "event_times").groupBy("url").agg(F.min("event_id").alias("k"))
+def _articles(rows: DataFrame) -> DataFrame:
+    """Results pages for ``url, k``, with figures that follow from ``k``; a few fetches failed."""
     k = F.col("k")
     body = F.concat(
         F.lit("<html><head><title>Notice "), k.cast("string"), F.lit("</title></head><body><nav>Revenue $9.9 bn</nav><article><p>Q"),
         (k % 4 + 1).cast("string"), F.lit(" 2023 revenue was $"), (k % 900 + 1).cast("string"),
         F.lit(".5 million, prior year up "), (k % 60).cast("string"), F.lit(".2%.</p><p>The outlook is stable.</p></article></body></html>"))
-    return first.select(
+    return rows.select(
         "url", F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"),
         F.when(k % 13 == 0, 404).otherwise(200).alias("status"), body.alias("body"))
 
 
+def article_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One results page per address of the news."""
+    return _articles(table(spark, sf_dir, "event_times").groupBy("url").agg(F.min("event_id").alias("k")))
+
+
+def _london_address() -> Column:
+    name = F.when(F.col("item_idx") % 2 == 0, F.lower("epic")).otherwise(F.col("epic"))
+    return F.concat(F.lit("https://www.londonstockexchange.com/news-article/"), name, F.lit("/"), F.col("item_idx").cast("string"))
+
+
+def london_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One results page per item of the London lists."""
+    items = table(spark, sf_dir, "news_items").filter("source = 'lse'")
+    return _articles(items.select(_london_address().alias("url"), F.col("item_idx").alias("k")))
+
+
+def filing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One results page per primary document of a filing."""
+    named = table(spark, sf_dir, "primary_captures").select("url")
+    return _articles(named.withColumn("k", F.regexp_extract("url", r"/d(\d+)\.htm$", 1).cast("bigint")))
+
+
+def wire_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undated RSS per issuer and block that points to a fifth of the London items."""
+    items = table(spark, sf_dir, "news_items").filter("source = 'lse' AND item_idx % 5 = 1")
+    entry = F.concat(F.lit("<item><title>"), F.col("title"), F.lit("</title><link>"), _london_address(), F.lit("</link></item>"))
+    grouped = items.select("epic", "item_idx", entry.alias("entry")).groupBy("epic", _block("item_idx").alias("block")).agg(
+        _in_order("item_idx", "entry").alias("_rows"))
+    body = F.concat(F.lit('<rss version="2.0"><channel><title>Wire</title>'), F.array_join("_rows.entry", ""), F.lit("</channel></rss>"))
+    return grouped.select("epic", "block", body.alias("body"))
+
+
 def ledger_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger documents in the three landed formats; one user has at most 37 addresses."""
     rows = table(spark, sf_dir, "seen_rows").distinct()
