@@ -48,6 +48,9 @@ GROUP_BYTES = 4 << 20
 class PlainEncoder(Encoder):
     """A byte-level tokenizer for which no text is special."""
 
+    # Less than the encoder alone may hold: two more memories stand beside this one.
+    REMEMBERED = 300_000
+
     def __init__(self, path: str):
         super().__init__(path)
         self.tokenizer.encode_special_tokens = True
@@ -73,7 +76,7 @@ class PieceEncoder:
     """
 
     STRETCH = re.compile(" +[^ ]*")
-    REMEMBERED = 600_000
+    REMEMBERED = 300_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -123,7 +126,7 @@ class Aligner:
     """Both tokenizers, and the windows met so far."""
 
     #: Windows remembered in a worker, and the most tokens of one that is.
-    REMEMBERED, SHORT = 600_000, 64
+    REMEMBERED, SHORT = 400_000, 64
 
     def __init__(self, byte_level: str, pieces: str):
         self.sides = (PlainEncoder(byte_level), PieceEncoder(pieces))
