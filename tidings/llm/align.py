@@ -134,6 +134,7 @@ class Aligner:
         self.lengths = [np.array([len(t) for t in table], np.int64) for table in self.bytes]
         self.spaced = [np.array([t[:1] == b" " for t in table], bool) for table in self.bytes]
         self.sizes = [lengths.tolist() for lengths in self.lengths]
+        self.names = [[str(i) for i in range(side.size)] for side in self.sides]
         # By the ids of both sides in a row.
         self.known: dict[bytes, Window] = {}
         self.older: dict[bytes, Window] = {}
@@ -149,23 +150,30 @@ class Aligner:
         return found
 
     def _aligned(self, a: list[int], b: list[int]) -> Window:
-        size_a, size_b, ids_b = *self.sizes, self.sides[1].size
-        end_a, end_b, i, j, from_i, from_j = size_a[a[0]], size_b[b[0]], 0, 0, 0, 0
-        groups, links = [], [a[0] * ids_b + b[0]]
+        size_a, size_b, ids_b, (name_a, name_b) = *self.sizes, self.sides[1].size, self.names
+        x, y, i, j = a[0], b[0], 0, 0
+        end_a, end_b, left, right = size_a[x], size_b[y], name_a[x], name_b[y]
+        groups, links = [], [x * ids_b + y]
         while True:
             # The token that ends first makes way for the next of its side; every token has bytes.
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+            if end_a < end_b:
+                i += 1
+                x = a[i]
+                end_a += size_a[x]
+                left += "," + name_a[x]
+            elif end_b < end_a:
+                j += 1
+                y = b[j]
+                end_b += size_b[y]
+                right += "," + name_b[y]
+            else:
+                groups.append(left + "|" + right)
+                i, j = i + 1, j + 1
                 if i == len(a):
                     break
-                from_i, from_j = i, j
-            if step_a:
-                end_a += size_a[a[i]]
-            if step_b:
-                end_b += size_b[b[j]]
-            links.append(a[i] * ids_b + b[j])
+                x, y = a[i], b[j]
+                end_a, end_b, left, right = end_a + size_a[x], end_b + size_b[y], name_a[x], name_b[y]
+            links.append(x * ids_b + y)
         text_a, text_b = (b"".join(map(table.__getitem__, ids)) for table, ids in zip(self.bytes, (a, b)))
         return ";".join(groups).encode(), len(groups), array.array("q", links).tobytes(), text_a if text_a == text_b else None
 
