@@ -94,18 +94,23 @@ class PieceEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, np.uint32).tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
+    def _stretches(self, text: str) -> list[str]:
+        """Without the space in front, which the model puts there itself."""
+        if "  " in text or text[0] == " ":
+            return [s[1:] for s in self.STRETCH.findall(" " + text)]
+        return text.split(" ")
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         whole = [t for t in texts if not self.stretches or "▁" in t or t.endswith(" ")]
         apart = dict(zip(whole, self._encoded(whole)))
-        stretches = {i: self.STRETCH.findall(" " + t) for i, t in enumerate(texts) if t not in apart}
+        stretches = {i: self._stretches(t) for i, t in enumerate(texts) if t not in apart}
         known = self.known
         fresh = list(set().union(*stretches.values()).difference(known))
         if len(known) + len(fresh) > self.REMEMBERED:
             # Full: what is new serves these texts only.
             known = dict(known)
-        # The model puts the first space in front itself.
-        known.update(zip(fresh, self._encoded([s[1:] for s in fresh])))
+        known.update(zip(fresh, self._encoded(fresh)))
         return [np.frombuffer(b"".join(map(known.__getitem__, stretches[i])) if i in stretches else apart[t], np.uint32) for i, t in enumerate(texts)]
 
     def token_bytes(self) -> list[bytes]:
