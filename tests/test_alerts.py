@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidings.operators.pages import documents, pdf_captures
 from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
-from tidings.streaming.incremental import ITEMS, OUTBOX, Store, process_batch, run_incremental, run_pass
+from tidings.streaming.incremental import ITEMS, OUTBOX, Store, process_batch, run_incremental, run_pass, run_retries
 
 AS_OF = "2024-01-31"
 CAPTURE = "url string, final_url string, content_type string, status int, body string"
@@ -92,24 +92,43 @@ def test_outbox_schema_matches_alerts(spark):
     assert {f.name: f.dataType.simpleString() for f in empty.schema} == {f.name: f.dataType.simpleString() for f in declared}
 
 
-def test_pending_items_are_tried_again_and_handled_ones_never(spark, tmp_path):
+def test_items_without_a_document_wait_and_handled_ones_never_come_again(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     have = spark.createDataFrame([capture("a")], CAPTURE)
     process_batch(store, spark.createDataFrame([item(1, "a"), item(2, "b")], ITEMS), 0, have, AS_OF)
     assert outbox(store) == [("a", 1, 0)]
-    assert [r.url for r in store.pending_after(0).collect()] == ["b"]
-    more = spark.createDataFrame([capture("a"), capture("b")], CAPTURE)
-    process_batch(store, spark.createDataFrame([item(3, "a")], ITEMS), 1, more, AS_OF)
-    assert outbox(store) == [("a", 1, 0), ("b", 2, 1)]
-    assert store.pending_after(1).count() == 0
+    assert [r.url for r in store.pending(0).collect()] == ["b"]
+    process_batch(store, spark.createDataFrame([item(3, "a")], ITEMS), 1, have, AS_OF)
+    assert outbox(store) == [("a", 1, 0)] and store.pending(1).count() == 0
 
 
-def test_pending_items_are_given_up_outside_the_lookback(spark, tmp_path):
+def events(spark, store, kind):
+    rows = spark.read.schema(f"{ITEMS}, event string").parquet(f"{store.events}/*").where(F.col("event") == kind)
+    return sorted({r.url for r in rows.collect()})
+
+
+def test_waiting_items_are_given_up_outside_the_lookback(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     none = spark.createDataFrame([], CAPTURE)
     process_batch(store, spark.createDataFrame([item(1, "a", at=datetime(2024, 1, 20)), item(2, "b")], ITEMS), 0, none, AS_OF, 14)
-    process_batch(store, spark.createDataFrame([], ITEMS), 1, none, "2024-03-01", 14)
-    assert [r.url for r in store.pending_after(1).collect()] == ["b"]
+    run_retries(store, lambda: none, AS_OF, 14).awaitTermination()
+    # The next pass tries both; one has left the lookback by then.
+    run_retries(store, lambda: none, "2024-03-01", 14).awaitTermination()
+    assert events(spark, store, "done") == ["a"]
+    have = spark.createDataFrame([capture("a"), capture("b")], CAPTURE)
+    run_retries(store, lambda: have, AS_OF, 14).awaitTermination()
+    assert [u for u, _, _ in outbox(store)] == ["b"]
+
+
+def test_state_ends_with_the_hold(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    none = spark.createDataFrame([], CAPTURE)
+    process_batch(store, spark.createDataFrame([item(1, "a")], ITEMS), 0, none, AS_OF)
+    run_retries(store, lambda: none, AS_OF, days=0).awaitTermination()
+    run_retries(store, lambda: none, AS_OF, days=0).awaitTermination()
+    have = spark.createDataFrame([capture("a")], CAPTURE)
+    run_retries(store, lambda: have, AS_OF).awaitTermination()
+    assert outbox(store) == []
 
 
 def test_replay_of_a_batch_replaces_its_own_rows(spark, tmp_path):
@@ -121,6 +140,22 @@ def test_replay_of_a_batch_replaces_its_own_rows(spark, tmp_path):
     assert outbox(store) == [("a", 1, 0), ("b", 2, 0)]
 
 
+def test_alerts_are_shown_once_their_batch_is_committed(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    have = spark.createDataFrame([capture("a"), capture("b")], CAPTURE)
+    rows = spark.createDataFrame([item(1, "a")], ITEMS)
+    assert store.alerts().count() == 0
+    # A batch that broke off behind its outbox: seen by none, and done again.
+    process_batch(store, spark.createDataFrame([item(7, "b")], ITEMS), 0, have, AS_OF)
+    (tmp_path / "handled" / "items.0.0-0" / "_SUCCESS").unlink()
+    assert outbox(store) == [("b", 7, 0)] and store.alerts().count() == 0
+    process_batch(store, rows, 0, have, AS_OF)
+    assert [(r.url, r.item_idx) for r in store.alerts().collect()] == [("a", 1)]
+    # Committed: a replay changes nothing, not even with other rows.
+    process_batch(store, spark.createDataFrame([item(7, "b")], ITEMS), 0, have, AS_OF)
+    assert [(r.url, r.item_idx) for r in store.alerts().collect()] == [("a", 1)]
+
+
 def test_imported_ledger_and_other_streams_count_as_seen(spark, tmp_path):
     have = spark.createDataFrame([capture(u) for u in "abc"], CAPTURE)
     one, two = (Store(spark, str(tmp_path), name) for name in ("one", "two"))

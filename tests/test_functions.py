@@ -1,7 +1,8 @@
 """Dates, addresses, figures, periods and guidance on hand-written cases."""
 
+import random
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 from urllib.parse import urljoin
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import GUIDANCE, GUIDANCE_TAIL
-from tidings.functions.dates import date_text, filing_date, free_date, listed_date
+from tidings.functions.dates import date_text, filing_date, free_date, listed_date, token_date
 from tidings.functions.figures import with_figures
 from tidings.functions.narrative import guidance_sentences, with_period
 from tidings.functions.text import comma_list, decode_entities, squash
@@ -41,6 +42,35 @@ def test_listed_dates(spark):
     assert column(spark, cases, listed_date) == list(cases.values())
 
 
+def test_dates_from_tokens_in_any_order(spark):
+    r = random.Random(11)
+    months = ["Jan", "February", "mar", "Apr.", "May", "JUNE", "Jul", "August", "Sept", "Oct", "Nov", "dec"]
+    cases = {}
+    for _ in range(400):
+        year, month, day = r.randrange(1990, 2040), r.randrange(1, 13), r.randrange(1, 29)
+        hour, minute, second = r.choice([(0, 0, 0), (r.randrange(24), r.randrange(60), 0), (r.randrange(24), r.randrange(60), r.randrange(60))])
+        suffix = {1: "st", 2: "nd", 3: "rd", 21: "st", 22: "nd", 23: "rd"}.get(day, "th")
+        date = [str(year), months[month - 1], r.choice([str(day), f"{day}{suffix}", f"the {day}{suffix} of"])]
+        r.shuffle(date)
+        shown, hours = "", 0
+        if (hour, minute, second) != (0, 0, 0):
+            seconds = f":{second:02d}" if second else ""
+            shown = r.choice([f"{hour}:{minute:02d}{seconds}", f"{hour % 12 or 12}:{minute:02d}{seconds}{r.choice(['', ' '])}{'ap'[hour > 11]}m"])
+            zone, hours = r.choice([("", 0), (" EST", -5), (" GMT", 0), (" +0200", 2), (" -03:00", -3), (" PDT", -7)])
+            shown += zone
+        text = r.choice(["", "Published ", "Thursday, "]) + r.choice(["{} at {}", "{}, {}", "{} | {} hours"]).format(" ".join(date), shown)
+        if r.random() < 0.3:
+            text = f"{shown} on {' '.join(date)} by staff"
+        cases[text] = datetime(year, month, day, hour, minute, second) - timedelta(hours=hours)
+    assert column(spark, cases, lambda c: token_date(date_text(c))) == list(cases.values())
+
+
+def test_tokens_that_are_no_date(spark):
+    cases = dict.fromkeys(["May 2025", "1 May", "10:30 on Monday", "1 of 12 in 2025", "31 Feb 2025", "13 pm May 2025 1st", "May I see 3.2025 of 12?", "", "2025 12 1"])
+    cases |= {"2025 May 1st": datetime(2025, 5, 1), "7 am, the 2nd of June 2024": datetime(2024, 6, 2, 7), "2024 12 am Dec 3": datetime(2024, 12, 3)}
+    assert column(spark, cases, lambda c: free_date(date_text(c))) == list(cases.values())
+
+
 def test_free_dates(spark):
     cases = {
         "Wed, 02 Oct 2002 13:00:00 GMT": datetime(2002, 10, 2, 13),

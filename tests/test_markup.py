@@ -1,7 +1,11 @@
 """Page reading: junk removal, titles, selectors, item lists."""
 
+import random
+import time
 from urllib.parse import urljoin
 
+import pytest
+
 from tidings.fixed_values import IR_DATE_CLASS, IR_ITEM_SELECTORS, JUNK_SELECTORS
 from tidings.functions import markup
 
@@ -58,10 +62,46 @@ def test_rns_items_near_dates():
     html = """<ul><li><a href="/news-article/ABC/1">One</a><time datetime="2025-01-02">x</time></li>
       <li><div><a href="https://h/news-article/abc/2"> Two <b>b</b></a></div><span class="item-date">3 Jan 2025</span></li>
       <li><a href="/news-article/ABC/3"></a></li><li><a href="/news-article/XYZ/4">Other</a></li></ul>"""
-    assert markup.rns_items(html, "Abc") == [
-        {"href": "/news-article/ABC/1", "title": "One", "date_text": "2025-01-02"},
-        {"href": "https://h/news-article/abc/2", "title": "Twob", "date_text": "3 Jan 2025"},
-    ]
+    assert markup.rns_items(html, "Abc") == {"texts": ["2025-01-02", "3 Jan 2025"], "items": [
+        {"href": "/news-article/ABC/1", "title": "One", "date": 0}, {"href": "https://h/news-article/abc/2", "title": "Twob", "date": 1}]}
+
+
+def test_rns_date_texts_stand_once_on_a_page():
+    html = "<div class='update-list'>" + "".join(f"<p><a href='/news-article/ABC/{i}'>Results number {i}</a></p>" for i in range(2_000)) + "</div>"
+    page = markup.rns_items(html, "ABC")
+    assert len(page["items"]) == 2_000 and sum(map(len, page["texts"])) < len(html)
+
+
+@pytest.mark.parametrize("html", ["<b>" * 100_000 + "</i>" * 100_000, "<i><table>" + "<b>" * 100_000 + "</i>" * 100_000, "<p>" * 100_000 + "</div>" * 100_000,
+                                  "<i><b>" * 60_000 + "</i></b>" * 60_000, "<table><i>" * 50_000 + "</i></p></td>" * 50_000])
+def test_stray_tags_take_seconds(html):
+    began = time.process_time()
+    markup.Page(html)
+    assert time.process_time() - began < 4
+
+
+def test_end_tags_reach_as_far_as_before():
+    """Against a search down the stack of open elements."""
+    r = random.Random(7)
+    for _ in range(400):
+        tags = [(r.choice(["b", "i", "div", "td", "tr", "table", "body"]), r.random() < 0.55) for _ in range(40)]
+        page = markup.Page("".join(f"<{t}>" if opens else f"</{t}>" for t, opens in tags))
+        parents, stack, names = [], [], []
+        for tag, opens in tags:
+            if opens:
+                while stack and names[stack[-1]] in markup._ENDED_BY.get(tag, ()):
+                    stack.pop()
+                parents.append(stack[-1] if stack else -1)
+                stack.append(len(names))
+                names.append(tag)
+                continue
+            for depth in range(len(stack) - 1, -1, -1):
+                if names[stack[depth]] == tag:
+                    del stack[depth:]
+                    break
+                if markup._RANK.get(names[stack[depth]], 0) > markup._RANK.get(tag, 0):
+                    break
+        assert page.parents == parents and page.tags == names
 
 
 def ir(html, item=None, date=None):
@@ -87,7 +127,7 @@ def test_what_cannot_be_read_does_not_end_the_page():
     html = "<p>a<![foo bar]>b</p><article><a href='http://[bad/x'>Bad</a><a href='c'>C</a></article>"
     assert "<![foo bar]>b" in markup.Page(html).visible_text([])
     assert [(i["url"], i["resolved"]) for i in ir(html)] == [("http://[bad/x", False), ("https://h.com/ir/c", True)]
-    assert markup.rns_items("<a href='/news-article/x/1'>T</a>", None) == []
+    assert markup.rns_items("<a href='/news-article/x/1'>T</a>", None)["items"] == []
 
 
 def test_date_texts_stand_once_on_a_page():

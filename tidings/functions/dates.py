@@ -64,7 +64,7 @@ def date_text(c: Column) -> Column:
 
 
 def free_date(c: Column) -> Column:
-    """A date inside free text (DT2): the first shape below that occurs.
+    """A date inside free text (DT2): the first shape below that occurs, else what its tokens say.
 
     ``c`` is a column or lambda variable that holds :func:`date_text`, kept
     apart because it is looked at once per shape. Weekdays and other words are
@@ -105,8 +105,38 @@ def free_date(c: Column) -> Column:
             F.regexp_replace(F.regexp_extract(c, year_first, 0), "/", "-"), F.lit("yyyy-M-d")))
         .when(c.rlike(slashed), F.coalesce(
             F.try_to_timestamp(slash_text, F.lit("M/d/yyyy")), F.try_to_timestamp(slash_text, F.lit("d/M/yyyy"))))
+        .otherwise(token_date(c))
     )
 
 
-def _or(c: Column, default: str) -> Column:
+def token_date(c: Column) -> Column:
+    """A date from the tokens of a text, in whatever order they stand (DT2).
+
+    Day (``1``, ``1st``), month by name and year in four digits have to be there;
+    the first of each counts. A time (``10:30``, ``10:30:15 pm``, ``7 am``) and a zone
+    (an offset, or a listed name) may be: without them it is midnight, and UTC. ``c``
+    holds :func:`date_text`; nothing is filled in from today.
+    """
+    apart, alone = r"(?i)(?<![\w:./+-])", r"(?![\w:/]|\.\d)"
+    month = F.regexp_extract(c, apart + "(" + _MONTH + ")" + r"(?![a-z])", 1)
+    year = F.regexp_extract(c, apart + r"((?:19|20)\d{2})" + alone, 1)
+    day = F.regexp_extract(c, apart + r"(\d{1,2})(?:st|nd|rd|th)?" + alone + r"(?! ?[ap]\.?m\b)", 1)
+    clock = apart + r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?(?: ?([ap])\.?m\b)?"
+    bare = apart + r"(\d{1,2}) ?([ap])\.?m\b"
+    hour = _or(F.regexp_extract(c, clock, 1), F.regexp_extract(c, bare, 1))
+    half = F.lower(_or(F.regexp_extract(c, clock, 4), F.regexp_extract(c, bare, 2)))
+    number = _or(hour, "0").cast("int")
+    # Hours of half a day are 1 to 12; any other is no time.
+    of_day = F.when(half == "", number).when(number.between(1, 12), number % 12 + F.when(half == "p", 12).otherwise(0))
+    offset = F.regexp_replace(F.regexp_extract(c, r"(?i)(?:\d|m| |utc|gmt)([+-]\d{2}:?\d{2})(?!\d)", 1), ":", "")
+    name = F.upper(F.regexp_extract(c, r"(?i)(?<![a-z])(" + "|".join(sorted(ZONE_OFFSETS, key=len, reverse=True)) + r")(?![a-z])", 1))
+    names = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+    zone = F.coalesce(F.nullif(offset, F.lit("")), F.try_element_at(names, name), F.lit("+0000"))
+    text = F.concat_ws(" ", year, month, day, F.concat(
+        of_day.cast("string"), F.lit(":"), _or(F.regexp_extract(c, clock, 2), "00"), F.lit(":"), _or(F.regexp_extract(c, clock, 3), "00")), zone)
+    there = (year != "") & (month != "") & (day != "") & of_day.isNotNull()
+    return F.when(there, F.try_to_timestamp(text, F.lit("yyyy MMM d H:mm:ss xx")))
+
+
+def _or(c: Column, default: str | Column) -> Column:
     return F.when(c == "", default).otherwise(c)

@@ -39,6 +39,9 @@ class Page(HTMLParser):
         self.text_from: list[int] = []
         self.text_to: list[int] = []
         self._open: list[int] = []
+        # Places in ``_open`` by tag and by rank, so that an end tag needs no search.
+        self._places: dict[str, list[int]] = {}
+        self._ranked: list[list[int]] = [[] for _ in range(max(_RANK.values()) + 1)]
         self._pending: list[str] = []
         self._inside: dict[str, list[bool]] = {}
         self.feed(html)
@@ -73,6 +76,8 @@ class Page(HTMLParser):
         while self._open and self.tags[self._open[-1]] in ended:
             self._end_top()
         self.parents.append(self._open[-1] if self._open else -1)
+        self._places.setdefault(tag, []).append(len(self._open))
+        self._ranked[_RANK.get(tag, 0)].append(len(self._open))
         self._open.append(len(self.tags))
         self.tags.append(tag)
         self.attrs.append({k: v or "" for k, v in reversed(attrs)})
@@ -84,18 +89,17 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        rank = _RANK.get(tag, 0)
-        for depth in range(len(self._open) - 1, -1, -1):
-            name = self.tags[self._open[depth]]
-            if name == tag:
-                while len(self._open) > depth:
-                    self._end_top()
-                return
-            if _RANK.get(name, 0) > rank:
-                return
+        places = self._places.get(tag)
+        above = self._ranked[_RANK.get(tag, 0) + 1:]
+        if places and all(not ranked or ranked[-1] < places[-1] for ranked in above):
+            depth = places[-1]
+            while len(self._open) > depth:
+                self._end_top()
 
     def _end_top(self):
         i = self._open.pop()
+        self._places[self.tags[i]].pop()
+        self._ranked[_RANK.get(self.tags[i], 0)].pop()
         self.ends[i] = len(self.tags)
         self.text_to[i] = len(self.texts)
 
@@ -228,27 +232,37 @@ def _date_classes(pattern: re.Pattern):
     return lambda page, i: page.tags[i] in ("span", "div") and pattern.search(page.attrs[i].get("class", ""))
 
 
-def rns_items(html: str, epic: str | None) -> list[dict]:
-    """Anchors of an issuer's news list with the date text nearest to each; none without an issuer."""
+def rns_items(html: str, epic: str | None) -> dict:
+    """Anchors of an issuer's news list with the date text nearest to each; none without an issuer.
+
+    ``texts`` has each date text of the page once; an item's ``date`` points into it.
+    """
     if not epic:
-        return []
+        return {"texts": [], "items": []}
     page = Page(html)
     needles = (f"/news-article/{epic.upper()}/", f"/news-article/{epic.lower()}/")
     times = page.where(lambda p, i: p.tags[i] == "time")
     dated = page.where(_date_classes(_RNS_DATE))
-    out = []
+    texts: dict[str, int] = {}
+    read: dict[int | None, str] = {None: ""}
+
+    def shown(i: int | None, text) -> str:
+        if i not in read:
+            read[i] = text(i)
+        return read[i]
+
+    items = []
     for i, tag in enumerate(page.tags):
         href = page.attrs[i].get("href", "") if tag == "a" else ""
         title = any(n in href for n in needles) and page.stripped_text(i)
         if title:
             near = ""
             for up in page.ancestors(i, 4):
-                span = page.within(dated, up)
-                near = page.time_text(page.within(times, up)) or (page.stripped_text(span) if span is not None else "")
+                near = shown(page.within(times, up), page.time_text) or shown(page.within(dated, up), page.stripped_text)
                 if near:
                     break
-            out.append({"href": href, "title": title, "date_text": near or None})
-    return out
+            items.append({"href": href, "title": title, "date": texts.setdefault(near, len(texts)) if near else None})
+    return {"texts": list(texts), "items": items}
 
 
 def ir_items(html: str, base: str, item_selectors, date_selector, date_class: str, join) -> dict:

@@ -19,7 +19,7 @@ from tidings.functions.dates import date_text, free_date, listed_date
 from tidings.functions.text import blank_to_null, decode_entities, strip
 from tidings.functions.urls import host_url
 
-_RNS_ITEMS = "array<struct<href:string,title:string,date_text:string>>"
+_RNS_PAGE = "struct<texts:array<string>,items:array<struct<href:string,title:string,date:int>>>"
 _IR_PAGE = ("struct<texts:array<string>,"
             "items:array<struct<selector_rank:int,url:string,title:string,resolved:boolean,dates:array<int>>>>")
 
@@ -92,25 +92,24 @@ def rns_listing(captures: DataFrame, host: str = RNS_HOST) -> DataFrame:
 
     ``captures`` carries ``epic`` beside the body; a page without one has no items
     and is listed by :func:`unreadable_list_pages`. One row per anchor, with its
-    position on the page in ``pos``. (An outer explode keeps the optimizer from
+    position on the page in ``pos``. Date texts leave Python once per page and are
+    read there. (An outer explode keeps the optimizer from
     asking for the size of the items first, which would parse each page twice.)
     """
 
-    @F.pandas_udf(_RNS_ITEMS)
-    def items(bodies: pd.Series, epics: pd.Series) -> pd.Series:
-        return pd.Series([markup.rns_items(b or "", e) for b, e in zip(bodies, epics)])
+    @F.pandas_udf(_RNS_PAGE)
+    def items(bodies: pd.Series, epics: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([markup.rns_items(b or "", e) for b, e in zip(bodies, epics)], columns=["texts", "items"])
 
     keep = [c for c in captures.columns if c != "body"]
     return (
         fetched(captures)
-        .select(*keep, items("body", "epic").alias("_items"))
-        .select(*keep, F.posexplode_outer("_items").alias("pos", "_item")).where("pos is not null")
-        .select(
-            *keep, "pos",
-            host_url(F.col("_item.href"), host).alias("item_url"),
-            F.col("_item.title").alias("title"),
-            listed_date(F.col("_item.date_text")).alias("published_at"),
-        )
+        .select(*keep, items("body", "epic").alias("_page"))
+        .select(*keep, "_page.items", F.transform("_page.texts", listed_date).alias("_dates"))
+        .select(*keep, F.posexplode_outer(F.transform("items", lambda i: F.struct(
+            host_url(i["href"], host).alias("item_url"), i["title"].alias("title"), F.get("_dates", i["date"]).alias("published_at"),
+        ))).alias("pos", "_item")).where("pos is not null")
+        .select(*keep, "pos", "_item.*")
     )
 
 

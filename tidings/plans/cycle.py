@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import IR_KEYWORDS, JUNK_SELECTORS, LOOKBACK_DAYS, RNS_KEYWORDS
@@ -62,3 +62,25 @@ def run_once(items: DataFrame, captures: DataFrame, ledger: DataFrame, as_of, da
              junk=JUNK_SELECTORS, **keywords: str) -> DataFrame:
     """Alerts of one pass. Nothing is written, so this is also the dry run (SK2)."""
     return alerts_for(candidates(items, ledger, as_of, days, **keywords), captures, junk)
+
+
+#: Order in which alerts are shown: sources by rank, items as they were found.
+SHOWN = ("source_rank", "item_idx")
+
+
+def save_in_order(shown: DataFrame, path: str) -> None:
+    """Alerts as files in order of display, each a range of it and sorted inside (LM7). No task holds more than its range."""
+    shown.repartitionByRange(*SHOWN).sortWithinPartitions(*SHOWN).write.mode("overwrite").parquet(path)
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`save_in_order` wrote, with its ``place`` in the whole, counted from 1.
+
+    Names of files follow their ranges, so a place is the number of rows in earlier
+    files (one number per file) and the row's own in its file.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(starts), "_file").withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")

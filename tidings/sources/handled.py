@@ -80,6 +80,10 @@ class Handled:
         runs = self.committed()
         return [run for run in runs if not any(other.covers(run) for other in runs)]
 
+    def done(self, stream: str, batch_id: int) -> bool:
+        """Whether a batch's addresses are committed; they are the last thing that it writes."""
+        return any(run.stream == stream and run.first <= batch_id <= run.last for run in self.committed())
+
     def last(self, stream: str) -> int:
         """Number of the last batch of a stream, -1 if there is none."""
         return max((run.last for run in self.committed() if run.stream == stream), default=-1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import strip
@@ -33,6 +33,38 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return ledger(spark.read.text(path, wholetext=True))
 
 
+def read_ledger_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct keys of files that hold JSON arrays of strings, however large (SC11).
+
+    A file is cut into byte ranges and these at every quotation mark, which needs no
+    parser that starts at its head. Whether a piece stands inside a string follows
+    from the marks before it: these are counted per range, then over ranges, of which
+    there are few, so a string that reaches from one range into the next is settled
+    between neighbours. An escaped mark (after an odd number of backslashes) ends
+    nothing; the pieces of such a string are put together again. What is no string
+    is passed over, and so is a string that is not closed or not valid JSON.
+    """
+    pieces = spark.read.option("lineSep", '"').text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    marks = (F.length(F.regexp_extract("value", r"(\\*)\z", 1)) % 2 == 0).cast("int")
+    inside = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = pieces.withColumn("mark", marks).withColumn("earlier", F.coalesce(F.sum("mark").over(inside), F.lit(0)))
+    ranges = counted.groupBy("file", "start").agg(F.sum("mark").alias("marks"), F.max("at").alias("last"))
+    of_file = Window.partitionBy("file").orderBy("start")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    # No mark follows the last piece of a file.
+    last = F.when(F.lead("start").over(of_file).isNull(), F.col("last"))
+    offsets = ranges.select("file", "start", F.coalesce(F.sum("marks").over(before), F.lit(0)).alias("before"), last.alias("last"))
+    strings = counted.join(offsets, ["file", "start"]).withColumn("number", F.col("before") + F.col("earlier")).where("number % 2 = 1").withColumn(
+        "mark", F.when(F.col("at") == F.col("last"), 0).otherwise(F.col("mark")))
+    # Nearly every string is one piece; only those with escaped marks are more.
+    whole = strings.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("start", "at", "value", "mark"))).alias("parts"))
+    closed = whole.where(F.element_at("parts", -1)["mark"] == 1)
+    text = F.concat(F.lit('["'), F.array_join(F.transform("parts", lambda p: p["value"]), '"'), F.lit('"]'))
+    return closed.select(F.get(F.from_json(text, "array<string>"), F.lit(0)).alias("url")).where("url IS NOT NULL").distinct()
+
+
 def merged(*ledgers: DataFrame) -> DataFrame:
     """Union of ledgers, each key once (ST5)."""
     first, *rest = [one.select("url") for one in ledgers]

@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.operators.items import counted, valid_items
+from tidings.session import stage
+
 LOG = logging.getLogger(__name__)
 
 ITEM_COLUMNS = ("source", "source_rank", "item_idx", "epic", "page_no", "url", "title", "published_at")
@@ -46,3 +49,34 @@ def all_items(spark: SparkSession, sources: Iterable[Source], as_of, enabled: It
         return spark.createDataFrame([], "source string, source_rank int, item_idx bigint, epic string,"
                                          " page_no int, url string, title string, published_at timestamp")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+REPORT = "source string, status string, valid bigint, malformed bigint, error string"
+
+
+def collected_items(spark: SparkSession, sources: Iterable[Source], as_of, enabled: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid items of the sources switched on, and a report of one row per source (IN6, SK3).
+
+    Each source is run by itself and its items are a table of their own, so a source
+    that fails while it runs (a damaged file, say) leaves nothing behind and the
+    others whole. Items are counted on their way into the table, malformed ones
+    apart; the report has these counts, or the error.
+    """
+    wanted = None if enabled is None else set(enabled)
+    tables, report = [], []
+    for s in sources:
+        if wanted is not None and s.name not in wanted:
+            continue
+        seen = Observation(f"items of {s.name}")
+        try:
+            found = s.read(spark, as_of).withColumn("source", F.lit(s.name)).withColumn("source_rank", F.lit(s.rank))
+            # Counted before what is malformed is dropped.
+            tables.append(stage(valid_items(counted(found, seen)), f"items-{s.name}"))
+        except Exception as error:
+            LOG.exception("source %s is left out", s.name)
+            report.append((s.name, "failed", None, None, str(error)[:1_000]))
+        else:
+            counts = seen.get
+            report.append((s.name, "ok", counts["valid"], counts["malformed"], None))
+    items = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else all_items(spark, [], as_of)
+    return items, spark.createDataFrame(report, REPORT)

@@ -380,6 +380,37 @@ FROM once o JOIN read_pages a ON o.url = a.url WHERE o.url NOT IN (SELECT url FR
 SELECT filing_id, concat('https://www.sec.gov/Archives/edgar/data/', CAST(CAST(cik10 AS BIGINT) AS VARCHAR), '/', replace(accession, '-', ''), '/', primary_doc) AS url
 FROM filings WHERE filing_id % 51 = 0""",
 
+    "own_selectors": cte("news_items") + f"""
+SELECT epic, 0 AS selector_rank, concat('https://ir.example.com/n/', item_idx) AS item_url, title, {_stamp("""coalesce(
+    CASE item_idx % 3 WHEN 0 THEN date_trunc('day', published_at) WHEN 1 THEN published_at END, TIMESTAMP '2024-01-15 08:00:00')""")} AS published
+FROM news_items WHERE source = 'ir' AND title <> ''
+UNION ALL
+SELECT epic, 2, concat('https://ir.example.com/extra/', item_idx), 'Extra', '2024-01-15 08:00:00'
+FROM news_items WHERE source = 'ir' AND item_idx % 4 = 1
+UNION ALL
+SELECT epic, 2, concat('https://ir.example.com/n/', item_idx), 'Again', '2024-01-15 08:00:00'
+FROM news_items WHERE source = 'ir' AND item_idx % 4 = 0 AND title = ''""",
+
+    "sources_switched": cte("news_items") + f"""
+SELECT 'ir' AS source, epic, url, title, {_stamp("date_trunc('day', published_at)")} AS published
+FROM news_items WHERE url <> '' AND title <> '' AND regexp_matches(title, {_text(f'(?i)({IR_KEYWORDS})')})
+  AND (published_at IS NULL OR date_trunc('day', published_at) >= TIMESTAMP '2024-01-17')
+  AND CAST(substr(epic, 2) AS BIGINT) % 10 <> 0""",
+
+    "pdf_alerts": cte("news_items", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {_RANK}, item_idx) AS nth
+  FROM news_items WHERE url <> '' AND {_WANTED}) WHERE nth = 1),
+told AS (SELECT o.url, source, item_idx, k % 4 < 2 AS pdf, CASE WHEN k % 4 = 1 THEN o.url || '.PDF' ELSE o.url END AS final_url, title, k, revenue, yoy,
+    coalesce(nullif(title, ''), o.url) AS pdf_headline, {_ALERT_COLUMNS}
+  FROM once o JOIN read_articles a ON o.url = a.url WHERE o.url NOT IN (SELECT url FROM seen_rows)),
+shown AS (SELECT url, source, item_idx, pdf, final_url, revenue, yoy, CASE WHEN pdf THEN concat('[Earnings Watch] ', pdf_headline) ELSE subject END AS subject,
+    CASE WHEN NOT pdf THEN short_summary WHEN title = 'Q3 2023 Results' THEN 'Q3 2023 results:' ELSE pdf_headline END AS short_summary FROM told)
+SELECT url, source, item_idx, subject, short_summary,
+  concat('Headline: ', substr(subject, 18), chr(10), 'URL: ', final_url, chr(10), chr(10), 'Summary: ', short_summary, chr(10), chr(10),
+    CASE WHEN pdf THEN concat('Notes: ', {_text(NO_FIGURES_NOTE)}) ELSE concat(
+    'Key Highlights:', chr(10), ' - Revenue: ', revenue, ' (', yoy, ')', chr(10), ' - The outlook is stable.', chr(10), chr(10),
+    'Metrics:', chr(10), ' - Revenue: ', revenue, ' (', yoy, ')') END, chr(10)) AS body FROM shown""",
+
     "batch_alerts": cte("news_items", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {_RANK}, item_idx) AS nth
   FROM news_items WHERE url <> '' AND {_WANTED}) WHERE nth = 1),
@@ -394,6 +425,26 @@ SELECT url, source, item_idx, subject, short_summary,
 sliced AS (SELECT n.*, s.slice AS batch_id FROM news_items n JOIN news_slices s ON n.item_idx = s.item_idx),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY batch_id, {_RANK}, item_idx) AS nth
   FROM sliced WHERE url <> '' AND {_WANTED}) WHERE nth = 1)
-SELECT o.url, source, item_idx, batch_id, {_ALERT_COLUMNS}
+SELECT o.url, source, item_idx, CASE WHEN k % 3 = 0 THEN 2 ELSE batch_id END AS batch_id, {_ALERT_COLUMNS}
+FROM once o JOIN read_articles a ON o.url = a.url WHERE o.url NOT IN (SELECT url FROM seen_rows)""",
+
+    "outbox_in_order": cte("news_items", "event_times", "seen_rows") + ",\n" + _ARTICLES + f""",
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {_RANK}, item_idx) AS nth
+  FROM news_items WHERE url <> '' AND {_WANTED}) WHERE nth = 1)
+SELECT row_number() OVER (ORDER BY {_RANK}, item_idx) AS place, source, item_idx, o.url
 FROM once o JOIN read_articles a ON o.url = a.url WHERE o.url NOT IN (SELECT url FROM seen_rows)""",
+
+    "sources_report": cte("news_items") + f""",
+recent AS (SELECT * FROM news_items WHERE published_at IS NULL OR published_at >= TIMESTAMP '2024-01-17'),
+ir AS (SELECT * FROM news_items WHERE url <> '' AND title <> '' AND regexp_matches(title, {_text(f'(?i)({IR_KEYWORDS})')})
+  AND (published_at IS NULL OR date_trunc('day', published_at) >= TIMESTAMP '2024-01-17'))
+SELECT 'news' AS source, 'ok' AS status, count(*) FILTER (url <> '') AS valid, count(*) FILTER (url = '') AS malformed,
+  count(*) FILTER (url <> '') AS items, CAST(NULL AS BOOLEAN) AS told FROM recent
+UNION ALL SELECT 'ir', 'ok', count(*), 0, count(*), NULL FROM ir
+UNION ALL SELECT 'damaged', 'failed', NULL, NULL, NULL, true""",
+
+    "ir_pages_sql": _LINKS + " SELECT l.page_id, c.url, c.status, item_url, l.title FROM links l JOIN captures c USING (page_id)",
+
+    "ledger_arrays": cte("news_items") + """
+SELECT DISTINCT CASE WHEN item_idx % 50 = 0 THEN concat(url, '?q="a\\",["b\\\\"') ELSE url END AS url FROM news_items WHERE url <> ''""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.fixed_values import METRICS
@@ -22,9 +24,9 @@ from tidings.sources import watchers
 from tidings.sources.captures import land
 from tidings.sources.handled import Handled
 from tidings.sources.listings import list_page_captures
-from tidings.sources.registry import Source, all_items
+from tidings.sources.registry import Source, all_items, collected_items
 from tidings.sources.table_functions import register
-from tidings.streaming.incremental import ITEMS, Store, run_incremental
+from tidings.streaming.incremental import ITEMS, Store, process_batch, run_pass
 from workload import rendered
 from workload.tables import filing_captures, raw, seen, sliced_news, table
 
@@ -210,6 +212,12 @@ def page_links(spark, sf):
         "page_id", "selector_rank", "item_url", "title", _stamp("published_at").alias("published"))
 
 
+def own_selectors(spark, sf):
+    """Issuer pages read by selectors of the issuers' own, with dates near the items or of the page."""
+    return page_ops.ir_listing(rendered.selector_pages(spark, sf), "item_selector", "date_selector").select(
+        "epic", "selector_rank", "item_url", "title", _stamp("published_at").alias("published"))
+
+
 def rns_listing(spark, sf):
     epics = table(spark, sf, "news_items").select("epic").distinct()
     pages = list_page_captures(epics, rendered.list_captures(spark, sf), 3)
@@ -344,6 +352,34 @@ def sources_to_alerts(spark, sf):
     return found.select("url", "source", "epic", "subject", "short_summary")
 
 
+def sources_switched(spark, sf):
+    """Only the investor pages are switched on; their settings come nested, and some issuers have none."""
+    def off(_spark, _as_of):
+        raise AssertionError("a source that is off is not read")
+
+    def investor(s, as_of):
+        issuers, landed = _feeds(rendered.feed_captures(s, sf), "")
+        none = F.lit(None).cast("string")
+        settings = F.when(F.substring("epic", 2, 20).cast("bigint") % 10 != 0, F.struct(
+            "rss", none.alias("page"), none.alias("item_selector"), none.alias("date_selector")))
+        nested = issuers.select(F.col("epic").alias("name"), F.col("issuer_id").cast("string").alias("ticker"), settings.alias("ir"))
+        flat = filing_sources.ir_issuers(nested).withColumnRenamed("name", "epic").withColumn("issuer_id", F.col("ticker").cast("bigint"))
+        return watchers.investor_items(flat, land(landed), as_of, 14)
+
+    sources = [Source("edgar", 0, off), Source("lse", 1, off), Source("ir", 2, investor)]
+    return _found(item_ops.enabled(all_items(spark, sources, NEWS_AS_OF, enabled=["ir", "absent"]), ["ir"]))
+
+
+def pdf_alerts(spark, sf):
+    """Alerts of one pass where half of the documents are PDFs, by type or by address."""
+    k = F.regexp_extract("body", r"<title>Notice (\d+)", 1).cast("bigint") % 4
+    pages = rendered.article_captures(spark, sf).withColumn("content_type", F.when(k == 0, "application/pdf; v=1").otherwise(F.col("content_type"))).withColumn(
+        "final_url", F.when(k == 1, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url")))
+    items = item_ops.with_rank(table(spark, sf, "news_items"))
+    found = cycle.run_once(items, land(pages), seen(spark, sf), NEWS_AS_OF)
+    return found.select("url", "source", "item_idx", "subject", "short_summary", "body")
+
+
 def alerts_once(spark, sf):
     """The whole chain in one pass, as a batch."""
     items = item_ops.with_rank(table(spark, sf, "news_items"))
@@ -354,20 +390,74 @@ def batch_alerts(spark, sf):
     return alerts_once(spark, sf).select("url", "source", "item_idx", "subject", "short_summary", "body")
 
 
+def _late() -> Column:
+    """Captures that land after the second slice."""
+    return F.regexp_extract("body", r"<title>Notice (\d+)", 1).cast("bigint") % 3 == 0
+
+
 def incremental_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """News replayed in three slices of days, each landed and taken up in turn."""
+    """News replayed in three slices of days, each landed and taken up in turn.
+
+    A third of the documents land between the second slice and the third, where
+    items that wait for them get their alerts; the last batch is played twice.
+    """
     base = work_folder(spark, "incremental")
     landing = f"{base}/landing"
     items = item_ops.with_rank(sliced_news(spark, sf))
     columns = [c.strip().split(" ")[0] for c in ITEMS.split(",")]
     store = Store(spark, f"{base}/tables", "news")
-    captures = land(rendered.article_captures(spark, sf))
+    pages, table_name = rendered.article_captures(spark, sf), f"articles_{uuid.uuid4().hex}"
+    land(pages.where(~_late()), table=table_name)
     for k in range(3):
         items.filter(F.col("slice") == k).select(*columns).write.mode("append").parquet(landing)
-        run_incremental(
-            store, landing, lambda: captures, NEWS_AS_OF, imported=seen(spark, sf),
-        ).awaitTermination()
-    return store.read("outbox").select("url", "source", "item_idx", "batch_id", "subject", "short_summary")
+        run_pass(store, landing, lambda: spark.table(table_name), NEWS_AS_OF, imported=seen(spark, sf))
+        if k == 1:
+            land(pages.where(_late()), table=table_name)
+    again = items.filter(F.col("slice") == 2).select(*columns)
+    process_batch(store, again, 2, spark.table(table_name), NEWS_AS_OF, imported=seen(spark, sf))
+    return store.alerts().select("url", "source", "item_idx", "batch_id", "subject", "short_summary")
+
+
+def outbox_in_order(spark, sf):
+    """The alerts of one pass as ordered files, read back with their places."""
+    path = work_folder(spark, "ordered-outbox")
+    cycle.save_in_order(alerts_once(spark, sf), path)
+    return cycle.read_in_order(spark, path).select("place", "source", "item_idx", "url")
+
+
+def sources_report(spark, sf):
+    """Three sources run apart: one with malformed items, one sound, one whose file is damaged; what came of each."""
+    folder = work_folder(spark, "damaged")
+    raw(spark, sf, "region").selectExpr("'no parquet file' AS value").coalesce(1).write.text(folder)
+    news = item_ops.with_rank(table(spark, sf, "news_items")).withColumn("item_idx", watchers.item_index(0, 0, 0, 0, "item_idx"))
+    sources = [
+        Source("news", 0, lambda s, as_of: item_ops.in_window(news, as_of, 14)), Source("ir", 1, lambda s, as_of: _investor(s, sf, as_of)),
+        Source("damaged", 2, lambda s, as_of: s.read.schema(ITEMS).option("pathGlobFilter", "part-*").parquet(folder))]
+    items, report = collected_items(spark, sources, NEWS_AS_OF)
+    kept = items.groupBy("source").agg(F.count("*").alias("items"))
+    return report.join(kept, "source", "left").select("source", "status", "valid", "malformed", "items", (F.length("error") > 0).alias("told"))
+
+
+def ir_pages_sql(spark, sf):
+    """List extraction from SQL by a function of tables, which keeps the caller's columns."""
+    register(spark)
+    table(spark, sf, "captures").createOrReplaceTempView("landed_captures")
+    return spark.sql("SELECT page_id, url, status, item_url, title FROM ir_pages(TABLE(SELECT page_id, url, status, body FROM landed_captures WHERE status < 400))")
+
+
+def ledger_arrays(spark, sf):
+    """Ledgers that are JSON arrays of up to 50,000 strings, some with quotation marks, read in byte ranges."""
+    url = F.concat("url", F.when(F.col("item_idx") % 50 == 0, '?q="a\\",["b\\\\"').otherwise(""))
+    rows = table(spark, sf, "news_items").where("url <> ''").select(url.alias("url"), F.floor(F.col("item_idx") / 50_000).alias("part"))
+    folder = work_folder(spark, "ledger-arrays")
+    rows.groupBy("part").agg(F.to_json(F.collect_list("url")).alias("value")).select("value").write.text(folder)
+    with_ranges = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        # Written here, so that the ranges are those of this setting.
+        return stage(ledger.read_ledger_arrays(spark, folder), "ledger-keys")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_ranges)
 
 
 QUERIES = {
@@ -397,6 +487,7 @@ QUERIES = {
     "page_titles": page_titles,
     "page_clean_text": page_clean_text,
     "page_links": page_links,
+    "own_selectors": own_selectors,
     "rns_listing": rns_listing,
     "detail_dates": detail_dates,
     "kpi_revenue": _figure("revenue"),
@@ -413,6 +504,12 @@ QUERIES = {
     "london_items": london_items,
     "ir_items": ir_items,
     "sources_to_alerts": sources_to_alerts,
+    "sources_switched": sources_switched,
+    "pdf_alerts": pdf_alerts,
     "batch_alerts": batch_alerts,
     "incremental_alerts": incremental_alerts,
+    "outbox_in_order": outbox_in_order,
+    "sources_report": sources_report,
+    "ir_pages_sql": ir_pages_sql,
+    "ledger_arrays": ledger_arrays,
 }

@@ -180,6 +180,34 @@ def wire_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("epic", "block", body.alias("body"))
 
 
+def selector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuer pages that need selectors of their own, per issuer and block of items.
+
+    Every item stands in a wrapper of its own and is followed by an element of the
+    issuer's date class, which names no date for two items in three; one of these
+    has a ``<time>`` in its wrapper, and the page's own date stands for all others.
+    Behind the items a list repeats some and adds further ones.
+    """
+    items = table(spark, sf_dir, "news_items").filter("source = 'ir'")
+    idx, which = F.col("item_idx").cast("string"), F.col("item_idx") % 3
+    when = F.when(which == 0, F.coalesce(F.date_format("published_at", "dd MMM yyyy"), F.lit(""))).otherwise("soon")
+    time = F.when(which == 1, F.concat(F.lit('<time datetime="'), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"></time>')))
+    card = F.concat(
+        F.lit('<section><div><div class="deal"><a class="own" href="/n/'), idx, F.lit('">'), F.col("title"), F.lit("</a>"), F.coalesce(time, F.lit("")),
+        F.lit('<b class="when">'), when, F.lit("</b></div></div></section>"))
+    listed = F.when(F.col("item_idx") % 4 == 0, F.concat(F.lit('<li><a href="/n/'), idx, F.lit('">Again</a></li>'))).when(
+        F.col("item_idx") % 4 == 1, F.concat(F.lit('<li><a href="/extra/'), idx, F.lit('">Extra</a></li>')))
+    grouped = items.select("epic", "item_idx", card.alias("card"), F.coalesce(listed, F.lit("")).alias("listed")).groupBy(
+        "epic", _block("item_idx").alias("block")).agg(_in_order("item_idx", "card", "listed").alias("_rows"))
+    body = F.concat(
+        F.lit('<html><head><meta property="article:published_time" content="2024-01-15T08:00:00Z"></head><body>'), F.array_join("_rows.card", ""),
+        F.lit("<div><div><ul>"), F.array_join("_rows.listed", ""), F.lit("</ul></div></div>"))
+    even = F.substring("epic", 2, 20).cast("bigint") % 2 == 0
+    return grouped.select(
+        "epic", F.concat_ws("/", F.lit("https://ir.example.com/list"), "epic", "block").alias("final_url"), F.lit(200).alias("status"), body.alias("body"),
+        F.when(even, ".deal a").otherwise("a.own").alias("item_selector"), F.when(even, ".when").otherwise("b.when").alias("date_selector"))
+
+
 def ledger_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger documents in the three landed formats; one user has at most 37 addresses."""
     rows = table(spark, sf_dir, "seen_rows").distinct()
