@@ -127,7 +127,7 @@ def test_rows_that_differ_in_nulls_or_nested_columns_have_keys_of_their_own(spar
     assert mixed and all(n <= 2 * given[row] for row, n in collections.Counter(map(repr, mixed)).items())
 
 
-def _vectors(spark, seed=3):
+def _vectors(spark, seed=3, repeated=False):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(120, 16))
     near = base[:30, None] + rng.normal(scale=0.06, size=(30, 6, 16))
@@ -135,8 +135,10 @@ def _vectors(spark, seed=3):
     rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rows)]
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [], 1), (n + 2, [0.0] * 16, 1), (n + 3, [float("nan")] * 16, 1), (n + 4, [None] * 16, None),
-             (n + 5, [float("inf")] + [1.0] * 15, 1), (None, rows[0][1], 1), (5, rows[5][1], 1), (n + 6, [1.0, 2.0], 1), (n + 7, [2.0, 4.0], 1), (n + 8, [1e-30] * 16, 0),
-             (7, rows[40][1], 1), (2, rows[130][1], 1), (3, rows[2][1], 1)]
+             (n + 5, [float("inf")] + [1.0] * 15, 1), (None, rows[0][1], 1), (5, rows[5][1], 1), (n + 6, [1.0, 2.0], 1), (n + 7, [2.0, 4.0], 1), (n + 8, [1e-30] * 16, 0)]
+    if repeated:
+        # Ids that name several vectors.
+        rows += [(7, rows[40][1], 1), (2, rows[130][1], 1), (3, rows[2][1], 1)]
     return spark.createDataFrame(rows, VECTORS).withColumn("first", F.lit(1)).withColumn("code", F.lit("x"))
 
 
@@ -163,7 +165,7 @@ def _linked(rows, threshold):
 
 @pytest.mark.parametrize("shape", [{}, {"least_shards": 3, "block_rows": 40, "beam": 4}])
 def test_vector_links_and_components(spark, shape):
-    vectors = _vectors(spark)
+    vectors = _vectors(spark, repeated=True)
     assert tuples(hnsw.near_duplicates(vectors, 0.95, **shape)) == _linked(vectors.collect(), 0.95)
 
 
