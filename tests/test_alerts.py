@@ -1,7 +1,8 @@
 """Documents to payloads to alerts, in one pass and incrementally."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidings.operators.pages import documents, pdf_captures
 from tidings.plans import cycle
 from tidings.plans.summary import alerts, payloads
+from tidings.streaming import pending
 from tidings.streaming.incremental import ITEMS, OUTBOX, Store, process_batch, run_incremental, run_pass, run_retries
 
 AS_OF = "2024-01-31"
@@ -131,6 +133,67 @@ def test_state_ends_with_the_hold(spark, tmp_path):
     assert outbox(store) == []
 
 
+class HeldState:
+    """State of one bucket, as Spark hands it to the handler."""
+
+    def __init__(self, now):
+        self.now, self.get, self.timeout, self.hasTimedOut = now, None, None, False
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def told(*events):
+    return iter([pd.DataFrame(events, columns=["url", "event", "item"])])
+
+
+def test_one_call_serves_all_addresses_of_a_bucket():
+    handler, state = pending.Waiting(retry_ms=100, hold_ms=250), HeldState(1_000)
+    call = lambda *events: sorted(row for out in handler((0,), told(*events), state) for row in out.itertuples(index=False, name=None))
+    first, later = '{"source_rank":0,"item_idx":9007199254740993}', '{"source_rank":0,"item_idx":9007199254740994}'
+    many = [(f"u{i}", "wait", first) for i in range(5_000)]
+    assert call(*many, ("u0", "wait", later), ("", "tick", "{}")) == sorted((u, first) for u, _, _ in many)
+    assert state.timeout == 100
+    # Told again before the next try, one is done, one is new: only the new one is tried.
+    state.now = 1_050
+    assert call(("u1", "wait", later), ("u2", "done", "{}"), ("new", "wait", '{"epic":"E"}'), ("gone", "wait", first), ("gone", "done", "{}")) == [("new", '{"epic":"E"}')]
+    assert state.timeout == 50
+    # The timer: all but the new one are due.
+    state.now, state.hasTimedOut = 1_101, True
+    assert [u for u, _ in call()] == sorted(u for u, _, _ in many if u != "u2")
+    # Beyond the hold they are given up, the new one a little later.
+    state.now = 1_260
+    assert call() == [("new", '{"epic":"E"}')]
+    state.now = 2_000
+    assert call() == [] and not state.exists
+
+
+def test_waiting_items_come_back_exactly(spark, tmp_path):
+    rows = [(f"u{i}", "ir", None if i == 2 else 1, None if i == 1 else 2**53 + 1, 'E"\n', None, None if i == 3 else "Results", datetime(2024, 1, 20, 1, 2, 3, 456789), "wait")
+            for i in range(5)]
+    schema = f"url string, {pending.ITEM}, event string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events")
+    spark.conf.set(*pending.STATE_STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    out = []
+    stream = pending.tries(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"), timedelta(days=1), timedelta(days=2), buckets=2)
+    writer = stream.writeStream.foreachBatch(lambda due, _: out.extend(due.collect())).outputMode("update")
+    writer.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((tuple(r) for r in out), key=str) == [r[:-1] for r in rows]
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def test_replay_of_a_batch_replaces_its_own_rows(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     have = spark.createDataFrame([capture("a"), capture("b")], CAPTURE)
