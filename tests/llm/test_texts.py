@@ -269,6 +269,31 @@ def test_shortest_path_is_the_least_of_all_paths():
         assert math.isclose(cost(own.path(text)), min(map(cost, every(text))))
 
 
+def test_a_path_weighs_few_arcs():
+    """Places already reached are not reached again, and the search goes deep first."""
+    own, stretch = wfst.Transducer(tokenizer_path("piece_bpe_32k.model")), "▁international"
+    weighed, weight = [], own.weight
+    own.weight = lambda before, piece: weighed.append(piece) or weight(before, piece)
+    assert own.path(stretch) == own.merged(stretch)
+    assert len(weighed) < len(stretch) < sum(len(own.arcs(stretch, at)) for at in range(len(stretch)))
+
+
+def test_stretches_of_a_full_memory_are_found_once():
+    own = wfst.Transducer(tokenizer_path("piece_bpe_32k.model"))
+    own.REMEMBERED, found, path = 40, [], own.path
+    own.path = lambda stretch: found.append(stretch) or path(stretch)
+    for i in range(300):
+        own.encode(f"again word{chr(97 + i % 26)}{chr(97 + i // 26)}")
+    assert found.count("▁again") == 1 and len(own.known) + len(own.older) < 60
+
+
+def test_decoding_reads_runs_of_bytes_apart():
+    own = wfst.Transducer(tokenizer_path("piece_bpe_32k.model"))
+    half, end, control = own.bytes[0xC3], own.bytes[0xA9], min(own.controls)
+    a = own.ids["a"]
+    assert [own.decode(ids) for ids in ([half, end], [half, control, end], [half, a, end], [a, own.unknown, half], [])] == ["é", "��", "�a�", f"a{wfst.UNKNOWN_SURFACE}�", ""]
+
+
 def test_ids_on_awkward_rows(spark):
     docs, model = awkward(spark), tokenizer_path("piece_bpe_32k.model")
     done = wfst.encode(docs, model, check=True)
@@ -325,6 +350,16 @@ def test_pieces_equal_the_library():
         assert [e.tolist() for e in encoder.ids(part)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_pieces_of_a_full_memory_are_encoded_once_and_many_at_a_time():
+    encoder = bitpack.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    encoder.REMEMBERED, texts, encoded = 200, [], encoder._encoded
+    encoder._encoded = lambda some: texts.extend(some) or encoded(some)
+    for i in range(100):
+        encoder.ids([f"always again {' '.join(f'w{chr(97 + i % 26)}x{chr(97 + j)}{chr(97 + i // 26)}' for j in range(20))}"])
+    assert sum(" again" in t for t in texts) == 1 and len(texts) < 300
+    assert len(encoder.known) + len(encoder.older) < 300
+
+
 # Shards
 
 @pytest.mark.parametrize("rows", [1, 2, 3, 7, 64, 65, 1_000, 4_097])

@@ -20,7 +20,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +99,51 @@ class Reader:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
-class Encoder:
+#: Characters of text whose pieces are looked up together.
+PORTION = 1 << 18
+
+
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbours of ``PORTION`` characters or a little more, so that what is known of their pieces stays in the processor's cache."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= PORTION:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+class Memory:
+    """What is known of parts of texts met before, such as their ids as bytes; what was not met for long is forgotten."""
+
+    #: Parts remembered in a worker, beside those of the texts at hand.
+    REMEMBERED = 1_200_000
+
+    def __init__(self):
+        self.known: dict = {}
+        self.older: dict = {}
+
+    def of(self, parts: set[str], encoded: Callable[[list[str]], list]) -> dict:
+        """What is known of these parts, which are encoded if they are new."""
+        if len(self.known) > self.REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        found = dict(zip(parts, map(self.known.get, parts)))
+        fresh = [p for p, ids in found.items() if ids is None]
+        if self.older:
+            again = {p: ids for p, ids in zip(fresh, map(self.older.get, fresh)) if ids is not None}
+            fresh = [p for p in fresh if p not in again]
+        else:
+            again = {}
+        again.update(zip(fresh, encoded(fresh)))
+        self.known |= again
+        found |= again
+        return found
+
+
+class Encoder(Memory):
     """Ids of texts by a byte-level tokenizer file, with a bounded memory of pieces.
 
     The tokenizer splits a text by a pattern and encodes each piece by itself, so
@@ -113,33 +157,48 @@ class Encoder:
     PIECE = re.compile(
         f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{LETTER}{NUMBER}{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     OTHER = re.compile("[^\x00-ɏ]")
-    REMEMBERED = 600_000
+    BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0")
+    #: Pieces encoded as one text.
+    TOGETHER = 128
 
     def __init__(self, path: str):
         # Spark runs a task on each core already.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        # No special token reaches over a space here.
+        self.together = 1 if any(" " in t.content for t in self.tokenizer.get_added_tokens_decoder().values()) else self.TOGETHER
+        # Byte-level files write a space as this character.
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)], bool)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encoded_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, or of words with a space in front: many of either stand in one text, whose ids are cut before each space again."""
+        joins = [len(p) > 1 and p[0] == " " and p[1] not in self.BLANK and p[-1] not in self.BLANK for p in pieces]
+        plain, others = [p for p, join in zip(pieces, joins) if join], [p for p, join in zip(pieces, joins) if not join]
+        found = dict(zip(others, self._encoded(others)))
+        texts = [plain[at:at + self.together] for at in range(0, len(plain), self.together)]
+        for own, ids in zip(texts, self._encoded(["".join(own) for own in texts])):
+            starts = (4 * np.flatnonzero(self.spaced[np.frombuffer(ids, np.uint32)])).tolist()
+            found.update(zip(own, map(ids.__getitem__, map(slice, starts, [*starts[1:], None])) if len(starts) == len(own) else self._encoded(own)))
+        return [found[p] for p in pieces]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        whole = [t for t in texts if self.OTHER.search(t) or self.special.search(t)]
-        apart = dict(zip(whole, self._encoded(whole)))
-        pieces = {i: self.PIECE.findall(t) for i, t in enumerate(texts) if t not in apart}
-        fresh = list(set().union(*pieces.values()).difference(self.known))
-        known = self.known
-        if len(known) + len(fresh) > self.REMEMBERED:
-            # Full: what is new serves these texts only.
-            known = dict(known)
-        known.update(zip(fresh, self._encoded(fresh)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces[i])) if i in pieces else apart[t], np.uint32) for i, t in enumerate(texts)]
+        out = []
+        for some in portions(texts):
+            whole = [t for t in some if self.OTHER.search(t) or self.special.search(t)]
+            apart = dict(zip(whole, self._encoded(whole)))
+            pieces = [None if t in apart else self.PIECE.findall(t) for t in some]
+            of = self.of(set().union(*filter(None, pieces)), self.encoded_pieces).__getitem__
+            out += [np.frombuffer(apart[t] if own is None else b"".join(map(of, own)), np.uint32) for t, own in zip(some, pieces)]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

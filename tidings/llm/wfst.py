@@ -30,10 +30,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidings.llm.bitpack import Memory, portions
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGING = 1, 2
@@ -43,15 +46,16 @@ UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
 
 
-class Transducer:
+class Transducer(Memory):
     """A compiled model."""
 
     #: Stretches and pairs of neighbours remembered in a worker.
-    REMEMBERED, PAIRS = 500_000, 800_000
+    REMEMBERED, PAIRS = 900_000, 800_000
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as schema
 
+        super().__init__()
         with open(path, "rb") as file:
             model = schema.ModelProto.FromString(file.read())
         if model.normalizer_spec.precompiled_charsmap:
@@ -67,18 +71,21 @@ class Transducer:
         self.scores = {p.piece: p.score for p in model.pieces if p.type in (NORMAL, USER_DEFINED)}
         self.ids = {text: i for i, (text, kind) in enumerate(self.pieces) if kind in (NORMAL, USER_DEFINED)}
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        # The lexicon: a trie over characters, whose final states hold the piece.
-        self.start: dict = {}
+        # The lexicon: a trie over characters, each with the piece it ends, if any, and the state behind it.
+        self.start: dict[str, list] = {}
         for text, i in self.ids.items():
             state = self.start
             for character in text:
-                state = state.setdefault(character, {})
-            state[""] = i
+                arc = state.setdefault(character, [None, {}])
+                state = arc[1]
+            arc[0] = i
+        self.controls = {i for i, (_, kind) in enumerate(self.pieces) if kind == CONTROL}
+        self.surfaces = [bytes([int(text[1:-1], 16)]) if kind == BYTE else (UNKNOWN_SURFACE if kind == UNKNOWN else text).encode()
+                         for text, kind in self.pieces]
         self.stretch = self._stretches()
         if self.merging and not set("".join(self.ids)) <= set(self.ids):
             raise ValueError("a merging model needs a piece for every character of its pieces")
         self.allowed: dict[int, float] = {}
-        self.known: dict[str, list[int]] = {}
 
     def _stretches(self) -> re.Pattern:
         longer = [text for text in self.ids if len(text) > 1]
@@ -123,27 +130,51 @@ class Transducer:
                 self.allowed[pair] = weight
         return weight
 
+    def arcs(self, stretch: str, at: int) -> list[tuple[int, int]]:
+        """Places that a piece from here reaches, nearest first, and the piece."""
+        out, state = [], self.start
+        for to in range(at, len(stretch)):
+            arc = state.get(stretch[to])
+            if arc is None:
+                break
+            piece, state = arc
+            if piece is not None:
+                out.append((to + 1, piece))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, self.unknown))
+        return out
+
     def path(self, stretch: str) -> list[str]:
         """Pieces on the shortest path over a stretch; characters without a piece stand for themselves."""
         end, none = len(stretch), self.unknown
-        cost, last, back = [0.0] + [math.inf] * end, [none] * (end + 1), [0] * (end + 1)
-        for at in range(end):
-            here = cost[at]
-            if here == math.inf:
-                continue
-            before, state, to, single = last[at], self.start, at, False
-            while to < end and (state := state.get(stretch[to])):
-                to += 1
-                piece = state.get("")
-                if piece is not None:
-                    single |= to == at + 1
-                    total = here + self.weight(before, piece)
+        last, back = [none] * (end + 1), [0] * (end + 1)
+        if self.merging:
+            # Finite weights are all zero: the first path found is a shortest one, so the search goes deep, longest pieces
+            # first, and weighs an arc only when it comes to it. A place once reached is not reached for less.
+            reached, trail = bytearray(end + 1), [(0, self.arcs(stretch, 0))] if end else []
+            allowed, size, weight = self.allowed, len(self.pieces), self.weight
+            while trail:
+                at, open_arcs = trail[-1]
+                if not open_arcs:
+                    trail.pop()
+                    continue
+                to, piece = open_arcs.pop()
+                if reached[to]:
+                    continue
+                before = last[at]
+                cost = allowed.get(before * size + piece)
+                if (weight(before, piece) if cost is None else cost) == 0.0:
+                    reached[to], last[to], back[to] = 1, piece, at
+                    if to == end:
+                        break
+                    trail.append((to, self.arcs(stretch, to)))
+        else:
+            cost = [0.0] + [math.inf] * end
+            for at in range(end):
+                for to, piece in self.arcs(stretch, at):
+                    total = cost[at] + self.weight(last[at], piece)
                     if total < cost[to]:
                         cost[to], last[to], back[to] = total, piece, at
-            if not single:
-                total = here + self.weight(before, none)
-                if total < cost[at + 1]:
-                    cost[at + 1], last[at + 1], back[at + 1] = total, none, at
         out, at = [], end
         while at:
             out.append(stretch[back[at]:at])
@@ -158,30 +189,26 @@ class Transducer:
             return [self.bytes[b] for b in piece.encode()]
         return [self.unknown]
 
-    def encoded(self, stretch: str) -> list[int]:
-        ids = self.known.get(stretch)
-        if ids is None:
-            ids = [i for piece in self.path(stretch) for i in self.output(piece)]
-            if len(self.known) < self.REMEMBERED:
-                self.known[stretch] = ids
-        return ids
+    def _encoded(self, stretches: list[str]) -> list[bytes]:
+        return [np.array([i for piece in self.path(s) for i in self.output(piece)], np.int32).tobytes() for s in stretches]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind one another, and how many each text has."""
+        out = []
+        for part in portions(texts):
+            stretches = [self.stretch.findall(self.normalised(t)) for t in part]
+            of = self.of(set().union(*stretches), self._encoded).__getitem__
+            out += [b"".join(map(of, own)) for own in stretches]
+        return np.frombuffer(b"".join(out), np.int32), np.array([len(ids) // 4 for ids in out], np.int64)
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.encoded, self.stretch.findall(self.normalised(text)))))
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; runs of byte pieces are read as UTF-8."""
-        out, raw = [], bytearray()
-        for i in ids:
-            piece, kind = self.pieces[i]
-            if kind == BYTE:
-                raw.append(int(piece[1:-1], 16))
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(UNKNOWN_SURFACE if kind == UNKNOWN else "" if kind == CONTROL else piece)
-        text = "".join(out) + raw.decode(errors="replace")
+        # Pieces of text begin with a whole character, so what is joined is read as each run by itself; control pieces have no text, but divide runs.
+        runs = [ids] if self.controls.isdisjoint(ids) else [list(run) for control, run in itertools.groupby(ids, self.controls.__contains__) if not control]
+        text = "".join(b"".join(map(self.surfaces.__getitem__, run)).decode(errors="replace") for run in runs)
         return text.removeprefix(MARK if self.prefix else "").replace(MARK, " ")
 
 
@@ -195,6 +222,21 @@ def transducer(path: str) -> Transducer:
     return _COMPILED[path]
 
 
+def encoded_batch(compiled: Transducer, batch: pa.RecordBatch, others: list[str], check: bool) -> pa.RecordBatch:
+    """The other columns, the ids of ``text`` and, with ``check``, whether they decode to it."""
+    texts = batch.column("text").to_pylist()
+    there = np.array([t is not None for t in texts], bool)
+    flat, sizes = compiled.encode_all([t for t in texts if t is not None])
+    bounds = np.zeros(len(texts) + 1, np.int32)
+    bounds[1:][there] = sizes
+    bounds = np.cumsum(bounds, dtype=np.int32)
+    columns, names = [*(batch.column(c) for c in others), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat), mask=pa.array(~there))], [*others, "ids"]
+    if check:
+        columns.append(pa.array([t is None or compiled.decode(flat[a:b].tolist()) == t.replace(MARK, " ") for t, a, b in zip(texts, bounds, bounds[1:])], pa.bool_()))
+        names.append("restored")
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def encode(documents: DataFrame, model: str, check: bool = False) -> DataFrame:
     """The documents' columns but ``text``, and ``ids``; with ``check``, also ``restored``:
     whether decoding the ids gives the text again.
@@ -207,12 +249,7 @@ def encode(documents: DataFrame, model: str, check: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = transducer(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [None if t is None else compiled.encode(t) for t in texts]
-            columns = [*(batch.column(c) for c in others), pa.array(ids, pa.list_(pa.int32()))]
-            if check:
-                columns.append(pa.array([t is None or compiled.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids)]))
-            yield pa.RecordBatch.from_arrays(columns, [*others, *added])
+            yield encoded_batch(compiled, batch, others, check)
 
     schema = documents.select(*others).schema.add("ids", T.ArrayType(T.IntegerType()))
     return documents.select(*others, "text").mapInArrow(run, schema.add("restored", "boolean") if check else schema)
