@@ -97,6 +97,14 @@ def test_remembered_windows_change_nothing(spark):
     assert forgetful.older and not kept.older
 
 
+def test_new_stretches_are_encoded_many_at_a_time():
+    side, given = align.PieceEncoder(B), []
+    encoded = side._encoded
+    side._encoded = lambda some: given.extend(some) or encoded(some)
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}中é" for i in range(500)) + "  two  spaces\nand a line"
+    assert side.ids([text])[0].tolist() == side.model.encode(text) and len(given) < 20
+
+
 def test_awkward_tables(spark):
     found = align.alignment(awkward(spark), A, B)
     assert found.count() == awkward(spark).count()

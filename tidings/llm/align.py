@@ -6,7 +6,8 @@ the bytes of both sides' tokens join to that text, places where a token ends on
 both sides are shared ends. A shared end before tokens that start with a space
 on both sides is an anchor; anchors cut a document into windows of ids of a few
 tokens. A window is aligned once for each pair of id tuples and remembered, up to a
-bound: its shared ends cut it into groups, and tokens whose bytes overlap are
+bound; where a text is words between single spaces, each word is a window, and is
+encoded and aligned once for its text. A window's shared ends cut it into groups, and tokens whose bytes overlap are
 linked. Sorted by their ends, two tokens overlap if the later one starts before
 the earlier one ends, so a group of m and n tokens has m + n - 1 links.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.bitpack import Encoder
+from tidings.llm.bitpack import Encoder, Memory, portions
 from tidings.llm.store import written
 
 SPACE = 0x20
@@ -48,8 +49,10 @@ GROUP_BYTES = 4 << 20
 class PlainEncoder(Encoder):
     """A byte-level tokenizer for which no text is special."""
 
-    # Less than the encoder alone may hold: two more memories stand beside this one.
-    REMEMBERED = 300_000
+    #: White space before a space, where no piece need begin at the space.
+    BROKEN = re.compile(f"[{Encoder.SPACE}] ")
+    # Less than the encoder alone may hold: other memories stand beside this one.
+    REMEMBERED = 100_000
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -66,7 +69,7 @@ class PlainEncoder(Encoder):
         return [added[i] if i in added else bytes(byte[c] for c in self.tokenizer.id_to_token(i)) for i in range(self.size)]
 
 
-class PieceEncoder:
+class PieceEncoder(Memory):
     """A SentencePiece model, with a bounded memory of stretches.
 
     A stretch is spaces and all up to the next space. Where no piece has the word
@@ -76,12 +79,14 @@ class PieceEncoder:
     """
 
     STRETCH = re.compile(" +[^ ]*")
-    REMEMBERED = 300_000
+    #: Stretches encoded as one text.
+    REMEMBERED, TOGETHER = 100_000, 128
 
     def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as schema
 
+        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.vocab_size()
         with open(path, "rb") as file:
@@ -89,7 +94,7 @@ class PieceEncoder:
         how = spec.normalizer_spec
         self.stretches = (how.add_dummy_prefix and not how.remove_extra_whitespaces and not how.precompiled_charsmap
                           and not any("▁" in p.piece.lstrip("▁") for p in spec.pieces))
-        self.known: dict[str, bytes] = {}
+        self.spaced = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(self.size)], bool)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, np.uint32).tobytes() for ids in self.model.encode(texts, num_threads=1)]
@@ -100,18 +105,27 @@ class PieceEncoder:
             return [s[1:] for s in self.STRETCH.findall(" " + text)]
         return text.split(" ")
 
+    def encoded_stretches(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches. Many without spaces stand in one text, whose ids are cut before each space again."""
+        plain = [s for s in stretches if s and " " not in s]
+        others = [s for s in stretches if not s or " " in s]
+        texts = [plain[at:at + self.TOGETHER] for at in range(0, len(plain), self.TOGETHER)]
+        found = dict(zip(others, self._encoded(others)))
+        for own, ids in zip(texts, self._encoded([" ".join(own) for own in texts])):
+            starts = (4 * np.flatnonzero(self.spaced[np.frombuffer(ids, np.uint32)])).tolist()
+            found |= zip(own, map(ids.__getitem__, map(slice, starts, [*starts[1:], None]))) if len(starts) == len(own) else zip(own, self._encoded(own))
+        return [found[s] for s in stretches]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        whole = [t for t in texts if not self.stretches or "▁" in t or t.endswith(" ")]
-        apart = dict(zip(whole, self._encoded(whole)))
-        stretches = {i: self._stretches(t) for i, t in enumerate(texts) if t not in apart}
-        known = self.known
-        fresh = list(set().union(*stretches.values()).difference(known))
-        if len(known) + len(fresh) > self.REMEMBERED:
-            # Full: what is new serves these texts only.
-            known = dict(known)
-        known.update(zip(fresh, self._encoded(fresh)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, stretches[i])) if i in stretches else apart[t], np.uint32) for i, t in enumerate(texts)]
+        out = []
+        for part in portions(texts):
+            whole = [t for t in part if not self.stretches or "▁" in t or t.endswith(" ")]
+            apart = dict(zip(whole, self._encoded(whole)))
+            stretches = [None if t in apart else self._stretches(t) for t in part]
+            of = self.of(set().union(*filter(None, stretches)), self.encoded_stretches).__getitem__
+            out += [np.frombuffer(apart[t] if own is None else b"".join(map(of, own)), np.uint32) for t, own in zip(part, stretches)]
+        return out
 
     def token_bytes(self) -> list[bytes]:
         def of(i: int) -> bytes:
@@ -123,6 +137,8 @@ class PieceEncoder:
 
 #: Marks ids of the second side where both sides' ids stand in one row.
 SECOND = 1 << 31
+#: A word's tokens on both sides, its groups as text, their number and its links in bytes; empty if a side does not restore it.
+Word = tuple[int, int, bytes, int, bytes] | tuple[()]
 #: A window's groups as text, their number, its links in bytes, and its text if both sides restore the same.
 Window = tuple[bytes, int, bytes, bytes | None]
 
@@ -131,7 +147,9 @@ class Aligner:
     """Both tokenizers, and the windows met so far."""
 
     #: Windows remembered in a worker, and the most tokens of one that is.
-    REMEMBERED, SHORT = 400_000, 64
+    REMEMBERED, SHORT = 200_000, 64
+    #: Words remembered in a worker.
+    WORDS = 500_000
 
     def __init__(self, byte_level: str, pieces: str):
         self.sides = (PlainEncoder(byte_level), PieceEncoder(pieces))
@@ -140,6 +158,8 @@ class Aligner:
         self.spaced = [np.array([t[:1] == b" " for t in table], bool) for table in self.bytes]
         self.sizes = [lengths.tolist() for lengths in self.lengths]
         self.names = [[str(i) for i in range(side.size)] for side in self.sides]
+        self.words = Memory()
+        self.words.REMEMBERED = self.WORDS
         # By the ids of both sides in a row.
         self.known: dict[bytes, Window] = {}
         self.older: dict[bytes, Window] = {}
@@ -155,6 +175,11 @@ class Aligner:
         return found
 
     def _aligned(self, a: list[int], b: list[int]) -> Window:
+        text_a, text_b = (b"".join(map(table.__getitem__, ids)) for table, ids in zip(self.bytes, (a, b)))
+        return *self._cut(a, b), text_a if text_a == text_b else None
+
+    def _cut(self, a: list[int], b: list[int]) -> tuple[bytes, int, bytes]:
+        """Groups as text, their number, and links in bytes of ids that have equally many bytes on both sides."""
         size_a, size_b, ids_b, (name_a, name_b) = *self.sizes, self.sides[1].size, self.names
         x, y, i, j = a[0], b[0], 0, 0
         end_a, end_b, left, right = size_a[x], size_b[y], name_a[x], name_b[y]
@@ -179,8 +204,34 @@ class Aligner:
                 x, y = a[i], b[j]
                 end_a, end_b, left, right = end_a + size_a[x], end_b + size_b[y], name_a[x], name_b[y]
             links.append(x * ids_b + y)
-        text_a, text_b = (b"".join(map(table.__getitem__, ids)) for table, ids in zip(self.bytes, (a, b)))
-        return ";".join(groups).encode(), len(groups), array.array("q", links).tobytes(), text_a if text_a == text_b else None
+        return ";".join(groups).encode(), len(groups), array.array("q", links).tobytes()
+
+    def _aligned_words(self, words: list[str]) -> list[Word]:
+        """Each is a window: a space in front of it begins a token on both sides, and it has no other."""
+        out: list[Word] = []
+        of_a, of_b = (table.__getitem__ for table in self.bytes)
+        spaced = [" " + word for word in words]
+        for text, a, b in zip(spaced, self.sides[0].encoded_pieces(spaced), self.sides[1].encoded_stretches(words)):
+            a, b = memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist()
+            sound = b"".join(map(of_a, a)) == text.encode() == b"".join(map(of_b, b))
+            out.append((len(a), len(b), *self._cut(a, b)) if sound else ())
+        return out
+
+    def _plain(self, text: str) -> bool:
+        """Whether both sides begin a token at every space, and only there."""
+        side = self.sides[0]
+        return (self.sides[1].stretches and text[0] != " " and text[-1] != " " and not side.BROKEN.search(text)
+                and not side.OTHER.search(text) and not side.special.search(text))
+
+    def by_words(self, texts: list[str]) -> list[list[Word] | None]:
+        """The windows of texts that are words between single spaces, where both sides restore them all."""
+        out: list[list[Word] | None] = []
+        for some in portions(texts):
+            words = [t.split(" ") if self._plain(t) else None for t in some]
+            of = self.words.of(set().union(*filter(None, words)), self._aligned_words).__getitem__
+            found = [None if own is None else [*map(of, own)] for own in words]
+            out += [own if own and all(own) else None for own in found]
+        return out
 
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Both sides' ids of each text, none where they have not the bytes for it."""
@@ -214,10 +265,17 @@ class Aligner:
         if len(self.known) > self.REMEMBERED // 2:
             # What was not met since the last time goes.
             self.known, self.older = {}, self.known
+        rows, links = [(0, 0, 0, 0, "")] * len(texts), [b""] * len(texts)
         solid = [at for at, text in enumerate(texts) if text]
+        words = dict(zip(solid, self.by_words([texts[at] for at in solid])))
+        for at in solid:
+            if words[at]:
+                n_a, n_b, groups, counts, found = zip(*words[at])
+                links[at] = b"".join(found)
+                rows[at] = (sum(n_a), sum(n_b), sum(counts), len(links[at]) // 8, hashlib.sha256(b";".join(groups)).hexdigest())
+        solid = [at for at in solid if not words[at]]
         ids = dict(zip(solid, self.encoded([texts[at] for at in solid])))
         solid = [at for at in solid if ids[at] is not None]
-        rows, links = [(0, 0, 0, 0, "")] * len(texts), [b""] * len(texts)
         for at, windows in zip(solid, self.windows([ids[at] for at in solid]) if solid else []):
             groups, counts, found, parts = zip(*windows)
             # The shared ends are right if the bytes between them are, on both sides.
