@@ -536,6 +536,70 @@ def test_likelihood_carries_state_and_sums_to_one():
         assert math.isclose(found[i], total, rel_tol=1e-4)
 
 
+def test_a_window_takes_few_softmaxes_and_their_gradients_are_those_of_each_row(monkeypatch):
+    rng, size = np.random.default_rng(5), 48
+    net = recurrent.Network(np.ones(size * size), size, 6)
+    net = net.filled(net.flat() + rng.normal(0, 0.3, len(net.flat())))
+    outs = rng.normal(0, 1, (2_304, 6)).astype(np.float32)
+    words = np.minimum((rng.pareto(0.4, 2_304) * 5).astype(int), size * size - 1)
+    live = np.flatnonzero(rng.random(2_304) < 0.9)
+    calls, exponentials = [], recurrent._exponentials
+    monkeypatch.setattr(recurrent, "_exponentials", lambda x: calls.append(x.shape) or exponentials(x))
+    back, loss, grad = net._output_gradients(outs, words, live)
+    assert len(np.unique(words[live] // size)) > 30 and len(calls) <= 12
+    wanted_back, wanted = np.zeros((2_304, 6)), {n: np.zeros(getattr(net, n).shape) for n in grad}
+    wanted_loss = 0.0
+    for i in live:
+        own = slice(words[i] // size * size, (words[i] // size + 1) * size)
+        for matrix, bias, part, at in (("to_class", "class_bias", slice(None), words[i] // size), ("to_word", "word_bias", own, words[i] % size)):
+            weights = net.to_class.T if matrix == "to_class" else net.to_word[own]
+            d = np.exp(weights.astype(float) @ outs[i] + getattr(net, bias)[part])
+            d /= d.sum()
+            wanted_loss -= math.log(d[at]) / len(live)
+            d[at] -= 1
+            d /= len(live)
+            wanted[bias][part] += d
+            wanted_back[i] += d @ weights
+            if matrix == "to_class":
+                wanted[matrix] += np.outer(outs[i], d)
+            else:
+                wanted[matrix][own] += np.outer(d, outs[i])
+    assert math.isclose(loss, wanted_loss, rel_tol=1e-4) and np.allclose(back, wanted_back, atol=1e-6)
+    assert all(np.allclose(grad[n], wanted[n], atol=1e-5) for n in grad)
+
+
+def test_softmax_of_large_and_far_apart_logits():
+    x = np.array([[200, 100, -300], [-200, -201, -199], [0, 0, 0]], np.float32)
+    wanted = x - x.max(1, keepdims=True).astype(float)
+    wanted -= np.log(np.exp(wanted).sum(1, keepdims=True))
+    for k in range(3):
+        assert np.allclose(recurrent._log_share(x, k), wanted[:, k], rtol=1e-6)
+
+
+def test_few_states_are_held_when_scoring(monkeypatch):
+    net, held = recurrent.Network(np.ones(16), 4, 4), []
+    likely = recurrent.Network.log_probability
+    monkeypatch.setattr(recurrent.Network, "log_probability", lambda self, h, words: held.append(len(h)) or likely(self, h, words))
+    net.likelihood(np.full(2_000 * 40, 3), np.arange(0, 2_000 * 40 + 1, 40))
+    assert max(held) <= 33 * recurrent.TOGETHER and sum(held) == 2_000 * 40
+
+
+def test_sums_by_key():
+    rng = np.random.default_rng(4)
+    keys, rows = np.minimum((rng.pareto(0.7, 900)).astype(int), 300), rng.normal(0, 1, (900, 5))
+    found, sums = recurrent._sums_by(keys, rows)
+    assert sorted(found) == sorted(set(keys.tolist()))
+    assert np.allclose(sums, [rows[keys == k].sum(0) for k in found])
+
+
+def test_words_are_counted_before_the_shuffle(spark):
+    docs = awkward(spark, clashing=False)
+    wanted = collections.Counter(w for r in docs.collect() for w in bytes(c + 32 if 65 <= c <= 90 else c for c in (r["text"] or "").encode()).split())
+    counts = recurrent.count_words(docs)
+    assert {r["word"].encode(): r["n"] for r in counts.collect()} == wanted
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores_by_brute_force(spark, monkeypatch):
     # A head of a few words, so that the join is used.
     monkeypatch.setattr(recurrent, "HEAD", 40)

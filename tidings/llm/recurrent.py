@@ -24,7 +24,7 @@ nothing to learn from all words are unknown. Only id and text are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +36,17 @@ from pyspark.sql import functions as F
 from tidings.llm import lexical
 from tidings.llm.store import written
 
-#: Characters and what they count as: letters in lower case, white space as a space.
-GIVEN, TAKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
 END, UNKNOWN = 0, 1
 #: Words whose counts every task holds.
-HEAD = 65_536
+HEAD = 262_144
 #: Shares, of 16, of the training documents in each round: a common start, then longer rounds.
 ROUNDS = (1, 3, 4, 8)
 #: Documents learnt from together in a task, and documents scored together.
 LEARNT, GROUP = 1_024, 4_096
 #: Bytes of text beyond which a group takes no further document.
 GROUP_BYTES = 16 << 20
+#: Rows of states worked on at once, and documents whose states go on together: what a core's cache holds.
+ROWS, TOGETHER = 1_024, 512
 #: Parameters in one row when replicas are averaged.
 CHUNK = 8_192
 
@@ -55,17 +55,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the shares of each row, and the shares."""
-    x = x - x.max()
-    shares = np.exp(x)
-    total = shares @ np.ones(x.shape[1], x.dtype)
-    if len(total) and total.min() < 1e-25:
-        # Rows far below the largest of all need a largest of their own.
-        x = x - x.max(axis=1, keepdims=True)
-        shares = np.exp(x)
-        total = shares.sum(axis=1)
-    return x - np.log(total)[:, None], shares / total[:, None]
+def _sigmoids_of_negated(x: np.ndarray) -> None:
+    """In place: one over one more than the exponential; beyond the largest exponential it is 0."""
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x``, its exponentials and their sums by row; ``x`` comes back shifted if they would not fit otherwise."""
+    with np.errstate(over="ignore"):
+        found = np.exp(x)
+    total = found @ np.ones(x.shape[-1], x.dtype)
+    if total.size and not (total.min() > 1e-25 and total.max() < 1e25):
+        x = x - x.max(axis=-1, keepdims=True)
+        found = np.exp(x)
+        total = found.sum(axis=-1)
+    return x, found, total
+
+
+def _log_share(x: np.ndarray, column: int | np.ndarray) -> np.ndarray:
+    """Logarithm of one column's share of each row's exponentials."""
+    x, _, total = _exponentials(x)
+    return x[np.arange(len(x)), column] - np.log(total)
+
+
+def _sums_by(keys: np.ndarray, rows: np.ndarray, many: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, the most frequent first, and the sum of each one's rows."""
+    rows = rows.take(np.argsort(keys, kind="stable"), axis=0)
+    used, counts = np.unique(keys, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    begin, counts = (np.cumsum(counts) - counts)[order], counts[order]
+    # Frequent keys one by one; of all others the first rows, the second rows and so on.
+    often = int(np.searchsorted(-counts, -many))
+    sums = rows.take(begin, axis=0)
+    for i in range(often):
+        sums[i] = np.ones(counts[i], rows.dtype) @ rows[begin[i]:begin[i] + counts[i]]
+    for k in range(1, int(counts[often:].max(initial=0))):
+        more = int(np.searchsorted(-counts, -k))
+        sums[often:more] += rows.take(begin[often:more] + k, axis=0)
+    return used[order], sums
 
 
 class Network:
@@ -103,6 +132,7 @@ class Network:
         return out
 
     def _step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step in plain form; scoring and training do the same in place."""
         w = self.width
         g = self.table[x] + self.gates
         zr = _sigmoid(g[:, :2 * w] + h @ self.state)
@@ -121,39 +151,58 @@ class Network:
         """Natural logarithm of each word's probability after the states ``h``."""
         out = np.zeros(len(words))
         order, classes = self._by_class(words)
-        h, words = h[order], words[order]
-        inside = np.zeros(len(words))
         for c, part in classes:
-            of_class = _softmax(h[part] @ self.to_class + self.class_bias)[0][:, c]
             own = slice(c * self.classes, (c + 1) * self.classes)
-            logs, _ = _softmax(h[part] @ self.to_word[own].T + self.word_bias[own])
-            inside[part] = of_class + logs[np.arange(len(logs)), words[part] - own.start]
-        out[order] = inside
+            to_word = self.to_word[own].T
+            for low in range(part.start, part.stop, ROWS):
+                some = order[low:min(low + ROWS, part.stop)]
+                states = h[some]
+                out[some] = _log_share(states @ self.to_class + self.class_bias, c) + _log_share(
+                    states @ to_word + self.word_bias[own], words[some] - own.start)
         return out
 
     def likelihood(self, words: np.ndarray, first: np.ndarray, window: int = 32) -> np.ndarray:
         """Logarithm to base 10 of the probability of each sequence; sequence ``i`` is ``words[first[i]:first[i + 1]]``."""
         length = np.diff(first)
         order = np.argsort(-length, kind="stable")
-        length, start = length[order], first[:-1][order]
-        h = np.zeros((len(order), self.width), np.float32)
-        before = np.full(len(order), END)
-        total = np.zeros(len(order))
-        for low in range(0, int(length.max(initial=0)), window):
-            states, targets, rows = [], [], []
-            for t in range(low, min(low + window, int(length[0]))):
-                going = int(np.searchsorted(-length, -t))
-                h = h[:going]
-                *_, h = self._step(before[:going], h)
-                before = words[start[:going] + t]
-                states.append(h)
-                targets.append(before)
-                rows.append(np.arange(going))
-            logs = self.log_probability(np.concatenate(states), np.concatenate(targets))
-            total += np.bincount(np.concatenate(rows), logs, len(total))
         out = np.empty(len(order))
-        out[order] = total / np.log(10)
-        return out
+        for low in range(0, len(order), TOGETHER):
+            own = order[low:low + TOGETHER]
+            with np.errstate(over="ignore"):
+                out[own] = self._likelihood(words, first[:-1][own], length[own], window * TOGETHER)
+        return out / np.log(10)
+
+    def _likelihood(self, words: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
+        """Natural logarithm for sequences of falling length; ``most`` states, and those of one step more, are held."""
+        w, total = self.width, np.zeros(len(length))
+        gates, inputs, state = -(self.table[:, :2 * w] + self.gates[:2 * w]), self.table[:, 2 * w:] + self.gates[2 * w:], -self.state
+        h, before, going = np.zeros((len(length), w), np.float32), np.full(len(length), END), len(length)
+        # How many sequences are longer than ``t``, for every ``t``.
+        longer = len(length) - np.cumsum(np.bincount(length, minlength=1))
+        states, targets, rows, held, every = [], [], [], 0, np.arange(len(length))
+        for t in range(int(length.max(initial=0))):
+            if longer[t] < going:
+                going = int(longer[t])
+                h, before, start = h[:going], before[:going], start[:going]
+            zr = gates.take(before, axis=0)
+            zr += h @ state
+            _sigmoids_of_negated(zr)
+            c = inputs.take(before, axis=0)
+            c += (zr[:, w:] * h) @ self.candidate
+            np.tanh(c, out=c)
+            c -= h
+            c *= zr[:, :w]
+            c += h
+            h, before = c, words[start + t]
+            states.append(h)
+            targets.append(before)
+            rows.append(every[:going])
+            held += going
+            if held >= most or t + 1 == len(longer) - 1:
+                logs = self.log_probability(np.concatenate(states), np.concatenate(targets))
+                total += np.bincount(np.concatenate(rows), logs, len(total))
+                states, targets, rows, held = [], [], [], 0
+        return total
 
     def gradients(self, x: np.ndarray, keep: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean loss over one window, the state after it, and the loss.
@@ -161,56 +210,88 @@ class Network:
         ``x, y`` are steps by lanes; ``keep`` is 0 where a lane begins a document
         and its state starts anew, ``live`` is false beyond a lane's end.
         """
-        w, steps = self.width, len(x)
-        held, outs = [], np.empty((steps, *h.shape), h.dtype)
+        w, (steps, lanes) = self.width, x.shape
+        kind, whole = self.state.dtype, keep.all(axis=1)
+        flat_x = x.ravel()
+        zr = -(self.table[:, :2 * w] + self.gates[:2 * w]).take(flat_x, axis=0).reshape(steps, lanes, 2 * w)
+        c = (self.table[:, 2 * w:] + self.gates[2 * w:]).take(flat_x, axis=0).reshape(steps, lanes, w)
+        state, before, reset, outs = -self.state, *(np.empty((steps, lanes, w), kind) for _ in range(3))
         for t in range(steps):
-            h = h * keep[t][:, None]
-            z, r, c, after = self._step(x[t], h)
-            held.append((h, z, r, c))
-            outs[t] = h = after
-        n = max(1, int(live.sum()))
-        words = y[live]
-        order, classes = self._by_class(words)
-        states, words = outs[live][order], words[order]
-        logs, d_class = _softmax(states @ self.to_class + self.class_bias)
-        loss = 0.0
-        back = np.empty_like(states)
-        to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        for k, part in classes:
-            own = slice(k * self.classes, (k + 1) * self.classes)
-            inside, d = _softmax(states[part] @ self.to_word[own].T + self.word_bias[own])
-            at, word = np.arange(len(d)), words[part] - own.start
-            loss -= inside[at, word].sum() + logs[part, k].sum()
-            d[at, word] -= 1
-            d /= n
-            d_class[part, k] -= 1
-            to_word[own], word_bias[own] = d.T @ states[part], d.sum(0)
-            back[part] = d @ self.to_word[own]
-        d_class /= n
-        grad = {"to_class": states.T @ d_class, "class_bias": d_class.sum(0), "to_word": to_word, "word_bias": word_bias}
-        back += d_class @ self.to_class.T
-        unsorted = np.empty_like(back)
-        unsorted[order] = back
-        back = unsorted
-        douts = np.zeros_like(outs)
-        douts[live] = back
-        dg = np.empty((steps, x.shape[1], 3 * w), np.float32)
-        dh = np.zeros_like(h)
+            hp, gate, out = before[t], zr[t], outs[t]
+            hp[:] = h if whole[t] else h * keep[t][:, None]
+            gate += hp @ state
+            _sigmoids_of_negated(gate)
+            np.multiply(gate[:, w:], hp, out=reset[t])
+            c[t] += reset[t] @ self.candidate
+            np.tanh(c[t], out=c[t])
+            np.subtract(c[t], hp, out=out)
+            out *= gate[:, :w]
+            out += hp
+            h = out
+        back, loss, grad = self._output_gradients(outs.reshape(-1, w), y.ravel(), np.flatnonzero(live))
+        douts = back.reshape(outs.shape)
+        z, r = np.ascontiguousarray(zr[:, :, :w]), np.ascontiguousarray(zr[:, :, w:])
+        rest = 1 - z
+        # What a gradient of the state is multiplied by for each part of a step.
+        by_z, by_c, by_r = (c - before) * z * rest, z * (1 - c * c), reset * (1 - r)
+        dzr, dc = np.empty_like(zr), np.empty_like(c)
+        dh = np.zeros((lanes, w), kind)
+        to_candidate, to_state = self.candidate.T, self.state.T
         for t in reversed(range(steps)):
-            hp, z, r, c = held[t]
-            dh = dh + douts[t]
-            dz, dc = dh * (c - hp) * z * (1 - z), dh * z * (1 - c * c)
-            drh = dc @ self.candidate.T
-            dr = drh * hp * r * (1 - r)
-            dg[t, :, :w], dg[t, :, w:2 * w], dg[t, :, 2 * w:] = dz, dr, dc
-            dh = (dh * (1 - z) + drh * r + dg[t, :, :2 * w] @ self.state.T) * keep[t][:, None]
-        hp, r = np.stack([s[0] for s in held]).reshape(-1, w), np.stack([s[2] for s in held]).reshape(-1, w)
-        flat = dg.reshape(-1, 3 * w)
-        grad |= {"state": hp.T @ flat[:, :2 * w], "candidate": (r * hp).T @ flat[:, 2 * w:], "gates": flat.sum(0)}
-        order = np.argsort(x.ravel(), kind="stable")
-        used, begin = np.unique(x.ravel()[order], return_index=True)
-        grad["table"] = (used, np.add.reduceat(flat[order], begin, axis=0))
-        return grad, h, loss / n
+            dh += douts[t]
+            np.multiply(dh, by_z[t], out=dzr[t, :, :w])
+            np.multiply(dh, by_c[t], out=dc[t])
+            drh = dc[t] @ to_candidate
+            np.multiply(drh, by_r[t], out=dzr[t, :, w:])
+            dh *= rest[t]
+            drh *= r[t]
+            dh += drh
+            dh += dzr[t] @ to_state
+            if not whole[t]:
+                dh *= keep[t][:, None]
+        dzr, dc = dzr.reshape(-1, 2 * w), dc.reshape(-1, w)
+        flat = np.concatenate((dzr, dc), axis=1)
+        grad |= {"state": before.reshape(-1, w).T @ dzr, "candidate": reset.reshape(-1, w).T @ dc, "gates": np.ones(len(flat), kind) @ flat}
+        grad["table"] = _sums_by(flat_x, flat)
+        return grad, h.copy(), loss
+
+    def _output_gradients(self, outs: np.ndarray, words: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, float, dict]:
+        """Gradients of the mean loss of the rows ``live`` by the states, the loss, and gradients of the output's parameters."""
+        n, kind, size = max(1, len(live)), outs.dtype, self.classes
+        order, _ = self._by_class(words[live])
+        order = live[order]
+        states, words = outs.take(order, axis=0), words[order]
+        of, every = words // size, np.arange(len(words))
+        x, d_class, total = _exponentials(states @ self.to_class + self.class_bias)
+        loss = -float((x[every, of] - np.log(total)).sum())
+        d_class *= (1 / (total * n))[:, None].astype(kind)
+        d_class[every, of] -= kind.type(1 / n)
+        sorted_back = d_class @ self.to_class.T
+        to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
+        by_class, bias_by_class = self.to_word.reshape(size, size, -1), self.word_bias.reshape(size, size)
+        # Classes of about as many rows are worked on together, filled up to the largest.
+        counts = np.bincount(of, minlength=size)
+        starts = np.cumsum(counts) - counts
+        magnitude = np.frexp(counts)[1]
+        for m in np.unique(magnitude[counts > 0]):
+            own = np.flatnonzero(magnitude == m)
+            column = np.arange(counts[own].max())
+            there = column < counts[own][:, None]
+            place = np.where(there, starts[own][:, None] + column, 0)
+            some, matrix = states.take(place, axis=0), by_class[own]
+            x, d, total = _exponentials(some @ matrix.transpose(0, 2, 1) + bias_by_class[own][:, None])
+            a, b = np.nonzero(there)
+            at = place[a, b]
+            word = words[at] % size
+            loss -= float((x[a, b, word] - np.log(total[a, b])).sum())
+            d *= (there / (total * n))[:, :, None].astype(kind)
+            d[a, b, word] -= kind.type(1 / n)
+            to_word.reshape(by_class.shape)[own] = d.transpose(0, 2, 1) @ some
+            word_bias.reshape(size, size)[own] = np.ones(d.shape[1], kind) @ d
+            sorted_back[at] += (d @ matrix)[a, b]
+        back = np.zeros_like(outs)
+        back[order] = sorted_back
+        return back, loss / n, {"to_class": states.T @ d_class, "class_bias": np.ones(len(order), kind) @ d_class, "to_word": to_word, "word_bias": word_bias}
 
 
 class Trainer:
@@ -226,12 +307,14 @@ class Trainer:
             rows = slice(None)
             if name == "table":
                 rows, d = d
-            size = float(np.sqrt((d * d).sum()))
+            size = float(np.sqrt(np.vdot(d, d)))
             if size > 1:
                 d = d / size
             past, value = self.past[name], getattr(self.network, name)
-            past[rows] += d * d
-            value[rows] -= self.rate * d / np.sqrt(past[rows])
+            so_far = past[rows]
+            so_far += d * d
+            past[rows] = so_far
+            value[rows] -= self.rate * d / np.sqrt(so_far)
 
     def learn(self, words: np.ndarray, first: np.ndarray) -> None:
         """One pass over sequences, dealt to lanes of about equal length."""
@@ -279,7 +362,7 @@ class Vocabulary:
     @property
     def known(self) -> int:
         """Words the network knows; two numbers stand for the end and the unknown."""
-        return min(len(self.words), self.classes**2 - 2)
+        return min(len(self.counts), self.classes**2 - 2)
 
     @property
     def rare(self) -> tuple[int, int]:
@@ -301,14 +384,15 @@ class Vocabulary:
         return Network(frequency.astype(float), self.classes, width)
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text, A to Z in lower case."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), GIVEN, TAKEN), " "), "")
-
-
 def count_words(training: DataFrame) -> DataFrame:
-    """``word, n`` over all texts."""
-    return training.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """``word, n`` over all texts, counted in groups of texts before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, GROUP):
+            dictionary, code, _, _ = _words(group.column("text").chunk(0))
+            counts = np.bincount(code, minlength=len(dictionary))
+            yield pa.RecordBatch.from_arrays([_strings(dictionary), pa.array(counts, pa.int64())], ["word", "n"])
+
+    return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, documents: int, classes: int) -> Vocabulary:
@@ -322,9 +406,10 @@ def vocabulary(counts: DataFrame, documents: int, classes: int) -> Vocabulary:
     by_rank = sorted(((r["rank"], r["words"], r["n"]) for r in counts.groupBy(rank).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
     reached = np.cumsum([words for _, words, _ in by_rank])
     enough = int(np.searchsorted(reached, HEAD, side="right"))
-    top = counts.where(rank >= by_rank[enough - 1][0]).collect() if enough else []
-    top.sort(key=lambda r: (-r["n"], r["word"]))
-    return Vocabulary([r["word"].encode() for r in top], np.array([r["n"] for r in top], np.int64), classes,
+    top = counts.where(rank >= by_rank[enough - 1][0] if enough else F.lit(False)).select("word", "n").toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    words = top.column("word").cast(pa.large_string()).cast(pa.large_binary())
+    return Vocabulary(words.to_pylist(), top.column("n").to_numpy().astype(np.int64), classes,
                       sum(n for *_, n in by_rank) + documents, sum(words for _, words, _ in by_rank) + min(1, documents), documents)
 
 
@@ -352,14 +437,23 @@ def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _numbered(texts: pa.Array, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, Callable]:
-    """For all words of all texts the place among the head words or -1, where texts begin, and a function giving words themselves."""
+def _strings(words: pa.Array) -> pa.Array:
+    return words.cast(pa.binary()).cast(pa.string())
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, Callable]:
+    """The different words of all texts, for every word its place among them, where texts begin, and a function giving words themselves."""
     data, bounds = lexical.joined(texts)
     data = lexical.LOWER[data]
     starts, ends, first = lexical.words(data, bounds)
-    dictionary, code = lexical.coded(data, starts, ends)
-    places = np.array([place.get(w, -1) for w in dictionary.to_pylist()] or [0], np.int64)
-    return places[code], first, lambda which: lexical.slices(data, starts[which], ends[which])
+    return *lexical.coded(data, starts, ends), first, lambda which: lexical.slices(data, starts[which], ends[which])
+
+
+def _numbered(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """For all words of all texts the place among the known words or -1, where texts begin, and a function giving words themselves."""
+    dictionary, code, first, word = _words(texts)
+    places = pc.fill_null(pc.index_in(dictionary, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return places[code], first, word
 
 
 def _sequences(places: np.ndarray, first: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
@@ -372,20 +466,20 @@ def train(training: DataFrame, vocab: Vocabulary, width: int = 32) -> Network:
     """A network trained once on every row of ``training``."""
     spark = training.sparkSession
     network = vocab.network(width)
-    place = {w: i for i, w in enumerate(vocab.words[:vocab.known])}
+    known = pa.array(vocab.words[:vocab.known], pa.large_binary())
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(sum(ROUNDS)))
     begin = 0
     for share in ROUNDS:
         rows = training.where((turn >= begin) & (turn < begin + share)).select("text")
         begin += share
-        shared = spark.sparkContext.broadcast((network, place))
+        shared = spark.sparkContext.broadcast((network, known))
 
         def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, places = shared.value
+            start, known = shared.value
             trainer = Trainer(start.filled(start.flat()))
             for group in _grouped(batches, LEARNT):
-                found, first, _ = _numbered(group.column("text").chunk(0), places)
-                trainer.learn(*_sequences(found, first, len(places)))
+                found, first, _ = _numbered(group.column("text").chunk(0), known)
+                trainer.learn(*_sequences(found, first, len(known)))
             if trainer.words:
                 flat = trainer.network.flat().astype(np.float64) * trainer.words
                 parts = [flat[at:at + CHUNK].tobytes() for at in range(0, len(flat), CHUNK)]
@@ -419,25 +513,24 @@ def score(documents: DataFrame, held_out: Column, classes: int = 48, width: int
     counts = written(count_words(training), "counts")
     vocab = vocabulary(counts, training.count(), classes)
     network = train(training, vocab, width)
-    place = {w: i for i, w in enumerate(vocab.words)}
-    shared = documents.sparkSession.sparkContext.broadcast((network, vocab, place))
+    shared = documents.sparkSession.sparkContext.broadcast((network, replace(vocab, words=[]), pa.array(vocab.words, pa.large_binary())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, vocab, place = shared.value
+        network, vocab, head = shared.value
         base = np.log10(vocab.base(vocab.counts.astype(float)))
         inside = np.log10(vocab.inside(vocab.counts.astype(float)))
         inside[:vocab.known] = 0
         end = np.log10(vocab.base(float(vocab.documents)))
         row = TaskContext.get().partitionId() << 33
         for group in _grouped(batches, GROUP):
-            places, first, word = _numbered(group.column("text").chunk(0), place)
+            places, first, word = _numbered(group.column("text").chunk(0), head)
             texts, of = len(group), lexical.owners(first)
             there = places >= 0
             sums = lambda values: np.bincount(of[there], values[places[there]], texts)
             likely = network.likelihood(*_sequences(places, first, vocab.known))
             rest = np.flatnonzero(~there)
             tail = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(rest, first), pa.int32()), word(rest).cast(pa.binary()).cast(pa.string()))
+                pa.array(np.searchsorted(rest, first), pa.int32()), _strings(word(rest)))
             yield from pa.Table.from_arrays([
                 pa.array(np.arange(row, row + texts)), group.column("doc_id"), group.column("held_out"),
                 pa.array(np.diff(first) + 1), pa.array(np.bincount(of[there], minlength=texts) + min(1, vocab.documents)),
