@@ -568,6 +568,44 @@ def test_a_window_takes_few_softmaxes_and_their_gradients_are_those_of_each_row(
     assert all(np.allclose(grad[n], wanted[n], atol=1e-5) for n in grad)
 
 
+def test_gradients_in_blocks_take_little_memory(monkeypatch):
+    rng, size = np.random.default_rng(6), 48
+    net = recurrent.Network(np.ones(size * size), size, 32)
+    net = net.filled(net.flat() + rng.normal(0, 0.2, len(net.flat())))
+    words = np.minimum((rng.pareto(0.4, (2, 24, 96)) * 5).astype(int), size * size - 1)
+    keep, live = np.ones((24, 96), np.float32), np.ones((24, 96), bool)
+    keep[0], keep[7, 3], live[20:, 90:] = 0, 0, False
+    run = lambda: net.gradients(words[0], keep, words[1], live, np.zeros((96, 32), np.float32))
+    tracemalloc.start()
+    wanted, h, loss = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+    for rows in (1, 500, 9_999):
+        monkeypatch.setattr(recurrent, "BACK", rows)
+        grad, again, other = run()
+        assert math.isclose(loss, other) and (h == again).all()
+        assert (grad["table"][0] == wanted["table"][0]).all() and np.allclose(grad["table"][1], wanted["table"][1], atol=1e-6)
+        assert all(np.allclose(grad[n], wanted[n], atol=1e-6) for n in net.NAMES if n != "table")
+
+
+def test_one_step_of_adagrad():
+    rng = np.random.default_rng(8)
+    net = recurrent.Network(np.ones(16), 4, 6)
+    trainer = recurrent.Trainer(net.filled(net.flat()))
+    grads = [{n: rng.normal(0, s, getattr(net, n).shape).astype(np.float32) for n in net.NAMES} for s in (0.01, 3)]
+    past = {n: 1e-6 for n in net.NAMES}
+    values = {n: getattr(net, n).astype(float) for n in net.NAMES}
+    for grad in grads:
+        trainer._apply(grad | {"table": (np.array([3, 1]), grad["table"][[3, 1]])})
+        for n, d in grad.items():
+            d = d.astype(float) * np.isin(np.arange(len(d)), (1, 3))[:, None] if n == "table" else d.astype(float)
+            d /= max(1, np.sqrt((d * d).sum()))
+            past[n] = past[n] + d * d
+            values[n] -= 0.08 * d / np.sqrt(past[n])
+    assert all(np.allclose(getattr(trainer.network, n), values[n], atol=1e-5) for n in net.NAMES)
+
+
 def test_softmax_of_large_and_far_apart_logits():
     x = np.array([[200, 100, -300], [-200, -201, -199], [0, 0, 0]], np.float32)
     wanted = x - x.max(1, keepdims=True).astype(float)

@@ -47,6 +47,8 @@ LEARNT, GROUP = 1_024, 4_096
 GROUP_BYTES = 16 << 20
 #: Rows of states worked on at once, and documents whose states go on together: what a core's cache holds.
 ROWS, TOGETHER = 1_024, 512
+#: Rows of states whose gradients are worked out together.
+BACK = 384
 #: Parameters in one row when replicas are averaged.
 CHUNK = 8_192
 
@@ -62,39 +64,57 @@ def _sigmoids_of_negated(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
-def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``x``, its exponentials and their sums by row; ``x`` comes back shifted if they would not fit otherwise."""
-    with np.errstate(over="ignore"):
-        found = np.exp(x)
-    total = found @ np.ones(x.shape[-1], x.dtype)
-    if total.size and not (total.min() > 1e-25 and total.max() < 1e25):
-        x = x - x.max(axis=-1, keepdims=True)
-        found = np.exp(x)
-        total = found.sum(axis=-1)
-    return x, found, total
+def _too_large(x: np.ndarray) -> np.ndarray | float:
+    """What is to be taken off each row so that its exponentials fit; mostly nothing."""
+    return x.max(axis=-1, keepdims=True) if x.size and not (x.max() < 50 and x.min() > -50) else 0.0
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row in the place of ``x``, up to a factor, and their sums by row."""
+    shift = _too_large(x)
+    if np.ndim(shift):
+        x -= shift
+    np.exp(x, out=x)
+    return x, x.dot(np.ones(x.shape[-1], x.dtype))
 
 
 def _log_share(x: np.ndarray, column: int | np.ndarray) -> np.ndarray:
     """Logarithm of one column's share of each row's exponentials."""
-    x, _, total = _exponentials(x)
-    return x[np.arange(len(x)), column] - np.log(total)
+    shift = _too_large(x)
+    if np.ndim(shift):
+        x = x - shift
+    return x[np.arange(len(x)), column] - np.log(np.exp(x).dot(np.ones(x.shape[-1], x.dtype)))
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 on; those of two bytes are sorted by their digits."""
+    return np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")
+
+
+def _with_ones(rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The rows asked for, a one behind each: products with weights and bias together then need no sum."""
+    out = np.ones((len(which), rows.shape[1] + 1), rows.dtype)
+    out[:, :-1] = rows.take(which, axis=0)
+    return out
 
 
 def _sums_by(keys: np.ndarray, rows: np.ndarray, many: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, the most frequent first, and the sum of each one's rows."""
-    rows = rows.take(np.argsort(keys, kind="stable"), axis=0)
-    used, counts = np.unique(keys, return_counts=True)
+    """The different keys, the most frequent first, and the sum of each one's rows, which the last but one axis counts."""
+    order = _order(keys)
+    keys, rows = keys.take(order), rows.take(order, axis=-2)
+    begin = np.flatnonzero(np.concatenate((np.ones(1, bool), keys[1:] != keys[:-1]))[:len(keys)])
+    counts = np.append(begin[1:], len(keys)) - begin
     order = np.argsort(-counts, kind="stable")
-    begin, counts = (np.cumsum(counts) - counts)[order], counts[order]
+    begin, counts = begin[order], counts[order]
     # Frequent keys one by one; of all others the first rows, the second rows and so on.
     often = int(np.searchsorted(-counts, -many))
-    sums = rows.take(begin, axis=0)
+    sums = rows.take(begin, axis=-2)
     for i in range(often):
-        sums[i] = np.ones(counts[i], rows.dtype) @ rows[begin[i]:begin[i] + counts[i]]
-    for k in range(1, int(counts[often:].max(initial=0))):
-        more = int(np.searchsorted(-counts, -k))
-        sums[often:more] += rows.take(begin[often:more] + k, axis=0)
-    return used[order], sums
+        sums[..., i, :] = np.ones(counts[i], rows.dtype) @ rows[..., begin[i]:begin[i] + counts[i], :]
+    most = int(counts[often:].max(initial=0))
+    for k, more in enumerate(np.searchsorted(-counts, -np.arange(1, most)), 1):
+        sums[..., often:more, :] += rows.take(begin[often:more] + k, axis=-2)
+    return keys[begin], sums
 
 
 class Network:
@@ -140,25 +160,30 @@ class Network:
         c = np.tanh(g[:, 2 * w:] + (r * h) @ self.candidate)
         return z, r, c, h + z * (c - h)
 
-    def _by_class(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-        """An order of the words by class, and where in it each class is."""
-        of = words // self.classes
-        order = np.argsort(of, kind="stable")
-        cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1), len(order)]
-        return order, [(int(of[order[a]]), slice(a, b)) for a, b in zip(cuts, cuts[1:]) if b > a]
+    def _by_gate(self) -> np.ndarray:
+        """What states are multiplied by for the update gate and for the reset gate, one matrix each."""
+        return np.ascontiguousarray(self.state.reshape(self.width, 2, self.width).transpose(1, 0, 2))
+
+    def _output(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with their bias, for the class and for the words of each class."""
+        return (np.concatenate((self.to_class, self.class_bias[None])),
+                np.concatenate((self.to_word, self.word_bias[:, None]), axis=1).reshape(self.classes, self.classes, -1))
 
     def log_probability(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability after the states ``h``."""
-        out = np.zeros(len(words))
-        order, classes = self._by_class(words)
-        for c, part in classes:
-            own = slice(c * self.classes, (c + 1) * self.classes)
-            to_word = self.to_word[own].T
-            for low in range(part.start, part.stop, ROWS):
-                some = order[low:min(low + ROWS, part.stop)]
-                states = h[some]
-                out[some] = _log_share(states @ self.to_class + self.class_bias, c) + _log_share(
-                    states @ to_word + self.word_bias[own], words[some] - own.start)
+        order = _order(words // self.classes)
+        to_class, to_word = self._output()
+        out = np.empty(len(words))
+        for low in range(0, len(words), ROWS):
+            some = order[low:low + ROWS]
+            states, own = _with_ones(h, some), words.take(some)
+            of = own // self.classes
+            logs = _log_share(states @ to_class, of)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for begin, end in zip(cuts, cuts[1:]):
+                c = of[begin]
+                logs[begin:end] += _log_share(states[begin:end] @ to_word[c].T, own[begin:end] - c * self.classes)
+            out[some] = logs
         return out
 
     def likelihood(self, words: np.ndarray, first: np.ndarray, window: int = 32) -> np.ndarray:
@@ -175,7 +200,9 @@ class Network:
     def _likelihood(self, words: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
         """Natural logarithm for sequences of falling length; ``most`` states, and those of one step more, are held."""
         w, total = self.width, np.zeros(len(length))
-        gates, inputs, state = -(self.table[:, :2 * w] + self.gates[:2 * w]), self.table[:, 2 * w:] + self.gates[2 * w:], -self.state
+        inputs = self.table + self.gates
+        # Update and reset gate behind one another, each without gaps.
+        gates, inputs, state = -np.ascontiguousarray(inputs[:, :2 * w].reshape(-1, 2, w).transpose(1, 0, 2)), inputs[:, 2 * w:].copy(), -self._by_gate()
         h, before, going = np.zeros((len(length), w), np.float32), np.full(len(length), END), len(length)
         # How many sequences are longer than ``t``, for every ``t``.
         longer = len(length) - np.cumsum(np.bincount(length, minlength=1))
@@ -184,14 +211,16 @@ class Network:
             if longer[t] < going:
                 going = int(longer[t])
                 h, before, start = h[:going], before[:going], start[:going]
-            zr = gates.take(before, axis=0)
+            zr = gates.take(before, axis=1)
             zr += h @ state
             _sigmoids_of_negated(zr)
+            z, r = zr
+            r *= h
             c = inputs.take(before, axis=0)
-            c += (zr[:, w:] * h) @ self.candidate
+            c += r @ self.candidate
             np.tanh(c, out=c)
             c -= h
-            c *= zr[:, :w]
+            c *= z
             c += h
             h, before = c, words[start + t]
             states.append(h)
@@ -212,86 +241,118 @@ class Network:
         """
         w, (steps, lanes) = self.width, x.shape
         kind, whole = self.state.dtype, keep.all(axis=1)
-        flat_x = x.ravel()
-        zr = -(self.table[:, :2 * w] + self.gates[:2 * w]).take(flat_x, axis=0).reshape(steps, lanes, 2 * w)
-        c = (self.table[:, 2 * w:] + self.gates[2 * w:]).take(flat_x, axis=0).reshape(steps, lanes, w)
-        state, before, reset, outs = -self.state, *(np.empty((steps, lanes, w), kind) for _ in range(3))
+        # By step the update gate and behind it the reset gate, each without gaps.
+        table, bias, index = self.table.reshape(-1, w), np.tile(self.gates.reshape(3, w), lanes), 3 * x
+        gates = table.take(np.stack((index, index + 1), axis=1), axis=0).reshape(steps, 2, -1)
+        np.subtract(-bias[:2], gates, out=gates)
+        c = table.take(index + 2, axis=0).reshape(steps, -1)
+        c += bias[2]
+        gates, c = gates.reshape(steps, 2, lanes, w), c.reshape(steps, lanes, w)
+        by_gate = self._by_gate()
+        state, before, outs = -by_gate, *(np.empty((steps, lanes, w), kind) for _ in range(2))
         for t in range(steps):
-            hp, gate, out = before[t], zr[t], outs[t]
-            hp[:] = h if whole[t] else h * keep[t][:, None]
+            hp, gate, candidate, out = before[t], gates[t], c[t], outs[t]
+            if whole[t]:
+                hp[:] = h
+            else:
+                np.multiply(h, keep[t][:, None], out=hp)
             gate += hp @ state
             _sigmoids_of_negated(gate)
-            np.multiply(gate[:, w:], hp, out=reset[t])
-            c[t] += reset[t] @ self.candidate
-            np.tanh(c[t], out=c[t])
-            np.subtract(c[t], hp, out=out)
-            out *= gate[:, :w]
+            candidate += np.dot(gate[1] * hp, self.candidate)
+            np.tanh(candidate, out=candidate)
+            np.subtract(candidate, hp, out=out)
+            out *= gate[0]
             out += hp
             h = out
         back, loss, grad = self._output_gradients(outs.reshape(-1, w), y.ravel(), np.flatnonzero(live))
         douts = back.reshape(outs.shape)
-        z, r = np.ascontiguousarray(zr[:, :, :w]), np.ascontiguousarray(zr[:, :, w:])
-        rest = 1 - z
-        # What a gradient of the state is multiplied by for each part of a step.
-        by_z, by_c, by_r = (c - before) * z * rest, z * (1 - c * c), reset * (1 - r)
-        dzr, dc = np.empty_like(zr), np.empty_like(c)
-        dh = np.zeros((lanes, w), kind)
-        to_candidate, to_state = self.candidate.T, self.state.T
-        for t in reversed(range(steps)):
-            dh += douts[t]
-            np.multiply(dh, by_z[t], out=dzr[t, :, :w])
-            np.multiply(dh, by_c[t], out=dc[t])
-            drh = dc[t] @ to_candidate
-            np.multiply(drh, by_r[t], out=dzr[t, :, w:])
-            dh *= rest[t]
-            drh *= r[t]
-            dh += drh
-            dh += dzr[t] @ to_state
-            if not whole[t]:
-                dh *= keep[t][:, None]
-        dzr, dc = dzr.reshape(-1, 2 * w), dc.reshape(-1, w)
-        flat = np.concatenate((dzr, dc), axis=1)
-        grad |= {"state": before.reshape(-1, w).T @ dzr, "candidate": reset.reshape(-1, w).T @ dc, "gates": np.ones(len(flat), kind) @ flat}
-        grad["table"] = _sums_by(flat_x, flat)
-        return grad, h.copy(), loss
+        dh, d_state, d_candidate = np.zeros((lanes, w), kind), np.zeros((2, w, w), kind), np.zeros((w, w), kind)
+        to_candidate, (to_z, to_r) = np.ascontiguousarray(self.candidate.T), np.ascontiguousarray(by_gate.transpose(0, 2, 1))
+        # Some steps at once, so that a cache holds them.
+        parts, most = np.empty((3, steps, lanes, w), kind), max(1, BACK // max(1, lanes))
+        for low in reversed(range(0, steps, most)):
+            own = slice(low, low + most)
+            hs, cs, zs, rs = before[own], c[own], gates[own, 0], gates[own, 1]
+            reset, rest = rs * hs, 1 - zs
+            # What a gradient of the state is multiplied by for each part of a step.
+            by_z = cs - hs
+            by_z *= zs
+            by_z *= rest
+            by_c = cs * cs
+            np.subtract(1, by_c, out=by_c)
+            by_c *= zs
+            by_r = 1 - rs
+            by_r *= reset
+            found = parts[:, own]
+            for k in reversed(range(len(hs))):
+                dz, dr, dc = found[:, k]
+                dh += douts[low + k]
+                np.multiply(dh, by_z[k], out=dz)
+                np.multiply(dh, by_c[k], out=dc)
+                drh = np.dot(dc, to_candidate)
+                np.multiply(drh, by_r[k], out=dr)
+                dh *= rest[k]
+                drh *= rs[k]
+                dh += drh
+                dh += np.dot(dz, to_z)
+                dh += np.dot(dr, to_r)
+                if not whole[low + k]:
+                    dh *= keep[low + k][:, None]
+            d_state += hs.reshape(-1, w).T @ found[:2].reshape(2, -1, w)
+            d_candidate += np.dot(reset.reshape(-1, w).T, found[2].reshape(-1, w))
+        parts = parts.reshape(3, -1, w)
+        used, sums = _sums_by(x.ravel(), parts)
+        grad |= {"state": d_state.transpose(1, 0, 2).reshape(w, 2 * w), "candidate": d_candidate, "gates": (np.ones(x.size, kind) @ parts).ravel(),
+                 "table": (used, sums.transpose(1, 0, 2).reshape(-1, 3 * w))}
+        return grad, outs[-1].copy(), loss
 
     def _output_gradients(self, outs: np.ndarray, words: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, float, dict]:
         """Gradients of the mean loss of the rows ``live`` by the states, the loss, and gradients of the output's parameters."""
-        n, kind, size = max(1, len(live)), outs.dtype, self.classes
-        order, _ = self._by_class(words[live])
-        order = live[order]
-        states, words = outs.take(order, axis=0), words[order]
+        n, kind, size, w = max(1, len(live)), outs.dtype, self.classes, self.width
+        order = live[_order(words[live] // size)]
+        states, words = _with_ones(outs, order), words[order]
         of, every = words // size, np.arange(len(words))
-        x, d_class, total = _exponentials(states @ self.to_class + self.class_bias)
-        loss = -float((x[every, of] - np.log(total)).sum())
-        d_class *= (1 / (total * n))[:, None].astype(kind)
-        d_class[every, of] -= kind.type(1 / n)
-        sorted_back = d_class @ self.to_class.T
-        to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        by_class, bias_by_class = self.to_word.reshape(size, size, -1), self.word_bias.reshape(size, size)
-        # Classes of about as many rows are worked on together, filled up to the largest.
+        to_class, by_class = self._output()
+        d, total = _exponentials(states @ to_class)
+        total *= n
+        d /= total[:, None]
+        share = d[every, of]
+        d[every, of] = share - kind.type(1 / n)
+        loss = -np.log(share * n).sum()
+        sorted_back, class_sums = d @ self.to_class.T, states.T @ d
+        sums = np.zeros((size, size, w + 1), kind)
         counts = np.bincount(of, minlength=size)
         starts = np.cumsum(counts) - counts
+        # Classes of about as many rows are worked on together, filled up to the largest.
         magnitude = np.frexp(counts)[1]
         for m in np.unique(magnitude[counts > 0]):
             own = np.flatnonzero(magnitude == m)
-            column = np.arange(counts[own].max())
-            there = column < counts[own][:, None]
-            place = np.where(there, starts[own][:, None] + column, 0)
-            some, matrix = states.take(place, axis=0), by_class[own]
-            x, d, total = _exponentials(some @ matrix.transpose(0, 2, 1) + bias_by_class[own][:, None])
-            a, b = np.nonzero(there)
-            at = place[a, b]
+            if len(own) == 1:
+                own, at = int(own[0]), slice(starts[own[0]], starts[own[0]] + counts[own[0]])
+                some, slot, there = states[at], every[:counts[own]], True
+            else:
+                column = np.arange(counts[own].max())
+                there = column < counts[own][:, None]
+                place = np.where(there, starts[own][:, None] + column, 0)
+                slot = np.flatnonzero(there)
+                at = place.ravel()[slot]
+                some, there = states.take(place, axis=0), there.ravel()
+            matrix = by_class[own]
+            d = some @ matrix.swapaxes(-1, -2)
+            each, total = _exponentials(d.reshape(-1, size))
+            total *= n
+            each *= np.divide(there, total, dtype=kind)[:, None]
             word = words[at] % size
-            loss -= float((x[a, b, word] - np.log(total[a, b])).sum())
-            d *= (there / (total * n))[:, :, None].astype(kind)
-            d[a, b, word] -= kind.type(1 / n)
-            to_word.reshape(by_class.shape)[own] = d.transpose(0, 2, 1) @ some
-            word_bias.reshape(size, size)[own] = np.ones(d.shape[1], kind) @ d
-            sorted_back[at] += (d @ matrix)[a, b]
+            share = each[slot, word]
+            each[slot, word] = share - kind.type(1 / n)
+            loss -= np.log(share * n).sum()
+            sums[own] = d.swapaxes(-1, -2) @ some
+            more = (d @ matrix[..., :w]).reshape(-1, w)
+            sorted_back[at] += more if len(more) == len(slot) else more.take(slot, axis=0)
         back = np.zeros_like(outs)
         back[order] = sorted_back
-        return back, loss / n, {"to_class": states.T @ d_class, "class_bias": np.ones(len(order), kind) @ d_class, "to_word": to_word, "word_bias": word_bias}
+        sums = sums.reshape(-1, w + 1)
+        return back, float(loss) / n, {"to_class": class_sums[:w], "class_bias": class_sums[w], "to_word": np.ascontiguousarray(sums[:, :w]), "word_bias": sums[:, w].copy()}
 
 
 class Trainer:
@@ -311,10 +372,14 @@ class Trainer:
             if size > 1:
                 d = d / size
             past, value = self.past[name], getattr(self.network, name)
-            so_far = past[rows]
-            so_far += d * d
-            past[rows] = so_far
-            value[rows] -= self.rate * d / np.sqrt(so_far)
+            so_far, step = past[rows], d * d
+            so_far += step
+            if name == "table":
+                past[rows] = so_far
+            np.sqrt(so_far, out=step)
+            np.divide(d, step, out=step)
+            step *= self.rate
+            value[rows] -= step
 
     def learn(self, words: np.ndarray, first: np.ndarray) -> None:
         """One pass over sequences, dealt to lanes of about equal length."""
@@ -388,7 +453,7 @@ def count_words(training: DataFrame) -> DataFrame:
     """``word, n`` over all texts, counted in groups of texts before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, GROUP):
-            dictionary, code, _, _ = _words(group.column("text").chunk(0))
+            dictionary, code = lexical.coded(*_words(group.column("text").chunk(0))[:3])
             counts = np.bincount(code, minlength=len(dictionary))
             yield pa.RecordBatch.from_arrays([_strings(dictionary), pa.array(counts, pa.int64())], ["word", "n"])
 
@@ -441,19 +506,18 @@ def _strings(words: pa.Array) -> pa.Array:
     return words.cast(pa.binary()).cast(pa.string())
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, Callable]:
-    """The different words of all texts, for every word its place among them, where texts begin, and a function giving words themselves."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in lower case, where words begin and end in them, and which word is each text's first."""
     data, bounds = lexical.joined(texts)
     data = lexical.LOWER[data]
-    starts, ends, first = lexical.words(data, bounds)
-    return *lexical.coded(data, starts, ends), first, lambda which: lexical.slices(data, starts[which], ends[which])
+    return data, *lexical.words(data, bounds)
 
 
 def _numbered(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable]:
     """For all words of all texts the place among the known words or -1, where texts begin, and a function giving words themselves."""
-    dictionary, code, first, word = _words(texts)
-    places = pc.fill_null(pc.index_in(dictionary, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return places[code], first, word
+    data, starts, ends, first = _words(texts)
+    places = pc.fill_null(pc.index_in(lexical.slices(data, starts, ends), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return places, first, lambda which: lexical.slices(data, starts[which], ends[which])
 
 
 def _sequences(places: np.ndarray, first: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
