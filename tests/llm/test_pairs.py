@@ -169,6 +169,31 @@ def test_vector_links_and_components(spark, shape):
     assert tuples(hnsw.near_duplicates(vectors, 0.95, **shape)) == _linked(vectors.collect(), 0.95)
 
 
+def test_graphs_and_queries_are_not_copied_for_one_another(spark, monkeypatch):
+    plans, write = {}, hnsw.written
+
+    def kept(frame, purpose):
+        plans[purpose] = frame._jdf.queryExecution().executedPlan().toString()
+        return write(frame, purpose)
+
+    monkeypatch.setattr(hnsw, "written", kept)
+    hnsw.near_duplicates(_vectors(spark), 0.95, block_rows=10)
+    # Neither rows of graphs for each block nor queries for each shard.
+    assert "MapInArrow" in plans["links"] and "Generate" not in plans["links"]
+
+
+def test_links_are_followed_both_ways():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(1, 24)) + rng.normal(scale=0.05, size=(600, 24))
+    graph = hnsw.Graph(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    graph = hnsw.Graph.loaded(bytearray(graph.dumped()))
+    # Nothing leads to these any more, but they lead to others.
+    graph.layers[0][np.isin(graph.layers[0], np.arange(500, 520))] = -1
+    wanted = graph.exact[:100] @ graph.exact.T >= 0.95
+    q, v = graph.links(graph.exact[:100], 0.95, 32)
+    assert wanted[:, 500:520].any() and len(q) == wanted.sum() and wanted[q, v].all()
+
+
 def test_vectors_that_cannot_link(spark):
     rows = [(1, None, 0), (2, [0.0], 0), (None, [1.0], 0)]
     assert tuples(hnsw.near_duplicates(spark.createDataFrame(rows, VECTORS))) == sorted(
